@@ -74,11 +74,9 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold_marks(text), F.lit(INDEX_TOKEN), F.lit(0))
 
 
-def query_phrases(text: Column) -> Column:
-    """Distinct query tokens, each as the array of index terms it must match in a row."""
-    words = F.array_distinct(F.regexp_extract_all(casefold(text), F.lit(QUERY_TOKEN), F.lit(0)))
-    phrases = F.transform(words, lambda word: index_tokens(word))
-    return F.filter(phrases, lambda phrase: F.size(phrase) > 0)
+def query_words(text: Column) -> Column:
+    """Distinct folded query tokens; a joined token later becomes a phrase of its parts."""
+    return F.array_distinct(F.regexp_extract_all(casefold(text), F.lit(QUERY_TOKEN), F.lit(0)))
 
 
 def feature_tokens(text: Column) -> Column:

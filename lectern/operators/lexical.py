@@ -68,11 +68,18 @@ def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 
 def query_terms(queries: DataFrame, exact: bool) -> DataFrame:
-    """One row per query phrase: ``(query_id, scope, phrase_no, terms)``."""
-    phrases = F.array(tx.index_tokens(F.col("text"))) if exact else tx.query_phrases(F.col("text"))
-    return queries.select("query_id", "scope", F.posexplode(phrases).alias("phrase_no", "terms")).where(
-        F.size("terms") > 0
-    )
+    """One row per query phrase: ``(query_id, scope, phrase, terms)``.
+
+    A loose query has one phrase per distinct folded token, an exact query just one.
+    """
+    if exact:
+        whole = queries.select("query_id", "scope", F.lit("").alias("phrase"), tx.index_tokens(F.col("text")).alias("terms"))
+        return whole.where(F.size("terms") > 0)
+    return phrase_terms(queries.select("query_id", "scope", F.explode(tx.query_words(F.col("text"))).alias("phrase")))
+
+
+def phrase_terms(words: DataFrame) -> DataFrame:
+    return words.withColumn("terms", tx.index_tokens(F.col("phrase"))).where(F.size("terms") > 0)
 
 
 def _in_scope(rows: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def phrase_hits(index, phrases: DataFrame) -> DataFrame:
         phrases.withColumn("term", F.explode(F.array_distinct("terms")))
         .withColumn("bucket", term_bucket(F.col("term"), index.buckets))
         .join(index.terms, ["bucket", "term"])
-        .groupBy("query_id", "phrase_no", "kind")
+        .groupBy("query_id", "phrase", "kind")
         .agg(
             F.first("terms").alias("terms"),
             F.first("scope").alias("scope"),
@@ -114,7 +121,7 @@ def phrase_hits(index, phrases: DataFrame) -> DataFrame:
         .withColumn("bucket", term_bucket(F.col("term"), index.buckets))
     )
     candidates = index.postings.join(wanted, ["kind", "bucket", "term"]).select(
-        "query_id", "scope", "phrase_no", "terms", "kind", "entity_id", "paper_id", "dl"
+        "query_id", "scope", "phrase", "terms", "kind", "entity_id", "paper_id", "dl"
     )
     # Doubled blanks keep neighbouring occurrences apart; the look-ahead counts overlaps too.
     haystack = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" "))
@@ -131,11 +138,11 @@ def _phrase_parts(index, phrases: DataFrame) -> DataFrame:
     from lectern.session import settle
 
     hits = settle(phrase_hits(index, phrases))
-    frequency = hits.groupBy("query_id", "phrase_no", "kind").agg(F.count("*").alias("df"))
+    frequency = hits.groupBy("query_id", "phrase", "kind").agg(F.count("*").alias("df"))
     weighted = frequency.join(F.broadcast(index.levels), "kind").select(
-        "query_id", "phrase_no", "kind", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")
+        "query_id", "phrase", "kind", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")
     )
-    return _in_scope(hits).join(weighted, ["query_id", "phrase_no", "kind"]).select(
+    return _in_scope(hits).join(weighted, ["query_id", "phrase", "kind"]).select(
         "query_id", "kind", "entity_id", "paper_id",
         (F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"),
     )
@@ -151,28 +158,32 @@ def top_per_list(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def search_lexical(index, queries: DataFrame, kinds, limit: int, exact: bool = False) -> DataFrame:
-    """Best ``limit`` entities per query and level.
-
-    ``queries`` has ``(query_id, text, scope)``; a scope keeps one paper's rows while
-    all statistics stay those of the whole corpus.
-    """
-    scoped = index.only(kinds)
-    phrases = query_terms(queries, exact)
+def score_phrases(scoped, phrases: DataFrame) -> DataFrame:
+    """BM25 of every entity that holds at least one phrase of a query."""
     words = phrases.where(F.size("terms") == 1).select("query_id", "scope", F.get("terms", F.lit(0)).alias("term"))
     parts = _single_term_parts(scoped, words)
-    if exact or not phrases.where(F.size("terms") > 1).isEmpty():
-        parts = parts.unionByName(_phrase_parts(scoped, phrases.where(F.size("terms") > 1)))
+    joined = phrases.where(F.size("terms") > 1)
+    if not joined.isEmpty():
+        parts = parts.unionByName(_phrase_parts(scoped, joined))
     # Rounding makes the order independent of the order in which parts were added.
-    scored = (
+    return (
         parts.groupBy("query_id", "kind", "entity_id", "paper_id")
         .agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
         .withColumn("key", entity_key(F.col("kind"), F.col("entity_id")))
     )
+
+
+def search_lexical(index, queries: DataFrame, kinds, limit: int, exact: bool = False) -> DataFrame:
+    """Best ``limit`` entities per query and level.
+
+    ``queries`` has ``(query_id, text, scope)``; a scope keeps one paper's rows while
+    all statistics stay those of the whole corpus.
+    """
+    scored = score_phrases(index.only(kinds), query_terms(queries, exact))
     if not exact:
         return top_per_list(scored, limit)
     fetched = top_per_list(scored, max(limit, min(1000, 2 * limit))).drop("rank")
-    shown = scoped.entities.select("kind", "entity_id", "title", "section_path", F.col("text").alias("body"))
+    shown = index.only(kinds).entities.select("kind", "entity_id", "title", "section_path", F.col("text").alias("body"))
     own_text = F.concat_ws("\n", F.when(F.col("kind") == "paper", F.col("title")).otherwise(F.col("section_path")), F.col("body"))
     bonus = F.when(F.contains(tx.casefold(own_text), tx.casefold(F.col("text"))), 1.0).otherwise(0.0)
     boosted = (

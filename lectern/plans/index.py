@@ -246,7 +246,7 @@ class IndexWriter:
 def quoting_papers(index: Index, notes: DataFrame) -> DataFrame:
     """Links from each note to the papers with a section that holds its whole text."""
     phrases = notes.select(
-        F.col("entry_id").alias("query_id"), F.lit(None).cast("string").alias("scope"), F.lit(0).alias("phrase_no"),
+        F.col("entry_id").alias("query_id"), F.lit(None).cast("string").alias("scope"), F.lit("").alias("phrase"),
         tx.index_tokens(F.col("text")).alias("terms"),
     ).where(F.size("terms") > 0)
     hits = lexical.phrase_hits(index.only(("section",)), phrases)

@@ -14,7 +14,8 @@ from lectern.config import MODES, PIPELINES
 from lectern.functions import text as tx
 from lectern.functions import vectors as vx
 from lectern.operators import dense, fusion, lexical, notes
-from lectern.plans.index import Index
+from lectern.plans.index import Index, embed_parts
+from lectern.session import settle
 
 # List weights of each mode.
 KIND_WEIGHTS = {"paper": 1.15, "section": 1.1, "chunk": 1.0, "curated": 0.8}
@@ -107,6 +108,8 @@ def plan_lists(index: Index, queries: DataFrame, mode: str, pipeline: str, scope
             hits = lexical.search_lexical(index, normalized, kinds, settings.bm25_candidates)
         else:
             hits = _dense(index, queries, kinds, settings.dense_candidates)
+        # Three lists read these few rows per query.
+        hits = settle(hits) if "curated" in kinds else hits
         numbers = _by_kind({k: first[k] + offset for k in plain})
         lists.append(as_list(hits.where(F.col("kind") != "curated"), numbers, _by_kind({k: KIND_WEIGHTS[k] for k in plain})))
         if "curated" in kinds:
@@ -134,6 +137,8 @@ def finish(index: Index, fused: DataFrame, queries: DataFrame, mode: str, rerank
     settings = index.settings.retrieval
     pool = hydrate(index, fusion.top_pool(fused, settings.rerank_candidates))
     if rerank:
+        # The pool is bounded per query and read by the scorer and by the blend.
+        pool = settle(pool)
         pool = fusion.blend(pool, fusion.lexical_f1(pool, queries, fusion.rerank_document()))
     if mode == "exact":
         pool = fusion.keep_exact(pool, queries)
@@ -216,13 +221,20 @@ def related_papers(index: Index, requests: DataFrame, top_k: int = 10) -> DataFr
     vectors = dense.newest_set(index.only(("paper",)).vectors, vx.hash_identity(index.settings.embedding.dimensions)[1]).drop("kind")
     stored = requests.withColumnRenamed("paper_id", "entity_id").join(vectors.select("entity_id", "vector"), "entity_id")
     stored = stored.withColumn("scope", F.lit(None).cast("string"))
+    # A paper may have any number of notes: their words and features are counted, never joined to one text.
     noted = requests.join(index.links.select("paper_id", "entry_id"), "paper_id").join(index.notes, "entry_id")
-    notes_asked = noted.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_line", "entry_id", "text"))), lambda n: n["text"]), "\n").alias("text")
-    ).withColumn("scope", F.lit(None).cast("string"))
-    paper_vectors = vectors.withColumn("kind", F.lit("paper"))
-    note_hits = lexical.search_lexical(index, notes_asked, ("curated",), limit).withColumn("list_no", F.lit(4))
+    words = noted.select("query_id", F.explode(tx.query_words(F.col("text"))).alias("phrase")).distinct()
+    note_scores = lexical.score_phrases(
+        index.only(("curated",)), lexical.phrase_terms(words.withColumn("scope", F.lit(None).cast("string")))
+    )
+    note_hits = lexical.top_per_list(note_scores, limit).withColumn("list_no", F.lit(4))
     _, routed = notes.route_notes(note_hits, index.links, index.notes)
+    place = F.struct(F.lit(0).alias("part"), F.coalesce("source_line", F.lit(2147483647)).alias("n"), F.col("entry_id").alias("id"))
+    note_parts = noted.select(F.col("query_id").alias("paper_id"), place.alias("place"), "text")
+    note_vectors = embed_parts(note_parts, index.settings.embedding.dimensions).select(
+        F.col("paper_id").alias("query_id"), "vector", F.lit(None).cast("string").alias("scope")
+    )
+    paper_vectors = vectors.withColumn("kind", F.lit("paper"))
     shared = notes.shared_note_papers(requests, index.links, limit).select(
         "query_id", "rank", F.col("paper_id").alias("entity_id"), "paper_id", lexical.entity_key(F.lit("paper"), F.col("paper_id")).alias("key")
     )
@@ -230,7 +242,7 @@ def related_papers(index: Index, requests: DataFrame, top_k: int = 10) -> DataFr
         as_list(dense.search_dense(paper_vectors, stored, limit), 0, 1.0),
         as_list(lexical.search_lexical(index, asked, ("paper",), limit), 1, 1.0),
         as_list(dense.search_dense(paper_vectors, embed_queries(index, asked), limit), 2, 1.0),
-        as_list(dense.search_dense(paper_vectors, embed_queries(index, notes_asked), limit), 3, 1.0),
+        as_list(dense.search_dense(paper_vectors, note_vectors, limit), 3, 1.0),
         as_list(routed, 4, 1.0),
         as_list(shared, 5, 1.0),
     ]
