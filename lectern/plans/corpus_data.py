@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 from lectern.operators.identity import deduplicate
-from lectern.plans.index import Index, IndexWriter
+from lectern.plans.index import Index, IndexWriter, paper_entities
 from lectern.session import shared_dir
 from lectern.sources import tables
 
-_OPEN: dict[tuple[str, str], Index] = {}
+_OPEN: dict[tuple[str, str, str], Index] = {}
 
 
 def build_corpus(spark: SparkSession, folder: str, root: str, vectors: bool = True) -> Index:
@@ -17,10 +19,27 @@ def build_corpus(spark: SparkSession, folder: str, root: str, vectors: bool = Tr
     return IndexWriter(spark, root, 1).build(papers, tables.note_rows(spark, folder), vectors=vectors)
 
 
-def open_corpus(spark: SparkSession, folder: str) -> Index:
-    """The folder's snapshot; the first call of a session writes it to the shared folder."""
-    key = (spark.sparkContext.applicationId, folder)
+def build_documents(spark: SparkSession, folder: str, root: str) -> Index:
+    """One level of whole documents with the notes that quote them."""
+    writer = IndexWriter(spark, root, 1)
+    writer.papers(tables.whole_papers(deduplicate(tables.markdown_files(spark, folder))))
+    writer.entities(paper_entities(writer.index.papers))
+    writer.lexical_tables(("paper",))
+    writer.notes(tables.note_rows(spark, folder), kind="paper")
+    return writer.index
+
+
+def _open(spark: SparkSession, folder: str, name: str, build) -> Index:
+    key = (spark.sparkContext.applicationId, name, folder)
     if key not in _OPEN:
-        name = f"{spark.sparkContext.applicationId}-{abs(hash(folder)):x}"
-        _OPEN[key] = build_corpus(spark, folder, f"{shared_dir(spark)}/corpus-{name}")
+        _OPEN[key] = build(spark, folder, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     return _OPEN[key]
+
+
+def open_corpus(spark: SparkSession, folder: str) -> Index:
+    """The folder's snapshot; the first call of a session writes it to the shared folder."""
+    return _open(spark, folder, "corpus", build_corpus)
+
+
+def open_documents(spark: SparkSession, folder: str) -> Index:
+    return _open(spark, folder, "documents", build_documents)

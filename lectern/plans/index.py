@@ -209,11 +209,11 @@ class IndexWriter:
         )
         self.lexical_tables(("paper", "section", "chunk"))
 
-    def notes(self, notes: DataFrame, links: DataFrame | None = None) -> None:
+    def notes(self, notes: DataFrame, links: DataFrame | None = None, kind: str = "section") -> None:
         """Notes and their links; without given links, papers that quote a note whole."""
         self.write("notes", notes)
         if links is None:
-            links = quoting_papers(self.index, self.index.notes)
+            links = quoting_papers(self.index, self.index.notes, kind)
         known = self.index.papers.select("paper_id", "block")
         self.write("links", links.select("entry_id", "paper_id").distinct().join(known, "paper_id"))
         self.entities(note_entities(self.index.notes, self.index.links, self.index.papers), mode="append")
@@ -243,11 +243,11 @@ class IndexWriter:
         return self.index
 
 
-def quoting_papers(index: Index, notes: DataFrame) -> DataFrame:
-    """Links from each note to the papers with a section that holds its whole text."""
+def quoting_papers(index: Index, notes: DataFrame, kind: str) -> DataFrame:
+    """Links from each note to the papers with a row of the level that holds its whole text."""
     phrases = notes.select(
         F.col("entry_id").alias("query_id"), F.lit(None).cast("string").alias("scope"), F.lit("").alias("phrase"),
         tx.index_tokens(F.col("text")).alias("terms"),
     ).where(F.size("terms") > 0)
-    hits = lexical.phrase_hits(index.only(("section",)), phrases)
+    hits = lexical.phrase_hits(index.only((kind,)), phrases)
     return hits.select(F.col("query_id").alias("entry_id"), "paper_id").distinct()

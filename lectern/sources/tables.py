@@ -60,7 +60,7 @@ def paper_rows(sources: DataFrame) -> DataFrame:
     headed = (first != "") & (_words(first) <= 5)
     return sources.select(
         F.col("catalog_id").alias("paper_id"),
-        F.when(headed, tx.clean_heading(first)).otherwise(F.concat(F.lit("Document "), F.substring("catalog_id", 5, 64))).alias("title"),
+        F.when(headed, first).otherwise(F.concat(F.lit("Document "), F.substring("catalog_id", 5, 64))).alias("title"),
         "authors",
         F.lit(None).cast("int").alias("year"),
         F.coalesce(tx.strip(F.get(paragraphs, 0)), F.lit("")).alias("abstract"),
@@ -71,6 +71,13 @@ def paper_rows(sources: DataFrame) -> DataFrame:
     )
 
 
+def whole_papers(sources: DataFrame) -> DataFrame:
+    """Papers whose abstract is the document's whole text, for search at one level."""
+    return paper_rows(sources).drop("markdown", "abstract").join(
+        sources.select("source_path", F.col("text").alias("abstract")), "source_path"
+    )
+
+
 def note_rows(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select(
         F.col("item_id").cast("string").alias("entry_id"),
