@@ -153,7 +153,7 @@ def parse_sections(documents: DataFrame) -> DataFrame:
             ).alias("text"),
         ),
     )
-    return named.select("paper_id", "title", F.inline(section))
+    return named.select("paper_id", F.inline(section))
 
 
 def _sentences(text: Column, limit: int) -> Column:

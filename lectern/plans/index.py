@@ -74,7 +74,7 @@ def paper_entities(papers: DataFrame) -> DataFrame:
 def child_entities(kind: str, rows: DataFrame, papers: DataFrame) -> DataFrame:
     mark, order = ("s", "section_order") if kind == "section" else ("c", "chunk_index")
     owner = papers.select("paper_id", "title", "authors", "year", "source_kind")
-    return rows.drop("title").join(owner, "paper_id").select(
+    return rows.join(owner, "paper_id").select(
         F.lit(kind).alias("kind"), entity_id(F.col("paper_id"), mark, F.col(order)).alias("entity_id"), "paper_id", "section_order",
         "title", "authors", "year", F.col("heading_path").alias("section_path"), "page_start", "page_end", "source_kind", "text",
         F.array("heading_path", "text").alias("match_fields"), F.array("title").alias("extra_fields"),

@@ -2,6 +2,6 @@
 
 
 def all_queries() -> dict:
-    from lectern.plans.registered import searching
+    from lectern.plans.registered import documents, searching
 
-    return {**searching.QUERIES}
+    return {**searching.QUERIES, **documents.QUERIES}
