@@ -92,3 +92,22 @@ def unique_ids(candidates: DataFrame, occupied: DataFrame | None = None) -> Data
     return candidates.join(keeper, "candidate_id").select(
         "source_path", "content_hash", "candidate_id", F.when(keeps, F.col("candidate_id")).otherwise(suffixed).alias("paper_id")
     )
+
+
+def papers_by_hash(papers: DataFrame, requests: DataFrame) -> DataFrame:
+    """Smallest paper id for each requested content hash."""
+    found = papers.groupBy("content_hash").agg(F.min("paper_id").alias("paper_id"))
+    return requests.join(found, "content_hash")
+
+
+def papers_by_source(papers: DataFrame, aliases: DataFrame, requests: DataFrame) -> DataFrame:
+    """Paper of each requested path: by alias first, else by the paper's own path."""
+    by_alias = aliases.select("source_path", F.col("paper_id").alias("alias_id"))
+    direct = papers.groupBy("source_path").agg(F.min("paper_id").alias("own_id"))
+    joined = requests.join(by_alias, "source_path", "left").join(direct, "source_path", "left")
+    return joined.withColumn("paper_id", F.coalesce("alias_id", "own_id")).drop("alias_id", "own_id").where("paper_id IS NOT NULL")
+
+
+def list_papers(papers: DataFrame) -> DataFrame:
+    """Papers by year, missing years last, then title and id."""
+    return papers.orderBy(F.coalesce("year", F.lit(9999)), F.lower("title"), "paper_id")

@@ -2,6 +2,6 @@
 
 
 def all_queries() -> dict:
-    from lectern.plans.registered import documents, searching
+    from lectern.plans.registered import documents, maintenance, searching
 
-    return {**searching.QUERIES, **documents.QUERIES}
+    return {**searching.QUERIES, **documents.QUERIES, **maintenance.QUERIES}
