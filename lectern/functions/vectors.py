@@ -77,26 +77,27 @@ def hash_identity(dimensions: int) -> tuple[str, str]:
     return name, model_fingerprint(name, provider="hash", dimensions=dimensions)
 
 
-_TAGGED = hashlib.blake2b(digest_size=16, person=HASH_TAG)
-
-
-def hash_slot(feature: str, dimensions: int) -> tuple[int, float]:
-    state = _TAGGED.copy()
-    state.update(feature.encode())
-    digest = state.digest()
-    return int.from_bytes(digest[:8], "little") % dimensions, (1.0 if digest[8] & 1 else -1.0)
+def hash_slots_of(features, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and sign of each feature from its tagged 16-byte hash."""
+    start = hashlib.blake2b(digest_size=16, person=HASH_TAG)
+    digests = []
+    for feature in features:
+        state = start.copy()
+        state.update(feature.encode())
+        digests.append(state.digest())
+    halves = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
+    return (halves[:, 0] % np.uint64(dimensions)).astype(np.int64), np.where(halves[:, 1] & np.uint64(1), 1.0, -1.0)
 
 
 def hash_vector(tokens: list[str], dimensions: int) -> np.ndarray:
     words = Counter("word:" + t for t in tokens)
     pairs = Counter("bigram:" + a + PAIR_JOINER + b for a, b in zip(tokens, tokens[1:]))
-    placed = [hash_slot(f, dimensions) for f in (*words, *pairs)]
-    if not placed:
+    if not tokens:
         return np.zeros(dimensions, dtype=np.float32)
-    slots, signs = zip(*placed)
+    slots, signs = hash_slots_of([*words, *pairs], dimensions)
     weights = np.repeat([WORD_WEIGHT, PAIR_WEIGHT], [len(words), len(pairs)])
     counts = np.array([*words.values(), *pairs.values()], dtype=np.float64)
-    values = np.array(signs) * weights * (1.0 + np.log(counts))
+    values = signs * weights * (1.0 + np.log(counts))
     vector = np.bincount(slots, weights=values, minlength=dimensions)
     length = float(np.linalg.norm(vector))
     return (vector / length if length else vector).astype(np.float32)
@@ -120,7 +121,8 @@ def hash_slots(dimensions: int):
 
     @F.pandas_udf(T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("sign", T.DoubleType())]))
     def place(features: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([hash_slot(f, dimensions) for f in features], columns=["slot", "sign"])
+        slots, signs = hash_slots_of(features, dimensions)
+        return pd.DataFrame({"slot": slots, "sign": signs})
 
     return place
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.session import broadcast_if_small, computed_once
 
 FUSED_DIGITS = 12
 BLEND_DIGITS = 9
@@ -81,13 +82,13 @@ def lexical_f1(pool: DataFrame, queries: DataFrame, document: Column) -> DataFra
     Shared tokens are counted by joining exploded tokens with the query's counts, so
     work grows with the text and not with text times query length.
     """
-    asked = queries.select("query_id", tx.feature_tokens(F.col("text")).alias("asked"))
-    wanted = (
+    asked = broadcast_if_small(queries.select("query_id", tx.feature_tokens(F.col("text")).alias("asked")))
+    wanted = broadcast_if_small(
         asked.select("query_id", F.size("asked").alias("asked_size"), F.explode("asked").alias("token"))
         .groupBy("query_id", "asked_size", "token")
         .agg(F.count("*").alias("wanted"))
     )
-    texts = pool.join(asked, "query_id").withColumn("tokens", tx.feature_tokens(document))
+    texts = computed_once(pool.join(asked, "query_id"), tokens=tx.feature_tokens(document)).drop("text", "routing_note")
     sized = texts.select(
         "query_id", "key", F.size("tokens").alias("size"), F.size("asked").alias("asked_size"),
         F.when((F.size("asked") > 0) & F.contains(F.array_join("tokens", " "), F.array_join("asked", " ")), PHRASE_BONUS)

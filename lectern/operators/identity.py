@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.session import broadcast_if_small
 
 # File names that say nothing about the paper.
 GENERIC_STEMS = (
@@ -31,9 +32,13 @@ def canonical_paths(sources: DataFrame) -> DataFrame:
 
 
 def deduplicate(sources: DataFrame) -> DataFrame:
-    """Canonical source rows only."""
-    kept = canonical_paths(sources).select(F.col("canonical_path").alias("source_path"))
-    return sources.join(kept, "source_path", "left_semi")
+    """Canonical source rows only.
+
+    The copies, found from paths and hashes alone, are taken away; the texts shuffle
+    only if the copies are too many to broadcast.
+    """
+    copies = alias_rows(sources.select("source_path", "source_kind", "content_hash")).select("source_path")
+    return sources.join(broadcast_if_small(copies), "source_path", "left_anti")
 
 
 def alias_rows(sources: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.session import broadcast_if_small, settle
 
 # BM25 constants and the floor for terms in over half of the rows.
 K1 = 1.2
@@ -94,7 +95,8 @@ def _single_term_parts(index, words: DataFrame) -> DataFrame:
         .join(F.broadcast(index.levels), "kind")
         .select("query_id", "scope", "kind", "bucket", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     )
-    hits = _in_scope(index.postings.join(weighted, ["kind", "bucket", "term"]))
+    # The query side grows with the batch, not with the corpus.
+    hits = _in_scope(index.postings.join(broadcast_if_small(weighted), ["kind", "bucket", "term"]))
     return hits.select(
         "query_id", "kind", "entity_id", "paper_id",
         (F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"),
@@ -120,7 +122,7 @@ def phrase_hits(index, phrases: DataFrame) -> DataFrame:
         .where(F.col("known") == F.size(F.array_distinct("terms")))
         .withColumn("bucket", term_bucket(F.col("term"), index.buckets))
     )
-    candidates = index.postings.join(wanted, ["kind", "bucket", "term"]).select(
+    candidates = index.postings.join(broadcast_if_small(wanted), ["kind", "bucket", "term"]).select(
         "query_id", "scope", "phrase", "terms", "kind", "entity_id", "paper_id", "dl"
     )
     # Doubled blanks keep neighbouring occurrences apart; the look-ahead counts overlaps too.
@@ -135,8 +137,6 @@ def phrase_hits(index, phrases: DataFrame) -> DataFrame:
 
 
 def _phrase_parts(index, phrases: DataFrame) -> DataFrame:
-    from lectern.session import settle
-
     hits = settle(phrase_hits(index, phrases))
     frequency = hits.groupBy("query_id", "phrase", "kind").agg(F.count("*").alias("df"))
     weighted = frequency.join(F.broadcast(index.levels), "kind").select(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.config import ChunkSettings
 from lectern.functions import folds
 from lectern.functions import text as tx
+from lectern.session import computed_once
 
 # Markdown and LaTeX line patterns.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
@@ -83,15 +84,6 @@ def _block_events(line: Column) -> Column:
     )
 
 
-def _with(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once per row.
-
-    A plain projection may be inlined into the array functions that read it, and
-    so run once per array element; a generator of one row is not.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _known_page(page: Column) -> Column:
     return F.when(page != folds.NO_PAGE, page)
 
@@ -204,14 +196,14 @@ def chunk_sections(sections: DataFrame, settings: ChunkSettings | None = None) -
         return ~F.get("atomic", at) & (F.get("counts", at) > limit)
 
     no_atoms = F.slice(_sentences(F.lit(""), limit), 1, 0)
-    units = _with(spans, texts=F.transform("kind", lambda kind, at: unit_text(at)))
-    units = _with(units, counts=F.transform("texts", tx.token_count))
+    units = computed_once(spans, texts=F.transform("kind", lambda kind, at: unit_text(at)))
+    units = computed_once(units, counts=F.transform("texts", tx.token_count))
     # Only long prose reaches the packing fold; other units pass as empty lists.
-    atoms = _with(
+    atoms = computed_once(
         units,
         atoms=F.transform("texts", lambda text, at: F.when(is_long(at), _sentences(text, limit)).otherwise(no_atoms)),
     )
-    grouped = _with(
+    grouped = computed_once(
         atoms,
         groups=folds.nested_packer(limit)(
             F.transform("atoms", lambda a: a["tokens"]), F.transform("atoms", lambda a: a["wall"])
@@ -246,12 +238,12 @@ def chunk_sections(sections: DataFrame, settings: ChunkSettings | None = None) -
     def bounds(piece):
         return F.when(piece["atomic"], F.lit(atomic_limit)).otherwise(F.lit(limit))
 
-    whole = _with(grouped, pieces=pieces).drop("lines", "atoms", "texts", "groups")
-    oversized = _with(
+    whole = computed_once(grouped, pieces=pieces).drop("lines", "atoms", "texts", "groups")
+    oversized = computed_once(
         whole,
         oversized=F.transform("pieces", lambda p: F.when(tx.token_count(p["text"]) > bounds(p), p["text"])),
     )
-    bounded = _with(
+    bounded = computed_once(
         oversized,
         cuts=folds.bounded_texts(
             F.when(F.exists("oversized", lambda t: t.isNotNull()), F.col("oversized")), F.transform("pieces", bounds)
@@ -269,8 +261,8 @@ def chunk_sections(sections: DataFrame, settings: ChunkSettings | None = None) -
             ),
         )
     )
-    sized = _with(bounded.withColumnRenamed("pieces", "uncut"), pieces=final).drop("uncut", "cuts")
-    packed = _with(
+    sized = computed_once(bounded.withColumnRenamed("pieces", "uncut"), pieces=final).drop("uncut", "cuts")
+    packed = computed_once(
         sized,
         groups=folds.packer(settings.target_tokens, limit, settings.min_tokens)(
             F.transform("pieces", lambda p: p["tokens"])

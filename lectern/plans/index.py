@@ -19,7 +19,7 @@ from lectern.operators import lexical
 from lectern.operators.ranking import blocked_carry
 from lectern.operators.sections import chunk_sections, number_chunks, parse_sections
 
-TABLES = ("papers", "sections", "chunks", "notes", "links", "entities", "postings", "terms", "levels", "vectors")
+TABLES = ("papers", "blocks", "sections", "chunks", "notes", "links", "entities", "postings", "terms", "levels", "vectors")
 
 
 @dataclass(frozen=True)
@@ -181,9 +181,11 @@ class IndexWriter:
         return self.index.table(name)
 
     def papers(self, papers: DataFrame) -> DataFrame:
-        """Papers with the id range block that later orders link lists."""
-        blocked = papers.repartitionByRange(self.index.settings.layout.paper_blocks, "paper_id")
-        return self.write("papers", blocked.withColumn("block", F.spark_partition_id()))
+        """Papers, and the id range each falls in, which later orders link lists."""
+        written = self.write("papers", papers)
+        ids = written.select("paper_id").repartitionByRange(self.index.settings.layout.paper_blocks, "paper_id")
+        self.write("blocks", ids.withColumn("block", F.spark_partition_id()))
+        return written
 
     def hierarchy(self) -> None:
         papers = self.index.papers
@@ -214,7 +216,7 @@ class IndexWriter:
         self.write("notes", notes)
         if links is None:
             links = quoting_papers(self.index, self.index.notes, kind)
-        known = self.index.papers.select("paper_id", "block")
+        known = self.index.table("blocks")
         self.write("links", links.select("entry_id", "paper_id").distinct().join(known, "paper_id"))
         self.entities(note_entities(self.index.notes, self.index.links, self.index.papers), mode="append")
         self.lexical_tables(("curated",), mode="append")

@@ -10,6 +10,7 @@ from lectern.operators import dense, evaluation, fusion, lexical, notes
 from lectern.plans import search as plan
 from lectern.plans.corpus_data import open_corpus, open_documents
 from lectern.plans.registered import sql as q
+from lectern.session import settle, spread
 from lectern.sources import tables
 
 NO_SCOPE = F.lit(None).cast("string")
@@ -79,8 +80,6 @@ class LiveIndex:
     """Index rows of one small level, computed in the query instead of read back."""
 
     def __init__(self, entities, buckets=8):
-        from lectern.session import settle
-
         self.buckets = buckets
         self.entities = settle(lexical.tokenized(entities))
         self.postings = lexical.postings(self.entities, buckets)
@@ -191,7 +190,7 @@ SELECT kind, vec_id, 'set-' || label AS model_fingerprint FROM s JOIN (SELECT ki
 
 def hash_features(spark, folder):
     """Distinct features of each document and the sum of their weights before hashing."""
-    rows = tables.table(spark, folder, "documents").select("doc_id", tx.feature_tokens(F.col("text")).alias("tokens"))
+    rows = spread(tables.table(spark, folder, "documents")).select("doc_id", tx.feature_tokens(F.col("text")).alias("tokens"))
     pairs = F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", 2, F.size("tokens")),
                        lambda a, b: F.concat(F.lit("bigram:"), a, F.lit(vx.PAIR_JOINER), b))
     features = rows.select("doc_id", F.explode(F.concat(F.transform("tokens", lambda t: F.concat(F.lit("word:"), t)), F.filter(pairs, lambda p: p.isNotNull()))).alias("feature"))
@@ -211,7 +210,7 @@ SELECT doc_id, count(*) AS features, CAST(sum(n) AS BIGINT) AS uses,
 
 def hash_embedding(spark, folder):
     """Feature-hash vector of every document, as slot count and leading slot."""
-    rows = tables.table(spark, folder, "documents")
+    rows = spread(tables.table(spark, folder, "documents"))
     vector = vx.hash_embedding(768)(tx.feature_tokens(F.col("text")))
     return rows.select("doc_id", vector.alias("vector")).select(
         "doc_id", F.size(F.filter("vector", lambda x: x != 0)).cast("bigint").alias("slots"),
@@ -257,8 +256,6 @@ RRF_SQL = q.with_(q.PAPERS, q.POSTINGS, q.LEXICAL, DENSE_CTE, FUSED_CTE,
 
 
 def _scored_pool(spark, folder):
-    from lectern.session import settle
-
     index = open_documents(spark, folder)
     queries = benchmark_queries(spark, folder)
     pool = settle(plan.hydrate(index, fusion.top_pool(_fused(spark, folder, index), 40)))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
 
 
 def get_session(app_name: str = "lectern", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,3 +57,21 @@ def spread(df: DataFrame) -> DataFrame:
     """Share a scan with fewer splits than cores among all cores; other scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a side that is usually small, count it, and broadcast it only within the bound.
+
+    Beyond the bound the join is left to Spark, which shuffles and splits skewed keys.
+    """
+    held = settle(df)
+    return F.broadcast(held) if held.count() <= rows else held
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A plain projection may be inlined into every expression that reads it, also into
+    array functions that run once per element; a generator of one row is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

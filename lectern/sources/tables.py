@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.session import spread
+from lectern.session import computed_once, spread
 
 LINES_PER_PAGE = 10
 NOTE_PATH = "Benchmark > Passages"
@@ -26,17 +26,22 @@ def _words(line: Column) -> Column:
 
 def render_markdown(text: Column) -> Column:
     """Short lines as headings, long lines as paragraphs, a page marker every ten lines."""
+    counted = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), _words(line).alias("words")))
 
-    def block(line, at):
+    def block(item, at):
         marker = F.when(
             at % LINES_PER_PAGE == 0,
             F.concat(F.lit("<!-- page: "), (at / LINES_PER_PAGE).cast("int") + 1, F.lit(" -->\n")),
         ).otherwise("")
-        depth = F.when(at == 0, "# ").when(_words(line) <= 2, "## ").otherwise("### ")
-        body = F.when(line.rlike(r"^\s*$"), F.lit("")).when(_words(line) <= 5, F.concat(depth, tx.strip(line))).otherwise(line)
+        depth = F.when(at == 0, "# ").when(item["words"] <= 2, "## ").otherwise("### ")
+        body = (
+            F.when(item["words"] == 0, F.lit(""))
+            .when(item["words"] <= 5, F.concat(depth, tx.strip(item["line"])))
+            .otherwise(item["line"])
+        )
         return F.concat(marker, body)
 
-    return F.array_join(F.transform(F.split(text, "\n"), block), "\n\n")
+    return F.array_join(F.transform(counted, block), "\n\n")
 
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,30 +57,26 @@ def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def paper_rows(sources: DataFrame) -> DataFrame:
+def paper_rows(sources: DataFrame, abstract: Column | None = None) -> DataFrame:
     """Paper metadata of canonical sources: title, abstract and Markdown."""
-    lines = F.split("text", "\n")
-    first = tx.strip(F.get(lines, 0))
-    paragraphs = F.filter(lines, lambda s: _words(s) > 5)
-    headed = (first != "") & (_words(first) <= 5)
-    return sources.select(
+    first = tx.strip(F.get(F.split("text", "\n", 2), 0))
+    if abstract is None:
+        paragraphs = F.filter(F.split("text", "\n"), lambda s: _words(s) > 5)
+        abstract = F.coalesce(tx.strip(F.get(paragraphs, 0)), F.lit(""))
+    read = computed_once(
+        sources, first=first, words=_words(first), abstract=abstract, markdown=tx.clean_markdown(render_markdown(F.col("text")))
+    )
+    untitled = F.concat(F.lit("Document "), F.substring("catalog_id", 5, 64))
+    return read.select(
         F.col("catalog_id").alias("paper_id"),
-        F.when(headed, first).otherwise(F.concat(F.lit("Document "), F.substring("catalog_id", 5, 64))).alias("title"),
-        "authors",
-        F.lit(None).cast("int").alias("year"),
-        F.coalesce(tx.strip(F.get(paragraphs, 0)), F.lit("")).alias("abstract"),
-        "source_path",
-        "source_kind",
-        "content_hash",
-        tx.clean_markdown(render_markdown(F.col("text"))).alias("markdown"),
+        F.when((F.col("first") != "") & (F.col("words") <= 5), F.col("first")).otherwise(untitled).alias("title"),
+        "authors", F.lit(None).cast("int").alias("year"), "abstract", "source_path", "source_kind", "content_hash", "markdown",
     )
 
 
 def whole_papers(sources: DataFrame) -> DataFrame:
     """Papers whose abstract is the document's whole text, for search at one level."""
-    return paper_rows(sources).drop("markdown", "abstract").join(
-        sources.select("source_path", F.col("text").alias("abstract")), "source_path"
-    )
+    return paper_rows(sources, F.col("text")).drop("markdown")
 
 
 def note_rows(spark: SparkSession, folder: str) -> DataFrame:
