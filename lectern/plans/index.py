@@ -187,10 +187,21 @@ class IndexWriter:
         self.write("blocks", ids.withColumn("block", F.spark_partition_id()))
         return written
 
-    def hierarchy(self) -> None:
-        papers = self.index.papers
-        self.write("sections", parse_sections(papers.select("paper_id", "title", "markdown")))
-        self.write("chunks", number_chunks(chunk_sections(self.index.sections, self.index.settings.chunks)))
+    def hierarchy(self, previous: Index | None = None, kept: DataFrame | None = None) -> None:
+        """Sections and chunks; those of kept papers come from the previous snapshot."""
+        papers = self.index.papers.select("paper_id", "title", "markdown")
+        if previous is None:
+            self.write("sections", parse_sections(papers))
+            self.write("chunks", number_chunks(chunk_sections(self.index.sections, self.index.settings.chunks)))
+            return
+        fresh = papers.join(kept, "paper_id", "left_anti")
+        self.write("sections", previous.sections.join(kept, "paper_id", "left_semi").unionByName(parse_sections(fresh)))
+        same_budget = previous.settings.chunks == self.index.settings.chunks
+        sections = self.index.sections if not same_budget else self.index.sections.join(kept, "paper_id", "left_anti")
+        chunks = number_chunks(chunk_sections(sections, self.index.settings.chunks))
+        if same_budget:
+            chunks = previous.chunks.join(kept, "paper_id", "left_semi").unionByName(chunks)
+        self.write("chunks", chunks)
 
     def entities(self, rows: DataFrame, mode: str = "errorifexists") -> None:
         buckets = F.pmod(F.xxhash64("entity_id"), F.lit(self.index.settings.layout.entity_buckets)).cast("int")

@@ -13,11 +13,12 @@ from lectern.plans.registered import sql as q
 from lectern.session import settle, spread
 from lectern.sources import tables
 
-NO_SCOPE = F.lit(None).cast("string")
+def no_scope():
+    return F.lit(None).cast("string").alias("scope")
 
 
 def benchmark_queries(spark, folder):
-    return tables.table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text", NO_SCOPE.alias("scope"))
+    return tables.table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text", no_scope())
 
 
 def _math(queries):
@@ -121,7 +122,7 @@ def _label_queries(spark, folder):
     parts = rows.select("label", F.posexplode("vector").alias("at", "x")).groupBy("label", "at").agg(F.sum(F.col("x").cast("double")).alias("x"))
     # At most one row per dimension in a group.
     gathered = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
-    return gathered.select(F.col("label").cast("string").alias("query_id"), F.transform("xs", lambda s: s["x"]).alias("vector"), NO_SCOPE.alias("scope"))
+    return gathered.select(F.col("label").cast("string").alias("query_id"), F.transform("xs", lambda s: s["x"]).alias("vector"), no_scope())
 
 
 def cosine_topk(spark, folder):
@@ -222,7 +223,7 @@ def hash_embedding(spark, folder):
 def _given_dense(spark, folder, index, limit=60):
     vectors = tables.stored_vectors(spark, folder).join(index.papers.select("paper_id"), "paper_id", "left_semi")
     asked = tables.table(spark, folder, "benchmark").join(tables.table(spark, folder, "embeddings"), F.col("item_id") == F.col("vec_id"))
-    queries = asked.select(F.col("item_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"), NO_SCOPE.alias("scope"))
+    queries = asked.select(F.col("item_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"), no_scope())
     return dense.search_dense(vectors, queries, limit)
 
 

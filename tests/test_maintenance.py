@@ -157,7 +157,7 @@ def test_empty_chunks_and_mirror(spark):
 
 
 @pytest.mark.parametrize("md,want", [
-    ("# T\n## Abstract\nline one\nline two\n## Next\nx", "line one\nline two"), ("# T\n**Abstract:** inline text\nmore\n# N", "inline text\nmore"), ("Abstract\nplain\n# N\nx", "plain"), ("# T\nnothing", ""),
+    ("# T\n## Abstract\nline one\nline two\n## Next\nx", "line one\nline two"), ("# T\n**Abstract**: inline text\nmore\n# N", "inline text\nmore"), ("Abstract\nplain\n# N\nx", "plain"), ("# T\nnothing", ""),
 ])
 def test_abstract(spark, md, want):
     assert values(spark, metadata.abstract_of, md) == [want]
