@@ -98,7 +98,8 @@ def markdown_sections(spark, folder):
 
 
 MARKDOWN_SQL = q.with_(q.PAPERS, SECTIONS_SQL, select="""
-SELECT paper_id, section_order, parent_order, level, heading, heading_path, page_start, page_end, md5(text) AS text_digest FROM sections""")
+SELECT paper_id, CAST(section_order AS INT) AS section_order, CAST(parent_order AS INT) AS parent_order, CAST(level AS INT) AS level, heading, heading_path,
+  CAST(page_start AS INT) AS page_start, CAST(page_end AS INT) AS page_end, md5(text) AS text_digest FROM sections""")
 
 
 def outline_counts(spark, folder):
@@ -109,7 +110,7 @@ def outline_counts(spark, folder):
 
 
 OUTLINE_SQL = q.with_(q.PAPERS, SECTIONS_SQL, select="""
-SELECT paper_id, level, count(*) AS sections, count(parent_order) AS children, CAST(max(length(heading_path)) AS BIGINT) AS longest_path FROM sections GROUP BY paper_id, level""")
+SELECT paper_id, CAST(level AS INT) AS level, count(*) AS sections, count(parent_order) AS children, CAST(max(length(heading_path)) AS BIGINT) AS longest_path FROM sections GROUP BY paper_id, level""")
 
 
 def math_aware_chunks(spark, folder):
@@ -127,7 +128,7 @@ def chunk_token_totals(spark, folder):
 
 
 CHUNK_TOTALS_SQL = q.with_(q.PAPERS, SECTIONS_SQL, select=rf"""
-SELECT paper_id, section_order, tokens FROM (SELECT paper_id, section_order, CAST({q.count_tokens(UNMARKED)} AS BIGINT) AS tokens FROM sections) WHERE tokens > 0""")
+SELECT paper_id, CAST(section_order AS INT) AS section_order, tokens FROM (SELECT paper_id, section_order, CAST({q.count_tokens(UNMARKED)} AS BIGINT) AS tokens FROM sections) WHERE tokens > 0""")
 
 
 def paragraph_packing(spark, folder):
@@ -212,8 +213,8 @@ climb AS (SELECT paper_id, section_order, parent_order AS up, 1 AS dist FROM mar
   UNION ALL SELECT c.paper_id, c.section_order, m.parent_order, c.dist + 1 FROM climb c JOIN marked m ON m.paper_id = c.paper_id AND m.section_order = c.up WHERE m.parent_order IS NOT NULL),
 ups AS (SELECT c.paper_id, c.section_order, arg_min(c.up, c.dist) FILTER (m.level <= 2 OR m.major) AS stop_order, arg_max(c.up, c.dist) AS top_order, bool_or(c.dist = 1 AND m.major) AS major_parent
   FROM climb c JOIN marked m ON m.paper_id = c.paper_id AND m.section_order = c.up GROUP BY ALL)""", select="""
-SELECT m.paper_id, m.section_order, CASE WHEN m.major OR m.level <= 1 OR (m.level = 2 AND NOT m.dotted AND NOT coalesce(u.major_parent, false)) THEN m.section_order
-  ELSE coalesce(u.stop_order, u.top_order, m.section_order) END AS logical_order FROM marked m LEFT JOIN ups u USING (paper_id, section_order)""")
+SELECT m.paper_id, CAST(m.section_order AS INT) AS section_order, CAST(CASE WHEN m.major OR m.level <= 1 OR (m.level = 2 AND NOT m.dotted AND NOT coalesce(u.major_parent, false)) THEN m.section_order
+  ELSE coalesce(u.stop_order, u.top_order, m.section_order) END AS INT) AS logical_order FROM marked m LEFT JOIN ups u USING (paper_id, section_order)""")
 
 
 def page_roll_up(spark, folder):
@@ -222,7 +223,7 @@ def page_roll_up(spark, folder):
     return hierarchy.page_roll_up(index.sections)
 
 
-ROLL_UP_SQL = q.with_(q.PAPERS, SECTIONS_SQL, select="SELECT paper_id, section_order, page_start, page_end FROM sections")
+ROLL_UP_SQL = q.with_(q.PAPERS, SECTIONS_SQL, select="SELECT paper_id, CAST(section_order AS INT) AS section_order, CAST(page_start AS INT) AS page_start, CAST(page_end AS INT) AS page_end FROM sections")
 
 
 # Identity.

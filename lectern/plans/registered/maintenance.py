@@ -114,7 +114,7 @@ def layout_changes(spark, folder):
 
 
 LAYOUT_SQL = """
-SELECT 'conv-' || conv_id AS paper_id, count(*) AS old_chunks, count_if(role <> 'system') AS new_chunks FROM conversations GROUP BY conv_id HAVING count_if(role = 'system') > 0"""
+SELECT 'conv-' || conv_id AS paper_id, count(*) AS old_chunks, CAST(count_if(role <> 'system') AS BIGINT) AS new_chunks FROM conversations GROUP BY conv_id HAVING count_if(role = 'system') > 0"""
 
 
 def reindex_compact(spark, folder):
@@ -147,7 +147,7 @@ def hierarchy_check(spark, folder):
 
 HIERARCHY_SQL = """
 WITH t AS (SELECT 'conv-' || conv_id AS paper_id, turn, role, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations),
-c AS (SELECT paper_id, count(*) AS sections, count_if(role = 'assistant') AS chunks, count_if(role = 'assistant' AND turn = last_turn) AS orphan_chunks,
+c AS (SELECT paper_id, count(*) AS sections, CAST(count_if(role = 'assistant') AS BIGINT) AS chunks, CAST(count_if(role = 'assistant' AND turn = last_turn) AS BIGINT) AS orphan_chunks,
   CASE WHEN count_if(role = 'system') > 0 THEN count(*) ELSE 0 END AS broken_parents FROM t GROUP BY ALL)
 SELECT *, sections > 0 AND chunks > 0 AND orphan_chunks = 0 AND broken_parents = 0 AS complete FROM c"""
 

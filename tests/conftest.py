@@ -11,7 +11,7 @@ from lectern.session import get_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = get_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
     })
     session.sparkContext.setLogLevel("ERROR")
     return session
