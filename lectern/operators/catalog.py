@@ -17,7 +17,7 @@ HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 SEPARATOR_CELL = r"^:?-{3,}:?$"
 ARTIFACT = r"(?i)(?<![\p{L}\p{N}_.-])((?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9][A-Za-z0-9_.-]*\.(?:pdf|md))(?![\p{L}\p{N}_.-])"
 ID_HEADERS = ("name", "id", "paper", "paper id", "record", "work")
-ADMIN_FILES = ("agents.md", "index.md", "jon_download_list.md", "readme.md", "research_mcp.md")
+ADMIN_FILES = ("agents.md", "index.md", "readme.md")
 MAX_HEADING = 6
 
 

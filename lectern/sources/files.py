@@ -36,12 +36,15 @@ def listing(files: DataFrame) -> DataFrame:
     return files.select("source_path", "source_kind", F.sha2("content", 256).alias("content_hash"))
 
 
-def scan_sources(spark: SparkSession, root: str, references: DataFrame | None = None, exclusions=()) -> DataFrame:
-    """PDF files and the Markdown files that the catalog names, unique by path and kind."""
+def scan_sources(spark: SparkSession, root: str, references: DataFrame | None = None, exclusions=(), admin_files=ADMIN_FILES) -> DataFrame:
+    """PDF files and the Markdown files that the catalog names, unique by path and kind.
+
+    ``admin_files`` are names that never hold a paper; add those of the site.
+    """
     pdfs = scan(spark, root, ".pdf", "pdf", exclusions)
     if references is None:
         return pdfs
-    named = references.where(F.lower("artifact").endswith(".md") & ~tx.casefold(tx.basename(F.col("artifact"))).isin(*ADMIN_FILES))
+    named = references.where(F.lower("artifact").endswith(".md") & ~tx.casefold(tx.basename(F.col("artifact"))).isin(*admin_files))
     markdown = scan(spark, root, ".md", "markdown_reference", exclusions)
     kept = match_artifacts(named, markdown).where("artifact IS NOT NULL").select("source_path")
     return pdfs.unionByName(markdown.join(kept, "source_path", "left_semi")).dropDuplicates(["source_path", "source_kind"])
