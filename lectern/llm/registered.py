@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, packing
-from lectern.llm.sql import MIX_SQL
+from lectern.llm import mixing, neardup, packing
+from lectern.llm.sql import MIX_SQL, NEAR_DUPLICATE_SQL
 from lectern.sources.tables import table
 
 
@@ -12,12 +12,17 @@ def op4_weighted_fair_queueing(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_hamming_near_duplicates(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op10_shortest_pack_first(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
 QUERIES = {
     "op4_weighted_fair_queueing": (op4_weighted_fair_queueing, MIX_SQL),
+    "op8_hamming_near_duplicates": (op8_hamming_near_duplicates, NEAR_DUPLICATE_SQL),
     "op10_shortest_pack_first": (op10_shortest_pack_first, None),
 }
 

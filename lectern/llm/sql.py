@@ -35,3 +35,22 @@ WITH sized AS (
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken, q.source
 FROM queued q LEFT JOIN kept k ON q.doc_id = k.doc_id AND q.source IS NOT DISTINCT FROM k.source
 """
+
+NEAR_DUPLICATE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), listed AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words
+), sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM listed),
+shingles AS MATERIALIZED (SELECT doc_id, unnest(s) AS s FROM listed),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 85 * ((SELECT n FROM sized WHERE doc_id = a.doc_id) + (SELECT n FROM sized WHERE doc_id = b.doc_id) - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sized
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, s.n AS n_shingles, component_id, s.doc_id = component_id AS kept FROM sized s JOIN least USING (doc_id)
+"""
