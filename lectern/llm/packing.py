@@ -10,9 +10,11 @@ they occur; a null ``doc_id`` is kept; other columns are not read; an empty tabl
 
 from __future__ import annotations
 
+import sys
 import zlib
 from array import array
 from collections import defaultdict
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from lectern.session import settle
 SEQUENCE = 4096
 END_TOKEN = 2
 RANK_BLOCK = 8192
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -42,9 +44,12 @@ class WordEncoder:
 
     White space ends every pre-token, so a text's ids are those of its words one after another.
     Words of simple letters, perhaps with one full stop or comma, are encoded many at a time: each
-    ends in the one token that carries the end-of-word mark.  All others are encoded one by one.
+    ends in the one token that carries the end-of-word mark.  Between others stands a rare letter
+    whose tokens mark the ends; words that hold this letter are encoded one by one.
     """
 
+    BETWEEN = "ꙮ"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -53,6 +58,7 @@ class WordEncoder:
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.final[number] = token.endswith("</w>")
+        self.between = np.array(self.model.encode(self.BETWEEN, add_special_tokens=False).ids, np.uint32)
         self.known: dict[bytes, bytes] = {}
 
     def _one_by_one(self, words: list[bytes]) -> None:
@@ -60,6 +66,26 @@ class WordEncoder:
         for word, found in zip(words, self.model.encode_batch_fast(texts, add_special_tokens=False)):
             self.known[word] = array("I", found.ids).tobytes()
 
+    def _with_marks(self, words: list[bytes]) -> None:
+        mark, size = self.BETWEEN.encode(), len(self.between)
+        alone = [w for w in words if mark in w]
+        words = [w for w in words if mark not in w]
+        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
+        texts = [b"".join([w + b" " + mark + b" " for w in r]).decode() for r in runs]
+        for run, found in zip(runs, self.model.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            hit = np.ones(len(ids) - size + 1, bool)
+            for at in range(size):
+                hit &= ids[at : len(ids) - size + 1 + at] == self.between[at]
+            starts = np.flatnonzero(hit)
+            if len(starts) != len(run):
+                alone.extend(run)
+                continue
+            raw, ends = ids.tobytes(), (4 * starts).tolist()
+            begins = [0, *(e + 4 * size for e in ends)]
+            self.known.update(zip(run, (raw[a:b] for a, b in zip(begins, ends))))
+        self._one_by_one(alone)
+
     def _together(self, words: list[bytes]) -> None:
         runs = [words[i : i + 500] for i in range(0, len(words), 500)]
         found = self.model.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)
@@ -74,7 +100,7 @@ class WordEncoder:
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = words - self.known.keys()
+        new = words.difference(self.known)
         simple, pointed, other = set(), [], []
         for word in new:
             bare = word[:-1] if word[-1:] in (b",", b".") else word
@@ -85,10 +111,10 @@ class WordEncoder:
                     pointed.append(word)
             else:
                 other.append(word)
-        simple = sorted(simple - self.known.keys())
+        simple = list(simple.difference(self.known))
         if simple:
             self._together(simple)
-        self._one_by_one(sorted({*other, b",", b"."} - self.known.keys()))
+        self._with_marks(list({*other, b",", b"."}.difference(self.known)))
         for word in pointed:
             self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
 
@@ -100,6 +126,14 @@ class WordEncoder:
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker; later tasks of the worker find its words known."""
+    store = sys.modules.setdefault("_word_encoders", ModuleType("_word_encoders"))
+    if path not in store.__dict__:
+        store.__dict__[path] = WordEncoder(path)
+    return store.__dict__[path]
+
+
 def tokenize(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end: int = END_TOKEN) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens``."""
 
@@ -107,9 +141,9 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end: int = E
         encoder, tail = None, int(end).to_bytes(4, "little")
         for batch in batches:
             if encoder is None:
-                encoder = WordEncoder(tokenizer)
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+                encoder = worker_encoder(tokenizer)
+            for low in range(0, batch.num_rows, 2000):
+                part = batch.slice(low, 2000)
                 data, offsets = text_bytes(part.column(1))
                 raw, at = data.tobytes(), offsets.tolist()
                 rows = []
