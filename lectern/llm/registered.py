@@ -2,27 +2,60 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, neardup, packing
+from pyspark.sql import functions as F
+
+from lectern.llm import classifier, graph, language, licenses, mixing, neardup, packing, quality, substrings
 from lectern.llm.sql import MIX_SQL, NEAR_DUPLICATE_SQL
 from lectern.sources.tables import table
 
 
+def op1_perplexity_bands(spark, folder):
+    judged = quality.judge(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
+def op2_robust_pruned_graph(spark, folder):
+    return graph.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_collinear_chains(spark, folder):
+    return substrings.repeated_passages(table(spark, folder, "documents"))
+
+
 def op4_weighted_fair_queueing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_license_windows(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op6_language_families(spark, folder):
+    return language.held_out_languages(table(spark, folder, "documents"))
+
+
 def op8_hamming_near_duplicates(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_random_indexing(spark, folder):
+    return classifier.held_out_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_shortest_pack_first(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op1_perplexity_bands": (op1_perplexity_bands, None),
+    "op2_robust_pruned_graph": (op2_robust_pruned_graph, None),
+    "op3_collinear_chains": (op3_collinear_chains, None),
     "op4_weighted_fair_queueing": (op4_weighted_fair_queueing, MIX_SQL),
+    "op5_license_windows": (op5_license_windows, None),
+    "op6_language_families": (op6_language_families, None),
     "op8_hamming_near_duplicates": (op8_hamming_near_duplicates, NEAR_DUPLICATE_SQL),
+    "op9_random_indexing": (op9_random_indexing, None),
     "op10_shortest_pack_first": (op10_shortest_pack_first, None),
 }
 

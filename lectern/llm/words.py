@@ -51,9 +51,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """Splits and hashes words; the tables are built once per task."""
 
-    def __init__(self, lower: bool = False, block: int = 1 << 18):
-        self.white = np.zeros(256, bool)
-        self.white[list(WHITE_SPACE)] = True
+    def __init__(self, lower: bool = False, block: int = 1 << 18, classes: np.ndarray | None = None):
+        """``classes`` gives each byte a class; a change of class ends a word and class 0 is white space."""
+        if classes is None:
+            classes = np.ones(256, np.uint8)
+            classes[list(WHITE_SPACE)] = 0
+        self.classes = classes
         codes = np.arange(256)
         if lower:
             codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
@@ -76,15 +79,13 @@ class WordHasher:
         data, offsets = text_bytes(column)
         if not len(data):
             return data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-        solid = ~self.white[data]
-        before = np.zeros(len(solid), bool)
-        before[1:] = solid[:-1]
-        before[offsets[:-1][offsets[:-1] < len(data)]] = False
-        after = np.zeros(len(solid), bool)
-        after[:-1] = solid[1:]
-        after[offsets[1:][offsets[1:] > 0] - 1] = False
-        starts = np.flatnonzero(solid & ~before)
-        return data, starts, np.flatnonzero(solid & ~after) + 1, np.searchsorted(starts, offsets)
+        kind = self.classes[data]
+        edge = np.ones(len(kind) + 1, bool)
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge[offsets] = True
+        solid = kind > 0
+        starts = np.flatnonzero(solid & edge[:-1])
+        return data, starts, np.flatnonzero(solid & edge[1:]) + 1, np.searchsorted(starts, offsets)
 
     def hashes(self, data, starts, ends) -> np.ndarray:
         """64-bit hash of every word, in blocks of words so that long texts stay bounded."""
