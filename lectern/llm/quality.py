@@ -6,8 +6,10 @@ words only; lower orders, discounts and probabilities are joins and sums of smal
 model is held as sorted arrays of 64-bit keys (an n-gram's bytes, so different n-grams never
 collide) and is broadcast while it has at most ``model_rows`` entries; a larger one is joined.
 
-A document fails if its perplexity lies outside the band of its language: the median of the
-documents that pass the counting rules, plus and minus ``width`` robust deviations.
+A document fails if its log perplexity lies outside the band of its language: the median of the
+documents that pass the counting rules, plus and minus ``width`` robust deviations.  A quoted
+passage, a table or a key of ``PASSAGE_WORDS`` words may lift a clean short text by up to ``SLACK``,
+so the upper limit is raised by ``SLACK`` times the share such a passage has in the text.
 
 Defined cases: a null or empty text has no words and fails; a null language is a language of its
 own; a language without passing documents has no band; repeated rows are judged alike and counted
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from lectern.session import settle
 
 ORDER = 4
-WIDTH = 8.0
-LEAST_WIDTH = 0.05
+WIDTH = 6.0
+LEAST_WIDTH = 0.1
+PASSAGE_WORDS = 64
+SLACK = 1.5
 BIN = 0.001
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -300,7 +304,8 @@ def judge(docs: DataFrame, order: int = ORDER, width: float = WIDTH, model_rows:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rows = measured(docs, order, model_rows).withColumn("base_failed", failed)
     judged = rows.join(settle(bands(rows, width)), F.col("lang").eqNullSafe(F.col("_band_lang")), "left")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
+    slack = SLACK * F.least(F.lit(1.0), PASSAGE_WORDS / F.col("n_words"))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper") + slack), F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inside).withColumn("perplexity", F.exp("log_perplexity"))
 
 
