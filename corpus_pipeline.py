@@ -9,10 +9,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import mixing, packing
+from lectern.llm import mixing, neardup, packing, quality, secrets
 from lectern.session import shared_dir
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality rules reject."""
+    return quality.good_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates."""
+    return neardup.without_near_duplicates(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; every document stays."""
+    return secrets.masked(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that every source meets its share."""
     return mixing.mixed_documents(docs)
@@ -23,7 +38,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("mixing", mix), ("packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_duplicates),
+    ("secret scan", secret_scan),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 # The language model, the forest and the tokenizer cannot be expressed in SQL; tests hold the
 # stages against brute-force versions.
@@ -34,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
+        path = f"{folder}/{number}-{name.replace(' ', '-')}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

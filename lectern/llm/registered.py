@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import classifier, graph, language, licenses, mixing, neardup, packing, quality, substrings
+from lectern.llm import classifier, graph, language, licenses, mixing, neardup, packing, quality, secrets, substrings
 from lectern.llm.sql import MIX_SQL, NEAR_DUPLICATE_SQL
 from lectern.sources.tables import table
 
@@ -35,6 +35,11 @@ def op6_language_families(spark, folder):
     return language.held_out_languages(table(spark, folder, "documents"))
 
 
+def op7_secret_forest(spark, folder):
+    found = secrets.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "no", F.sha2("value", 256).alias("value_sha256"), "length", "assigned", "coverage", "chance", "is_secret")
+
+
 def op8_hamming_near_duplicates(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op4_weighted_fair_queueing": (op4_weighted_fair_queueing, MIX_SQL),
     "op5_license_windows": (op5_license_windows, None),
     "op6_language_families": (op6_language_families, None),
+    "op7_secret_forest": (op7_secret_forest, None),
     "op8_hamming_near_duplicates": (op8_hamming_near_duplicates, NEAR_DUPLICATE_SQL),
     "op9_random_indexing": (op9_random_indexing, None),
     "op10_shortest_pack_first": (op10_shortest_pack_first, None),
