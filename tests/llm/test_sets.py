@@ -1,0 +1,172 @@
+"""Mixing, packing, secrets and the pipeline."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from lectern.llm import mixing, packing, secrets
+from tests.llm.rows import documents, no_documents, odd_documents, odd_rows
+
+
+def filled(sizes, weights, share, epochs):
+    """Targets by weight, one limit after the other."""
+    budget, target, open_sources = share * sum(sizes.values()), {}, dict(weights)
+    while open_sources:
+        level = (budget - sum(target.values())) / sum(open_sources.values())
+        full = [s for s, w in open_sources.items() if w * level >= epochs * sizes[s]]
+        if not full:
+            return {**target, **{s: w * level for s, w in open_sources.items()}}
+        for s in full:
+            target[s] = epochs * sizes[s]
+            del open_sources[s]
+    return target
+
+
+def test_mixing(spark):
+    draw = random.Random(21)
+    rows = [(i, " ".join(["w"] * draw.randint(1, 60)), "en", draw.choice(["a", "b", "c", "c", "c", "d", None])) for i in range(400)]
+    rows += [(900, None, "en", "a"), (901, "", "en", "zero")]
+    docs = documents(spark, rows)
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows)
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in found:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken == r.copies * r.size and r.taken <= 2 * r.size
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    want = filled(sizes, weights, 1.5, 2)
+    for s in names:
+        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= 90
+        assert {r.source_size for r in found if r.source == s} == {sizes[s]}
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+    split = mixing.sizes(docs)
+    targets = mixing.source_targets(split)
+    key = ["doc_id", "source", "_done"]
+    small, large = (sorted(map(str, mixing.queue(split, targets, block_rows=n).select(*key).collect())) for n in (7, 10**6))
+    assert small == large
+
+
+def test_mixing_edges(spark):
+    assert mixing.mix(no_documents(spark)).count() == 0
+    found = mixing.mix(odd_documents(spark)).collect()
+    assert len(found) == len(odd_rows())
+    rows = mixing.mixed_documents(odd_documents(spark))
+    assert rows.columns == odd_documents(spark).columns
+    want = Counter({(r.doc_id, r.source): 0 for r in found})
+    for r in found:
+        want[r.doc_id, r.source] += r.copies
+    got = Counter((r.doc_id, r.source) for r in rows.collect())
+    assert got == +want
+
+
+def test_packing_round_trip(spark):
+    draw = random.Random(22)
+    alphabet = ["the", "Ünder", "it's", "9.5,", "x" * 40, "日本語", "<|endoftext|>", "a<|b", "ꙮ", "aꙮb", "İz", "क़", "naïve.", "###", "  y"]
+    rows = [(i, " ".join(draw.choices(alphabet, k=draw.randint(0, 2500)))) for i in range(60)] + [(100, None), (101, ""), (None, "null id"), (3, "again")]
+    docs = documents(spark, rows)
+    found = packing.pack(docs).collect()
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    want = Counter()
+    for doc, text in rows:
+        ids = np.array(model.encode(text or "", add_special_tokens=False).ids + [2], np.uint32)
+        for start in range(0, len(ids), 4096):
+            part = ids[start : start + 4096]
+            want[doc, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(ids)] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found) == want
+    by_sequence = defaultdict(list)
+    for r in found:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for pieces in by_sequence.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    assert packing.pack(no_documents(spark)).count() == 0
+    assert packing.pack(odd_documents(spark)).select("doc_id").distinct().count() == 10
+
+
+def test_patterns_use_every_piece_once():
+    draw = random.Random(23)
+    for size in (64, 1000):
+        histogram = Counter(draw.randint(1, size) for _ in range(5000))
+        patterns = packing.packing_patterns(histogram, size)
+        used = Counter()
+        for count, lengths in patterns:
+            assert count > 0 and sum(lengths) <= size
+            for n in lengths:
+                used[n] += count
+        assert used == histogram
+        assert sum(c for c, _ in patterns) * size < 1.02 * sum(n * c for n, c in histogram.items()) + size
+    assert packing.packing_patterns({}, 10) == []
+
+
+def test_ranks_in_blocks_fill_the_same_slots(spark):
+    pieces = spark.range(3000).selectExpr("id as doc_id", "0L as start", "cast(3 + id % 2 as int) as length", "id as ids_crc32", "5L as doc_tokens")
+    for block in (8192, 100):
+        found = packing.place(pieces, 10, block).collect()
+        slots = {(r.sequence_id, r.offset) for r in found}
+        assert len(found) == len(slots) == 3000
+
+
+def test_secrets(spark):
+    key = "AKIA" + "QX7ZP2LM9T4R6WSB"
+    digest = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [
+        (1, f"before it {key} and after", "en", "s"), (2, f'set token = "{digest}" now', "en", "s"), (3, "password=b7db7aa4a5fcc78305 end", "en", "s"),
+        (4, "card 4041894974608795 paid", "en", "s"), (5, "call +1 (988) 555-2485 or mail a.42@mail8.example.com", "en", "s"),
+        (6, "id 123e4567-e89b-12d3-a456-426614174000 of a row", "en", "s"), (7, "in commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b we did", "en", "s"),
+        (8, "plain prose about nothing", "en", "s"), (9, None, "en", "s"), (10, "", "en", None), (None, f"x {key} y {key}", "en", None), (1, f"before it {key} and after", "en", "s"),
+    ]
+    docs = documents(spark, rows)
+    found = secrets.scan(docs).collect()
+    hidden = {(r.doc_id, r.value) for r in found if r.is_secret}
+    assert hidden == {(1, key), (2, digest), (3, "b7db7aa4a5fcc78305"), (None, key)}
+    assert {r.doc_id for r in found if not r.is_secret} >= {4, 6, 7} and sum(r.doc_id is None for r in found) == 2 and sum(r.doc_id == 1 for r in found) == 1
+    clean = secrets.masked(docs)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[1] == "before it [SECRET] and after" and texts[None] == "x [SECRET] y [SECRET]" and texts[4] == rows[3][1] and texts[9] is None
+    assert texts[3] == "password=[SECRET] end"
+    assert secrets.scan(no_documents(spark)).count() == 0
+    assert secrets.masked(odd_documents(spark)).count() == len(odd_rows())
+
+
+def test_coverage_counts_corpus_words(spark):
+    docs = documents(spark, [(i, "garden fence") for i in range(6)] + [(9, "rare garden2024fence1234x")])
+    found = secrets.with_coverage(secrets.described(secrets.findings(docs)), docs).collect()
+    assert [(r.value, round(r.coverage, 3)) for r in found] == [("garden2024fence1234x", round(11 / 20, 3))]
+
+
+def test_pipeline(spark, tmp_path):
+    draw = random.Random(24)
+    words = "the of and under water house light north river stone green early".split()
+    text = {i: " ".join(draw.choice(words) + draw.choice("abcdefgh") for _ in range(80)) for i in range(30)}
+    key = "AKIA" + "QX7ZP2LM9T4R6WSB"
+    text[5] += " " + key
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in text.items()] + [(100, text[0], "en", "s0", 1), (101, "short", "en", "s0", 1), (102, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    columns, seen, at = docs.columns, {}, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = str(tmp_path / name.replace(" ", "-"))
+        stage(spark, at, str(tmp_path)).write.parquet(path)
+        at = spark.read.parquet(path)
+        assert at.columns == columns
+        seen[name] = at.collect()
+    assert sorted(r.doc_id for r in seen["quality rules"]) == [*range(30), 100]
+    assert sorted(r.doc_id for r in seen["near-dedup"]) == list(range(30))
+    assert {r.doc_id for r in seen["secret scan"]} == set(range(30)) and not any(key in r.text for r in seen["secret scan"])
+    assert {r.doc_id for r in seen["mixing"]} <= set(range(30)) and max(Counter(r.doc_id for r in seen["mixing"]).values()) <= 2
+    assert 1.3 < sum(len(r.text.split()) for r in seen["mixing"]) / sum(len(r.text.split()) for r in seen["secret scan"]) < 1.7
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in final) == Counter(r.doc_id for r in seen["mixing"])
