@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.language import remainder
+from lectern.llm.shared import bounded_batches
 from lectern.llm.words import WHITE_SPACE, WordHasher, byte_slices
 from lectern.session import settle
 
@@ -83,7 +84,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slot", "cells"])
 
     shape = "slot int, cells binary"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, shape).repartition(GROUPS, "slot").mapInArrow(add, shape).collect()
+    parts = bounded_batches(docs).select(F.col("text").cast("string")).mapInArrow(count, shape).repartition(GROUPS, "slot").mapInArrow(add, shape).collect()
     table = np.zeros((GROUPS, per_group))
     for r in parts:
         table[r["slot"]] = np.frombuffer(r["cells"], np.int64)
@@ -107,7 +108,7 @@ def pooled(docs: DataFrame, table: np.ndarray) -> DataFrame:
                     raw.append(row.astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pool, "doc_id long, features binary")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pool, "doc_id long, features binary")
 
 
 class Network:

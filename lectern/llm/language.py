@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import bounded_batches
 from lectern.llm.words import GOLDEN, byte_slices, text_bytes
 from lectern.session import settle
 
@@ -136,12 +137,12 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS) -> LanguageModel:
     """Learn from ``labelled (doc_id, text, lang)``; rows without a language or a text are left out."""
-    rows = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    rows = bounded_batches(labelled).where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     shares = rows.select("lang").distinct().count()
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(1, train_rows // max(1, shares)))
-    chosen = settle(chosen.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l")).limit(train_rows))
-    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_d")) & (F.col("lang") == F.col("_l"))).drop("_d", "_l")
+    chosen = settle(chosen.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l")).distinct().limit(train_rows))
+    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_d")) & (F.col("lang") == F.col("_l"))).drop("_d", "_l").dropDuplicates(["doc_id", "lang"])
 
     def prepared(batches):
         for batch in batches:
@@ -151,7 +152,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS) ->
 
     held = sample.mapInArrow(prepared, "doc_id long, lang string, row binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     raw = held.column("row").to_pylist()
-    features = np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), -1).astype(np.float32)
+    features = np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), 1 << bits).astype(np.float32)
     return LanguageModel(features, held.column("lang").to_pylist())
 
 
@@ -173,7 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel, bits: int = BITS) -> DataFra
                     names=["doc_id", "lang_pred", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
 def remainder(parts: int):

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import bounded_batches
 from lectern.llm.words import GOLDEN, WordHasher, byte_slices, mix, windows
 
 SHINGLE = 5
@@ -167,4 +168,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()))]
                     yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FOUND.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look, FOUND)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look, FOUND)

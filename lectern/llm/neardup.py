@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import components
+from lectern.llm.shared import bounded_batches, components
 from lectern.llm.words import GOLDEN, WordHasher, byte_slices, mix, row_shingles
 from lectern.session import settle
 
@@ -85,7 +85,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     names=["doc_id", "n_shingles", "mark", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         sketch, "doc_id long, n_shingles long, mark binary, signature binary"
     )
 
@@ -156,7 +156,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, hoods: DataFrame, perce
         hoods.join(blocks, "hood").join(classes, "rep")
         .select("rep", "hood", "blocks", "mark", "signature", F.pmod(F.xxhash64("rep"), "blocks").alias("mine"))
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     found = texts.join(wanted, "rep")
     kept = ["rep", "hood", "blocks", "mine", "signature"]
 

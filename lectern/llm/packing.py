@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import bounded_batches
 from lectern.llm.words import text_bytes
 from lectern.operators.ranking import blocked_row_number
 from lectern.session import settle
@@ -159,7 +160,7 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end: int = E
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
 
 
 def packing_patterns(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, tuple[int, ...]]]:

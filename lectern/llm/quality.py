@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import bounded_batches
 from lectern.session import settle
 
 ORDER = 4
@@ -102,7 +103,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     yield from out()
         yield from out()
 
-    found = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(count, "lang string, gram long, n long")
+    found = bounded_batches(docs).select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(count, "lang string, gram long, n long")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -233,7 +234,7 @@ def _measured(docs: DataFrame, models: dict | None, order: int) -> DataFrame:
                     names=[f.split()[0] for f in FEATURES.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("mark"), F.col("text").cast("string")).mapInArrow(measure, FEATURES)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("mark"), F.col("text").cast("string")).mapInArrow(measure, FEATURES)
 
 
 def _joined_sums(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -251,7 +252,7 @@ def _joined_sums(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
                             names=["_doc", "_lang", "_mark", "gram", "times"],
                         )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("mark"), F.col("text").cast("string")).distinct()
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("mark"), F.col("text").cast("string")).distinct()
     listed = settle(rows.mapInArrow(grams, "_doc long, _lang string, _mark long, gram long, times long"))
     known = listed.select("_lang", "gram").distinct()
     value, back = None, F.lit(0.0)

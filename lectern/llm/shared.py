@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.session import settle
 
+BATCH_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -14,6 +15,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of the session limited in bytes, for text columns that go to Python.
+
+    Rows differ widely in length; a limit by rows alone would let memory grow with the texts.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def range_running_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     """Inclusive running sum of ``value`` in the global order, without one task sorting all rows.
 

@@ -17,7 +17,7 @@ MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
 BASE = 0xD6E8FEB86659FD93
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """Splits and hashes words; the tables are built once per task."""
 
-    def __init__(self, lower: bool = False, block: int = 1 << 18, classes: np.ndarray | None = None):
+    def __init__(self, lower: bool = False, block: int = 1 << 16, classes: np.ndarray | None = None):
         """``classes`` gives each byte a class; a change of class ends a word and class 0 is white space."""
         if classes is None:
             classes = np.ones(256, np.uint8)
