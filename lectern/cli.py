@@ -5,6 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import reduce
+
+from pyspark.sql import DataFrame
 
 from lectern.config import MODES, PIPELINES, Settings, load_settings
 from lectern.operators import evaluation, quality
@@ -60,7 +63,7 @@ def main(argv=None) -> int:
     spark = get_session()
 
     def opened(revision):
-        return Index(spark, f"{args.index}/rev={revision}", revision, settings)
+        return Index.open(spark, args.index, revision)
 
     if args.command == "ingest":
         previous = opened(args.previous) if args.previous is not None else None
@@ -80,9 +83,20 @@ def main(argv=None) -> int:
         rows = files.evaluation_queries(spark, args.queries)
         from pyspark.sql import functions as F
 
-        queries = rows.select("query_id", "text", F.lit(None).cast("string").alias("scope"))
         relevant = rows.select("query_id", F.explode("relevant_papers").alias("paper_id"))
-        return _show(envelope(lambda: evaluation.mean_metrics(corpus.evaluate(queries, relevant))))
+
+        def evaluated():
+            unknown = rows.where(~F.col("mode").isin(list(MODES))).select("mode").first()
+            if unknown is not None:
+                raise ValueError(f"mode must be one of {sorted(MODES)}")
+            parts = []
+            for mode in MODES:
+                queries = rows.where(F.col("mode") == mode).select("query_id", "text", F.lit(None).cast("string").alias("scope"))
+                if not queries.isEmpty():
+                    parts.append(corpus.evaluate(queries, relevant, mode=mode))
+            return evaluation.mean_metrics(reduce(DataFrame.unionByName, parts))
+
+        return _show(envelope(evaluated))
     return _show(envelope(lambda: quality.readiness(snapshot_checks(corpus.index))))
 
 

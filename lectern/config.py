@@ -98,8 +98,10 @@ class Settings:
 
 
 def load_settings(path: str | Path) -> Settings:
-    raw = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+    return settings_from(tomllib.loads(Path(path).read_text(encoding="utf-8")))
 
+
+def settings_from(raw: dict) -> Settings:
     def build(cls, name):
         section = raw.get(name, {})
         if not isinstance(section, dict):

@@ -39,25 +39,39 @@ def _accent_table() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=None)
-def _ascii_table() -> tuple[str, str]:
-    """Characters whose compatibility form keeps exactly one ASCII character."""
-    source, target = [], []
-    for code in range(0x80, 0x10000):
-        if 0xD800 <= code < 0xE000:
-            continue
+def _ascii_forms() -> tuple[tuple[str, str], ...]:
+    """Characters of all planes whose compatibility form keeps ASCII characters, with those."""
+    pairs = []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
         kept = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(kept) == 1:
-            source.append(chr(code))
-            target.append(kept)
-    return "".join(source), "".join(target)
+        if kept.strip():
+            pairs.append((chr(code), kept))
+    return tuple(pairs)
 
 
 @lru_cache(maxsize=None)
-def _ligatures() -> tuple[tuple[str, str], ...]:
-    pairs = []
-    for code in range(0xFB00, 0xFB07):
-        pairs.append((chr(code), unicodedata.normalize("NFKD", chr(code))))
-    return tuple(pairs)
+def _ascii_table() -> tuple[str, str]:
+    """Those of the first plane that keep one character."""
+    single = [(c, kept) for c, kept in _ascii_forms() if len(kept) == 1 and c < "\U00010000"]
+    return "".join(c for c, _ in single), "".join(kept for _, kept in single)
+
+
+@lru_cache(maxsize=None)
+def _long_forms() -> tuple[tuple[str, str], ...]:
+    """The others: several characters, or a letter of another plane."""
+    return tuple((c, kept) for c, kept in _ascii_forms() if len(kept) > 1 or c >= "\U00010000")
+
+
+def _ranges(characters) -> str:
+    """A character class of the given characters."""
+    out, codes = [], sorted(map(ord, characters))
+    first = last = codes[0]
+    for code in [*codes[1:], None]:
+        if code != last + 1:
+            out.append(f"\\x{{{first:x}}}-\\x{{{last:x}}}")
+            first = code
+        last = code
+    return "[" + "".join(out) + "]"
 
 
 def casefold(text: Column) -> Column:
@@ -116,9 +130,11 @@ def clean_markdown(text: Column) -> Column:
 
 
 def to_ascii(text: Column) -> Column:
-    value = text
-    for ligature, letters in _ligatures():
-        value = F.replace(value, F.lit(ligature), F.lit(letters))
+    """What compatibility forms keep of a text in ASCII; texts without long forms skip their table."""
+    forms = _long_forms()
+    table = F.map_from_arrays(F.split(F.lit("\n".join(c for c, _ in forms)), "\n"), F.split(F.lit("\n".join(kept for _, kept in forms)), "\n"))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    value = F.when(text.rlike(_ranges(c for c, _ in forms)), spelled).otherwise(text)
     value = F.translate(value, *_ascii_table())
     return F.regexp_replace(value, r"[^\x00-\x7F]", "")
 
@@ -181,11 +197,11 @@ def split_authors(text: Column) -> Column:
 
 
 def strip_emphasis(text: Column) -> Column:
-    """Remove balanced outer emphasis; five rounds cover every nesting of the markers."""
+    """Remove balanced outer emphasis, as many rounds as there are marks at the start."""
     value = strip(text)
-    for _ in range(5):
-        value = strip(F.regexp_replace(value, r"^(\*\*|__|`|\*|_)(.+)\1$", "$2"))
-    return value
+    marks = F.regexp_extract(value, r"^[*_`\s]*", 0)
+    rounds = F.sequence(F.lit(0), F.length(marks))
+    return F.aggregate(rounds, value, lambda held, _: strip(F.regexp_replace(held, r"^(\*\*|__|`|\*|_)(.+)\1$", "$2")))
 
 
 def clean_heading(text: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.operators import metadata
 
-MAX_HEADINGS = 80
 TOPICS = 16
 
 
@@ -18,8 +17,7 @@ def research_cards(papers: DataFrame, sections: DataFrame, notes: DataFrame, lin
     Topic words are counted over the parts of a card, as a paper may have any number
     of notes; the notes themselves stay rows of the link table.
     """
-    in_paper = Window.partitionBy("paper_id").orderBy("section_order")
-    headings = sections.where("heading <> ''").withColumn("_n", F.row_number().over(in_paper)).where(F.col("_n") <= MAX_HEADINGS)
+    headings = sections.where("heading <> ''")
     listed = headings.groupBy("paper_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("section_order", "heading_path"))), lambda h: h["heading_path"]).alias("section_headings")
     )

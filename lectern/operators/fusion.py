@@ -10,11 +10,9 @@ from lectern.session import broadcast_if_small, computed_once
 
 FUSED_DIGITS = 12
 BLEND_DIGITS = 9
-# Shares of the reranker and of the fused score, and text lengths it reads.
+# Shares of the reranker and of the fused score, and bonuses.
 RERANK_SHARE = 0.85
 FUSED_SHARE = 0.15
-CONTENT_CHARS = 12000
-NOTE_CHARS = 4000
 PHRASE_BONUS = 0.1
 EXACT_BONUS = 2.0
 
@@ -110,11 +108,12 @@ def lexical_f1(pool: DataFrame, queries: DataFrame, document: Column) -> DataFra
 
 
 def rerank_document() -> Column:
+    # The labels of the parts of a document.
     note = F.col("routing_note")
     return F.concat(
         F.lit("DOCUMENT: "), F.col("title"), F.lit("\nSECTION: "), F.col("section_path"), F.lit("\nCONTENT:\n"),
-        F.substring("text", 1, CONTENT_CHARS),
-        F.when(note.isNotNull() & (note != ""), F.concat(F.lit("\n\nCURATED ROUTING NOTE:\n"), F.substring("routing_note", 1, NOTE_CHARS))).otherwise(""),
+        F.col("text"),
+        F.when(note.isNotNull() & (note != ""), F.concat(F.lit("\n\nCURATED ROUTING NOTE:\n"), F.col("routing_note"))).otherwise(""),
     )
 
 

@@ -86,9 +86,11 @@ def unique_ids(candidates: DataFrame, occupied: DataFrame | None = None) -> Data
     ``candidates`` has ``(candidate_id, content_hash, source_path)``.  The keeper is a
     per-slug minimum, combined before the shuffle; no group is ever listed.
     """
-    keeper = candidates.groupBy("candidate_id").agg(F.min(F.struct("source_path", "content_hash")).alias("keeper"))
+    # A source that already held the id goes before any other that asks for it.
+    held = F.coalesce(F.col("held_id") == F.col("candidate_id"), F.lit(False)) if "held_id" in candidates.columns else F.lit(False)
+    keeper = candidates.groupBy("candidate_id").agg(F.min(F.struct((~held).alias("new"), "source_path", "content_hash")).alias("keeper"))
     if occupied is not None:
-        taken = occupied.select(F.col("paper_id").alias("candidate_id"), F.lit(True).alias("taken"))
+        taken = occupied.select(F.col("paper_id").alias("candidate_id"), F.lit(True).alias("taken")).distinct()
         keeper = keeper.join(taken, "candidate_id", "left")
     else:
         keeper = keeper.withColumn("taken", F.lit(None).cast("boolean"))

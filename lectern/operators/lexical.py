@@ -95,8 +95,10 @@ def _single_term_parts(index, words: DataFrame) -> DataFrame:
         .join(F.broadcast(index.levels), "kind")
         .select("query_id", "scope", "kind", "bucket", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     )
-    # The query side grows with the batch, not with the corpus.
-    hits = _in_scope(index.postings.join(broadcast_if_small(weighted), ["kind", "bucket", "term"]))
+    # The query side grows with the batch, not with the corpus; its buckets are at most those of the layout.
+    asked = broadcast_if_small(weighted)
+    wanted = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
+    hits = _in_scope(index.postings.where(F.col("bucket").isin(wanted)).join(asked, ["kind", "bucket", "term"]))
     return hits.select(
         "query_id", "kind", "entity_id", "paper_id",
         (F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"),
@@ -129,7 +131,7 @@ def phrase_hits(index, phrases: DataFrame) -> DataFrame:
     haystack = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" "))
     needle = F.concat(F.lit("(?= "), F.array_join("terms", "  "), F.lit(" )"))
     return (
-        candidates.join(index.entities.select("kind", "entity_id", "tokens"), ["kind", "entity_id"])
+        broadcast_if_small(candidates).join(index.entities.select("kind", "entity_id", "tokens"), ["kind", "entity_id"])
         .withColumn("tf", F.regexp_count(haystack, needle))
         .where("tf > 0")
         .drop("tokens")
@@ -182,7 +184,8 @@ def search_lexical(index, queries: DataFrame, kinds, limit: int, exact: bool = F
     scored = score_phrases(index.only(kinds), query_terms(queries, exact))
     if not exact:
         return top_per_list(scored, limit)
-    fetched = top_per_list(scored, max(limit, min(1000, 2 * limit))).drop("rank")
+    # Every hit gets its bonus before the cut; hits hold the whole phrase, so they are few.
+    fetched = broadcast_if_small(scored)
     shown = index.only(kinds).entities.select("kind", "entity_id", "title", "section_path", F.col("text").alias("body"))
     own_text = F.concat_ws("\n", F.when(F.col("kind") == "paper", F.col("title")).otherwise(F.col("section_path")), F.col("body"))
     bonus = F.when(F.contains(tx.casefold(own_text), tx.casefold(F.col("text"))), 1.0).otherwise(0.0)

@@ -11,22 +11,24 @@ from lectern.functions import text as tx
 DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+"
 TOPIC_WORD = r"[A-Za-z][A-Za-z0-9+^-]{2,}"
 GENERIC_TITLES = ("", "untitled", "document", "article", "paper", "full text", "microsoft word")
-AUTHOR_TOOLS = r"microsoft word|adobe acrobat|anonymous|unknown author"
-ABSTRACT_CHARS = 12000
+AUTHOR_TOOLS = ("microsoft word", "adobe acrobat", "anonymous", "unknown author")
+YEAR = r"\b(?:19|20)[0-9]{2}\b"
+CITED_YEAR = r"\((?:19|20)[0-9]{2}\)"
 ABSTRACT_HEADING = r"(?i)^(?:abstract|summary)$"
 ABSTRACT_LABEL = r"(?i)^\s*(?:(?:\*\*|__)\s*(?:abstract|summary)\s*(?:\*\*|__)\s*(?:[:.\-–—]\s*)?(.*)|(?:abstract|summary)\s*(?:[:.\-–—]\s*(.*))?)$"
 STOP_WORDS = (
-    "about after also among and are based been being between can could does each for from have into its more most not only other "
-    "paper results section should such than that the their then these this through using was were which with"
-).split()
+    "about", "after", "also", "among", "and", "are", "based", "been", "being", "between", "can", "could", "does", "each", "for",
+    "from", "have", "into", "its", "more", "most", "not", "only", "other", "paper", "results", "section", "should", "such", "than",
+    "that", "the", "their", "then", "these", "this", "through", "using", "was", "were", "which", "with",
+)
 
 
 def text_metadata(markdown: Column) -> Column:
     """Title, authors, DOI and year found in the text, as one struct."""
     title = tx.strip_emphasis(F.regexp_extract(markdown, r"(?m)^#\s+(.+?)\s*$", 1))
     authors = F.regexp_extract(markdown, r"(?im)^\*\*Authors?:?\*\*\s*:?\s*(.+?)\s*$", 1)
-    doi = F.regexp_replace(F.regexp_extract(F.substring(markdown, 1, 12000), DOI, 0), r"[.,;)]+$", "")
-    year = F.regexp_extract(F.substring(markdown, 1, 8000), r"(?U)\b(?:19|20)\d{2}\b", 0)
+    doi = F.regexp_replace(F.regexp_extract(markdown, DOI, 0), r"[.,;)]+$", "")
+    year = F.regexp_extract(markdown, "(?U)" + YEAR, 0)
     return F.struct(
         title.alias("title"), tx.split_authors(F.when(authors != "", authors)).alias("authors"),
         F.when(doi != "", doi).alias("doi"), F.when(year != "", year.cast("int")).alias("year"),
@@ -57,7 +59,7 @@ def abstract_of(markdown: Column) -> Column:
     stop = F.array_min(F.transform(after, lambda line, at: F.when(line.rlike(HEADING_LINE), at)))
     body = F.array_join(F.slice(after, 1, F.coalesce(stop, F.size(after))), "\n")
     joined = F.concat(tx.strip(inline), F.when(tx.strip(inline) != "", "\n").otherwise(""), body)
-    return F.when(start.isNull(), "").otherwise(F.substring(tx.strip(F.regexp_replace(joined, tx.PAGE_MARKER, "")), 1, ABSTRACT_CHARS))
+    return F.when(start.isNull(), "").otherwise(tx.strip(F.regexp_replace(joined, tx.PAGE_MARKER, "")))
 
 
 def usable_title(title: Column, source: Column) -> Column:
@@ -74,11 +76,14 @@ def usable_authors(authors: Column) -> Column:
     only = F.get(cleaned, 0)
     letters = F.length(F.regexp_replace(only, r"[^\p{L}]", ""))
     weak = (F.size(cleaned) == 1) & ((letters < 4) | ((only == tx.casefold(only)) & ~F.contains(only, F.lit(" "))))
-    return (F.size(cleaned) > 0) & ~joined.rlike(AUTHOR_TOOLS) & ~F.coalesce(weak, F.lit(False))
+    return (F.size(cleaned) > 0) & ~joined.rlike("|".join(AUTHOR_TOOLS)) & ~F.coalesce(weak, F.lit(False))
 
 
 def fallback_title(source: Column) -> Column:
-    return F.initcap(tx.strip(F.regexp_replace(tx.stem(source), r"[_-]+", " ")))
+    """The file stem in title case: every run of letters begins with a capital."""
+    words = tx.strip(F.regexp_replace(tx.stem(source), r"[_-]+", " "))
+    runs = F.regexp_extract_all(words, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def catalog_title(fields: Column) -> Column:
@@ -89,8 +94,8 @@ def catalog_title(fields: Column) -> Column:
 
 def catalog_authors(fields: Column) -> Column:
     """Names before the year of the first citation field that has one."""
-    cited = F.filter(F.map_entries(fields), lambda e: F.contains(tx.casefold(e["key"]), F.lit("citation")) & e["value"].rlike(r"\((?:19|20)\d{2}\)"))
-    prefix = F.regexp_replace(F.regexp_extract(F.get(cited, 0)["value"], r"^(.*?)\((?:19|20)\d{2}\)", 1), r"[`*_~]", "")
+    cited = F.filter(F.map_entries(fields), lambda e: F.contains(tx.casefold(e["key"]), F.lit("citation")) & e["value"].rlike(CITED_YEAR))
+    prefix = F.regexp_replace(F.regexp_extract(F.get(cited, 0)["value"], r"^(.*?)" + CITED_YEAR, 1), r"[`*_~]", "")
     prefix = F.regexp_replace(prefix, r"^[ ,;·]+|[ ,;·]+$", "")
     names = F.filter(F.transform(F.split(prefix, r"(?i)\s*(?:&|\band\b|,)\s*"), tx.strip), lambda n: n != "")
     return F.coalesce(names, F.array().cast("array<string>"))

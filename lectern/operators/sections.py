@@ -38,7 +38,7 @@ def _bits(flags: list[tuple[Column, int]]) -> Column:
 
 def _page_number(line: Column) -> Column:
     found = F.regexp_extract(line, tx.PAGE_LINE, 1)
-    return F.when(found != "", found.cast("int")).otherwise(F.lit(folds.NO_PAGE))
+    return F.when(found != "", F.coalesce(found.try_cast("int"), F.lit(folds.NO_PAGE))).otherwise(F.lit(folds.NO_PAGE))
 
 
 def _heading_events(line: Column) -> Column:

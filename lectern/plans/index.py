@@ -12,11 +12,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.config import KINDS, Settings
+from lectern.config import KINDS, Settings, settings_from
 from lectern.functions import text as tx
 from lectern.functions import vectors as vx
 from lectern.operators import lexical
-from lectern.operators.ranking import blocked_carry
+from lectern.operators.ranking import blocked_carry, blocked_row_number
 from lectern.operators.sections import chunk_sections, number_chunks, parse_sections
 
 TABLES = ("papers", "blocks", "sections", "chunks", "notes", "links", "entities", "postings", "terms", "levels", "vectors")
@@ -30,6 +30,13 @@ class Index:
     settings: Settings
     kinds: tuple[str, ...] = KINDS
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, revision: int) -> "Index":
+        """The snapshot with the settings it was written with, which its layout depends on."""
+        place = f"{root}/rev={revision}"
+        held = spark.read.text(f"{place}/settings").first()["value"]
+        return cls(spark, place, revision, settings_from(json.loads(held)))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
@@ -140,9 +147,10 @@ def embed_parts(parts: DataFrame, dimensions: int) -> DataFrame:
     """
     place_feature = vx.hash_slots(dimensions)
     tokens = parts.select("paper_id", "place", tx.feature_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    # Positions are blocked by part kind and line, so that a paper with very many notes is carried in spans.
-    spaced = tokens.withColumn("position", F.col("place.part").cast("double") * 4294967296.0 + F.col("place.n"))
-    carried = blocked_carry(spaced, ["paper_id"], "position", {"previous": F.element_at("tokens", -1)})
+    # Parts of one place are told apart by their id.
+    spaced = tokens.select("*", F.col("place.part").alias("_part"), F.floor(F.col("place.n") / 65536).alias("_run"))
+    placed = blocked_row_number(spaced, ["paper_id"], ["_part", "_run"], ["place"], "position")
+    carried = blocked_carry(placed, ["paper_id"], "position", {"previous": F.element_at("tokens", -1)})
     pairs = F.zip_with(F.slice("tokens", 1, F.size("tokens") - 1), F.slice("tokens", 2, F.size("tokens")),
                        lambda a, b: F.concat(F.lit("bigram:"), a, F.lit(vx.PAIR_JOINER), b))
     bridge = F.when(F.col("previous").isNotNull(), F.array(F.concat(F.lit("bigram:"), "previous", F.lit(vx.PAIR_JOINER), F.get("tokens", F.lit(0)))))
@@ -181,8 +189,10 @@ class IndexWriter:
         return self.index.table(name)
 
     def papers(self, papers: DataFrame) -> DataFrame:
-        """Papers, and the id range each falls in, which later orders link lists."""
+        """Papers, and the id range each falls in, which later orders link lists; the settings go with them."""
         written = self.write("papers", papers)
+        held = json.dumps(self.index.settings.as_dict())
+        self.spark.createDataFrame([(held,)], "value string").coalesce(1).write.mode("errorifexists").text(self._path("settings"))
         ids = written.select("paper_id").repartitionByRange(self.index.settings.layout.paper_blocks, "paper_id")
         self.write("blocks", ids.withColumn("block", F.spark_partition_id()))
         return written

@@ -23,13 +23,16 @@ def _catalog(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 def _record_fields(entries: DataFrame) -> DataFrame:
     """Catalog fields of each file: those of its first table row."""
-    rows = entries.where("record_id IS NOT NULL").select("line_no", F.explode("artifacts").alias("artifact"), F.map_from_entries("fields").alias("fields"))
-    order = Window.partitionBy("artifact").orderBy("line_no")
+    rows = entries.where("record_id IS NOT NULL").select("catalog_id", "line_no", F.explode("artifacts").alias("artifact"), F.map_from_entries("fields").alias("fields"))
+    order = Window.partitionBy("artifact").orderBy("catalog_id", "line_no")
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("artifact", "fields")
 
 
-def read_papers(markdown: DataFrame, entries: DataFrame | None, known: DataFrame, previous: Index | None) -> DataFrame:
-    """Paper rows of canonical Markdown sources: id, usable title, authors, year, abstract."""
+def read_papers(markdown: DataFrame, entries: DataFrame | None, known: DataFrame, previous: Index | None, occupied: DataFrame | None = None) -> DataFrame:
+    """Paper rows of canonical Markdown sources: id, usable title, authors, year, abstract.
+
+    ``occupied`` has the ``paper_id`` of papers that move on unread; no other source gets these.
+    """
     rows = markdown
     if entries is not None:
         ids = catalog.artifact_ids(entries)
@@ -47,7 +50,7 @@ def read_papers(markdown: DataFrame, entries: DataFrame | None, known: DataFrame
     else:
         rows = rows.withColumn("held_id", F.lit(None).cast("string"))
     rows = settle(rows.withColumn("candidate_id", F.coalesce("held_id", wanted)))
-    final = identity.unique_ids(rows.select("source_path", "content_hash", "candidate_id")).select("source_path", "paper_id")
+    final = identity.unique_ids(rows.select("source_path", "content_hash", "candidate_id", "held_id"), occupied).select("source_path", "paper_id")
     listed = metadata.catalog_title(F.col("fields"))
     title = F.when(metadata.usable_title(F.col("title"), F.col("source_path")), F.col("title")).when(listed != "", listed).otherwise(metadata.fallback_title(F.col("source_path")))
     cited = metadata.catalog_authors(F.col("fields"))
@@ -89,7 +92,7 @@ def ingest(spark: SparkSession, root: str, catalog_path: str | None, target: str
             same = same.unionByName(previous.papers.join(live, "content_hash", "left_anti").join(unseen, "source_path", "left_semi"))
         fresh = canonical.join(previous.papers.select("content_hash"), "content_hash", "left_anti").select("source_path")
         kept = settle(same)
-        papers = kept.unionByName(read_papers(files.markdown_text(scanned.join(fresh, "source_path", "left_semi")), entries, known, previous))
+        papers = kept.unionByName(read_papers(files.markdown_text(scanned.join(fresh, "source_path", "left_semi")), entries, known, previous, kept.select("paper_id")))
     writer = IndexWriter(spark, target, revision, settings)
     writer.papers(papers)
     writer.hierarchy(previous, None if kept is None else kept.select("paper_id"))
@@ -108,11 +111,12 @@ def _notes(entries: DataFrame | None, known: DataFrame, index: Index, listing: D
     if entries is None:
         empty = spark.createDataFrame([], "entry_id string, heading_path string, entry_type string, text string, source_line int")
         return empty, spark.createDataFrame([], "entry_id string, paper_id string")
-    entry_id = F.col("line_no").cast("string")
+    # Lines of several catalogs are told apart by the file.
+    entry_id = F.concat_ws("#", F.substring(F.sha2("catalog_id", 256), 1, 8), "line_no")
     notes = entries.select(entry_id.alias("entry_id"), "heading_path", "entry_type", "text", F.col("line_no").cast("int").alias("source_line"))
     by_hash = index.papers.select("content_hash", F.col("paper_id").alias("final_id"))
     finals = listing.select("source_path", "content_hash").join(by_hash, "content_hash").select(F.col("source_path").alias("alias"), "final_id")
     matched = catalog.match_artifacts(catalog.artifact_ids(entries), known).where("artifact IS NOT NULL").select("artifact", F.col("source_path").alias("alias"))
     named = matched.join(finals, "alias").select(F.col("artifact").alias("alias"), F.col("final_id").alias("paper_id"))
     by_file = catalog.link_entries(entries, named.groupBy("alias").agg(F.min("paper_id").alias("paper_id")))
-    return notes, by_file.select(F.col("line_no").cast("string").alias("entry_id"), "paper_id")
+    return notes, by_file.select(entry_id.alias("entry_id"), "paper_id")

@@ -335,7 +335,7 @@ WITH r AS (SELECT source || '/' || doc_id || '.md' AS source_path, string_split(
 b AS (SELECT source_path, first, ls, list_transform(range(1, len(ls) + 1), lambda i: (CASE WHEN (i - 1) % 10 = 0 THEN '<!-- page: ' || ((i - 1) // 10 + 1) || ' -->' || chr(10) ELSE '' END)
   || CASE WHEN len(regexp_extract_all(ls[i], '\S+')) BETWEEN 1 AND 5 THEN (CASE WHEN i = 1 THEN '# ' WHEN len(regexp_extract_all(ls[i], '\S+')) <= 2 THEN '## ' ELSE '### ' END) || regexp_replace(ls[i], '^\s+|\s+$', '', 'g') ELSE ls[i] END) AS parts FROM r),
 m AS (SELECT source_path, first, regexp_replace(array_to_string(parts, chr(10) || chr(10)), '^\s+|\s+$', '', 'g') || chr(10) AS md, len(regexp_extract_all(first, '\S+')) AS w FROM b),
-y AS (SELECT *, regexp_extract(' ' || substr(md, 1, 8000) || ' ', '[^\p{{L}}\p{{N}}_]((?:19|20)\d{{2}})[^\p{{L}}\p{{N}}_]', 1) AS yr FROM m)
+y AS (SELECT *, regexp_extract(' ' || md || ' ', '[^\p{{L}}\p{{N}}_]((?:19|20)\d{{2}})[^\p{{L}}\p{{N}}_]', 1) AS yr FROM m)
 SELECT source_path, CASE WHEN w BETWEEN 1 AND 5 THEN first ELSE '' END AS title, '' AS doi, '' AS authors, CASE WHEN yr <> '' THEN CAST(yr AS INT) END AS year FROM y"""
 
 

@@ -268,7 +268,7 @@ def lexical_f1_rerank(spark, folder):
     return pool.select("query_id", "key", "entity_id").join(scores, ["query_id", "key"]).select("query_id", "entity_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-DOCUMENT_SQL = "'DOCUMENT: ' || title || chr(10) || 'SECTION: ' || chr(10) || 'CONTENT:' || chr(10) || substr(CASE WHEN abstract = '' THEN title ELSE abstract END, 1, 12000)"
+DOCUMENT_SQL = "'DOCUMENT: ' || title || chr(10) || 'SECTION: ' || chr(10) || 'CONTENT:' || chr(10) || CASE WHEN abstract = '' THEN title ELSE abstract END"
 F1_CTE = f"""
 qtok AS (SELECT CAST(item_id AS VARCHAR) AS query_id, {q.feature_tokens('text')} AS qt FROM benchmark),
 dtok AS (SELECT paper_id, {q.feature_tokens(DOCUMENT_SQL)} AS dt FROM papers WHERE paper_id IN (SELECT paper_id FROM pool)),
@@ -464,7 +464,7 @@ def research(spark, folder):
     """Each item with its single lines as variants."""
     index = open_corpus(spark, folder)
     lines = tables.table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    variants = lines.where("at BETWEEN 1 AND 4").select("query_id", F.col("at").alias("variant_no"), "text")
+    variants = lines.where("at > 0").select("query_id", F.col("at").alias("variant_no"), "text")
     return plan.research_search(index, benchmark_queries(spark, folder), variants).select("query_id", "rank", "result_id", "score", "snippet", "routing_note")
 
 

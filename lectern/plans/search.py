@@ -7,15 +7,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.config import MODES, PIPELINES
 from lectern.functions import text as tx
 from lectern.functions import vectors as vx
-from lectern.operators import dense, fusion, lexical, notes
+from lectern.operators import dense, fusion, hierarchy, lexical, notes
 from lectern.plans.index import Index, embed_parts
-from lectern.session import settle
+from lectern.session import broadcast_if_small, settle
 
 # List weights of each mode.
 KIND_WEIGHTS = {"paper": 1.15, "section": 1.1, "chunk": 1.0, "curated": 0.8}
@@ -135,7 +135,8 @@ def hydrate(index: Index, pool: DataFrame) -> DataFrame:
 def finish(index: Index, fused: DataFrame, queries: DataFrame, mode: str, rerank: bool, top_k: int, per_paper: int) -> DataFrame:
     """Fused keys to result rows: pool, text, re-ranking, exact filter, diversification."""
     settings = index.settings.retrieval
-    pool = hydrate(index, fusion.top_pool(fused, settings.rerank_candidates))
+    # At most the pool size per query, so the texts come to the keys and not the other way round.
+    pool = hydrate(index, broadcast_if_small(fusion.top_pool(fused, settings.rerank_candidates)))
     if rerank:
         # The pool is bounded per query and read by the scorer and by the blend.
         pool = settle(pool)
@@ -143,14 +144,39 @@ def finish(index: Index, fused: DataFrame, queries: DataFrame, mode: str, rerank
     if mode == "exact":
         pool = fusion.keep_exact(pool, queries)
     ranked = fusion.diversify(pool, top_k, per_paper)
-    return as_results(index, ranked, queries)
+    return as_results(index, with_previews(index, ranked), queries)
+
+
+def with_previews(index: Index, ranked: DataFrame) -> DataFrame:
+    """Sections without a text of their own show the start of what lies below them.
+
+    Results that stay empty are left out, and ranks close up.
+    """
+    ranked = settle(ranked)
+    bare = (F.trim("text") == "") & F.col("kind").isin("section", "chunk") & F.col("section_order").isNotNull()
+    asked = ranked.where(bare).select("paper_id", F.col("section_order").alias("target_order")).distinct()
+    if asked.isEmpty():
+        return ranked
+    requests = asked.select(F.concat_ws("#", "paper_id", "target_order").alias("request_id"), "paper_id", F.col("target_order").cast("int"), F.lit(0).cast("bigint").alias("offset"))
+    requests = broadcast_if_small(requests)
+    sections = index.sections.join(requests.select("paper_id").distinct(), "paper_id", "left_semi")
+    if "parent_order" not in sections.columns:
+        sections = hierarchy.attach_parents(sections)
+    read = hierarchy.read_sections(requests, sections, max(64, 2 * index.settings.retrieval.snippet_words)).select(
+        "paper_id", F.col("target_order").alias("section_order"), F.col("text").alias("_text"), F.col("page_start").alias("_start"), F.col("page_end").alias("_end")
+    )
+    filled = ranked.join(read, ["paper_id", "section_order"], "left")
+    filled = filled.withColumn("page_start", F.when(bare, F.col("_start")).otherwise(F.col("page_start"))).withColumn("page_end", F.when(bare, F.col("_end")).otherwise(F.col("page_end")))
+    filled = filled.withColumn("text", F.when(bare, F.coalesce("_text", F.lit(""))).otherwise(F.col("text"))).drop("_text", "_start", "_end")
+    kept = filled.where((F.trim("text") != "") | ~F.col("kind").isin("section", "chunk"))
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 
 def as_results(index: Index, ranked: DataFrame, queries: DataFrame) -> DataFrame:
     """Public result rows with ids of this revision, page label, snippet and follow-ups."""
     asked = queries.select("query_id", F.col("text").alias("query_text"))
     result_id = F.concat(F.lit(f"r{index.revision}:"), "key")
-    with_text = ranked.where((F.trim("text") != "") | ~F.col("kind").isin("section", "chunk")).join(asked, "query_id")
+    with_text = ranked.join(asked, "query_id")
     actions = F.to_json(
         F.struct(
             F.when(F.col("section_order").isNotNull(), F.struct(result_id.alias("result_id"), F.lit("section").alias("level"))).alias("expand_context"),

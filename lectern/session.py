@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 
 
 def get_session(app_name: str = "lectern", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,13 +59,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a side that is usually small, count it, and broadcast it only within the bound.
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Compute a side that is usually small, measure it, and broadcast it only within ``limit`` bytes.
 
     Beyond the bound the join is left to Spark, which shuffles and splits skewed keys.
     """
     held = settle(df)
-    return F.broadcast(held) if held.count() <= rows else held
+    size = held.agg(F.sum(16 + F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in held.columns]))))).first()[0]
+    return F.broadcast(held) if (size or 0) <= limit else held
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -67,12 +67,12 @@ def pages_to_markdown(pages: Column) -> Column:
 def separators_to_markers(markdown: Column) -> Column:
     """``{n}-----`` page separators to page markers, counted from one."""
     separator = r"(?m)^\s*\{(-?\d+)\}\s*-{20,}\s*$"
-    first = F.array_min(F.transform(F.regexp_extract_all(markdown, F.lit(separator), F.lit(1)), lambda n: n.cast("int")))
+    first = F.array_min(F.transform(F.regexp_extract_all(markdown, F.lit(separator), F.lit(1)), lambda n: n.try_cast("int")))
     parts = F.split(markdown, separator)
     numbers = F.regexp_extract_all(markdown, F.lit(separator), F.lit(1))
     shift = F.when(first == 0, 1).otherwise(0)
     joined = F.array_join(
-        F.transform(parts, lambda p, n: F.when(n == 0, p).otherwise(F.concat(F.lit("<!-- page: "), F.get(numbers, n - 1).cast("int") + shift, F.lit(" -->"), p))), ""
+        F.transform(parts, lambda p, n: F.when(n == 0, p).otherwise(F.concat(F.lit("<!-- page: "), F.get(numbers, n - 1).try_cast("int") + shift, F.lit(" -->"), p))), ""
     )
     return F.when(first.isNull(), markdown).otherwise(joined)
 
