@@ -140,12 +140,19 @@ def paper_context_parts(papers: DataFrame, sections: DataFrame, notes: DataFrame
 
 
 def embed_parts(parts: DataFrame, dimensions: int) -> DataFrame:
-    """Feature-hash vector of each paper from its parts, by counting features.
+    """Feature-hash vector of each paper from its parts, by counting features."""
+    slots = embed_slots(parts, vx.hash_slots(dimensions))
+    # At most one row per slot and paper.
+    filled = slots.groupBy("paper_id").agg(F.collect_list("slot").alias("slots"), F.collect_list("value").alias("values"))
+    return filled.select("paper_id", vx.scatter(dimensions)("slots", "values").alias("vector"))
+
+
+def embed_slots(parts: DataFrame, place_feature) -> DataFrame:
+    """``paper_id, slot, value``: summed weights of the features of ``parts (paper_id, place, text)``.
 
-    Equals the embedding of the joined text: pairs across neighbouring parts are
-    added from the last token before each part.
+    ``place_feature`` gives the slot and sign of a feature.  Equals the embedding of the joined
+    text: pairs across neighbouring parts are added from the last token before each part.
     """
-    place_feature = vx.hash_slots(dimensions)
     tokens = parts.select("paper_id", "place", tx.feature_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     # Parts of one place are told apart by their id.
     spaced = tokens.select("*", F.col("place.part").alias("_part"), F.floor(F.col("place.n") / 65536).alias("_run"))
@@ -161,14 +168,12 @@ def embed_parts(parts: DataFrame, dimensions: int) -> DataFrame:
     )
     counted = carried.select("paper_id", F.explode(features).alias("feature")).groupBy("paper_id", "feature").agg(F.count("*").alias("n"))
     weight = F.when(F.col("feature").startswith("word:"), vx.WORD_WEIGHT).otherwise(vx.PAIR_WEIGHT)
-    slots = (
-        counted.select("paper_id", place_feature("feature").alias("at"), (weight * (1 + F.ln("n"))).alias("weight"))
+    # Rounding makes sums independent of the order in which they were added.
+    return (
+        counted.select("paper_id", place_feature(F.col("feature")).alias("at"), (weight * (1 + F.ln("n"))).alias("weight"))
         .groupBy("paper_id", "at.slot")
-        .agg(F.sum(F.col("at.sign") * F.col("weight")).alias("value"))
+        .agg(F.round(F.sum(F.col("at.sign") * F.col("weight")), 9).alias("value"))
     )
-    # At most one row per slot and paper.
-    filled = slots.groupBy("paper_id").agg(F.collect_list("slot").alias("slots"), F.collect_list("value").alias("values"))
-    return filled.select("paper_id", vx.scatter(dimensions)("slots", "values").alias("vector"))
 
 
 class IndexWriter:

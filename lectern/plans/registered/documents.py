@@ -256,6 +256,23 @@ def stable_ids(spark, folder):
     return identity.unique_ids(candidates).select("source_path", "paper_id")
 
 
+def second_run(spark, folder):
+    """A first run over all files, then revised copies of the labelled ones under equal names.
+
+    The ids of the first run stay taken, so each revised file gets an id of its own.
+    """
+    def wanted(files):
+        return files.select("source_path", "content_hash", identity.stable_id(
+            F.col("source_path"), F.lit(None).cast("string"), _line_title(), F.col("authors"), F.lit(None).cast("int"), F.col("content_hash")).alias("candidate_id"))
+
+    first = settle(identity.unique_ids(wanted(tables.markdown_files(spark, folder))).select("source_path", "paper_id"))
+    labelled = tables.table(spark, folder, "labels").join(tables.table(spark, folder, "documents"), "doc_id")
+    revised = labelled.withColumn("text", F.concat("text", F.lit("\nrevised"))).select(
+        F.concat(F.lit("second/"), "doc_id", F.lit(".md")).alias("source_path"), F.sha2("text", 256).alias("content_hash"), F.array("source").alias("authors"), "text"
+    )
+    return first.unionByName(identity.unique_ids(wanted(revised), first.select("paper_id")).select("source_path", "paper_id"))
+
+
 def slug_sql(x, n):
     ascii_ = f"regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')"
     return rf"regexp_replace(substr(regexp_replace(regexp_replace(lower({ascii_}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, {n}), '-+$', '')"
@@ -268,6 +285,17 @@ k AS (SELECT candidate, arg_min(h, source_path) AS keeper FROM c GROUP BY ALL)
 SELECT source_path, CASE WHEN h = keeper THEN candidate ELSE candidate || '-' || substr(h, 1, 8) END AS paper_id FROM c JOIN k USING (candidate)"""
 
 
+SECOND_RUN_SQL = f"""
+WITH f AS (SELECT 1 AS run, source || '/' || doc_id || '.md' AS source_path, source, sha256(text) AS h, {slug_sql("string_split(text, chr(10))[1]", 64)} AS t FROM documents
+  UNION ALL SELECT 2, 'second/' || doc_id || '.md', source, sha256(text || chr(10) || 'revised'), {slug_sql("string_split(text, chr(10))[1]", 64)} FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT run, source_path, h, CASE WHEN t <> '' THEN {slug_sql("source || '-' || t", 96)} ELSE 'paper-' || substr(h, 1, 12) END AS candidate FROM f),
+k AS (SELECT run, candidate, arg_min(h, source_path) AS keeper FROM c GROUP BY ALL),
+one AS (SELECT source_path, CASE WHEN h = keeper THEN candidate ELSE candidate || '-' || substr(h, 1, 8) END AS paper_id FROM c JOIN k USING (run, candidate) WHERE run = 1)
+SELECT source_path, paper_id FROM one
+UNION ALL SELECT source_path, CASE WHEN h = keeper AND candidate NOT IN (SELECT paper_id FROM one) THEN candidate ELSE candidate || '-' || substr(h, 1, 8) END
+FROM c JOIN k USING (run, candidate) WHERE run = 2"""
+
+
 # Catalogs: one per source, with a table of the labelled documents and the notes as bullets.
 def _catalog_lines(spark, folder):
     labels = tables.table(spark, folder, "labels").join(tables.table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
@@ -372,6 +400,24 @@ def research_cards(spark, folder):
     return build(index.papers, index.sections, index.notes, index.links)
 
 
+LONG_LINE = r"list_filter(string_split(abstract, chr(10)), lambda s: len(regexp_extract_all(s, '\S+')) > 5)[1]"
+CARDS_SQL = q.with_(q.PAPERS, SECTIONS_SQL, rf"""
+base AS (SELECT paper_id, title, author, source_path, coalesce({q.strip(LONG_LINE)}, '') AS abstract FROM papers),
+heads AS (SELECT paper_id, section_order, heading_path FROM sections WHERE heading <> ''),
+listed AS (SELECT paper_id, CAST(to_json(list(heading_path ORDER BY section_order)) AS VARCHAR) AS section_headings FROM heads GROUP BY ALL),
+quotes AS (SELECT item_id, text, {q.PADDED.format(q.index_tokens('text'))} AS needle FROM benchmark),
+fields AS (SELECT paper_id, {q.PADDED.format(q.index_tokens('heading_path'))} AS h, {q.PADDED.format(q.index_tokens('text'))} AS b FROM sections),
+noted AS (SELECT paper_id, trim(text) AS text, min(item_id) AS n FROM (SELECT DISTINCT paper_id, item_id, text FROM quotes, fields WHERE contains(h, needle) OR contains(b, needle)) WHERE trim(text) <> '' GROUP BY ALL),
+counts AS (SELECT paper_id, count(*) AS notes FROM noted GROUP BY ALL),
+parts AS (SELECT paper_id, 0 AS part, 0 AS n, title || chr(10) || abstract AS text FROM base UNION ALL SELECT paper_id, 1, section_order, heading_path FROM heads UNION ALL SELECT paper_id, 2, n, text FROM noted),
+words AS (SELECT paper_id, part, n, unnest(ws) AS topic, generate_subscripts(ws, 1) AS place FROM (SELECT paper_id, part, n, list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+^-]{{2,}}'), lambda x: lower(x)) AS ws FROM parts)),
+used AS (SELECT paper_id, topic, count(*) AS uses, min({{'a': part, 'b': n, 'c': place}}) AS place FROM words WHERE topic NOT IN ({', '.join(f"'{s}'" for s in metadata.STOP_WORDS)}) GROUP BY ALL),
+best AS (SELECT paper_id, CAST(to_json(list(topic ORDER BY uses DESC, place)) AS VARCHAR) AS topics FROM (
+  SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY uses DESC, place) AS rank FROM used) WHERE rank <= 16 GROUP BY ALL)""", select="""
+SELECT b.paper_id, b.title, b.author AS authors, CAST(NULL AS INT) AS year, b.abstract, 'markdown_reference' AS source_kind, coalesce(section_headings, '[]') AS section_headings,
+  coalesce(notes, 0) AS notes, coalesce(topics, '[]') AS topics FROM base b LEFT JOIN listed USING (paper_id) LEFT JOIN counts USING (paper_id) LEFT JOIN best USING (paper_id)""")
+
+
 QUERIES = {
     "token_counts": (token_counts, f"SELECT doc_id, CAST({q.count_tokens('text')} AS BIGINT) AS tokens FROM documents"),
     "math_normalize": (math_normalize, f"SELECT doc_id, md5({q.math('text')}) AS normalized FROM documents"),
@@ -389,11 +435,12 @@ QUERIES = {
     "exact_dedup": (exact_dedup, DEDUP_SQL),
     "alias_map": (alias_map, ALIAS_SQL),
     "stable_ids": (stable_ids, IDS_SQL),
+    "second_run": (second_run, SECOND_RUN_SQL),
     "catalog_parse": (catalog_parse, CATALOG_SQL),
     "artifact_link": (artifact_link, LINK_SQL),
     "entry_links": (entry_links, ENTRY_LINKS_SQL),
     "text_metadata": (text_metadata, METADATA_SQL),
     "title_checks": (title_checks, TITLE_SQL),
     "infer_topics": (infer_topics, TOPICS_SQL),
-    "research_cards": (research_cards, None),
+    "research_cards": (research_cards, CARDS_SQL),
 }

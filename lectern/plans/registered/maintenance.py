@@ -12,7 +12,7 @@ from lectern.functions import text as tx
 from lectern.operators import catalog, identity, incremental, quality
 from lectern.plans.corpus_data import open_corpus
 from lectern.plans.registered import sql as q
-from lectern.plans.registered.documents import SECTIONS_SQL
+from lectern.plans.registered.documents import SECTIONS_SQL, UNMARKED
 from lectern.sources import files as file_source
 from lectern.sources import tables
 
@@ -291,6 +291,31 @@ def readiness(spark, folder):
     return quality.readiness(snapshot_checks(open_corpus(spark, folder)))
 
 
+# A paper without a token in any section has no chunk and fails the first check; the others hold by construction.
+READINESS_SQL = q.with_(q.PAPERS, SECTIONS_SQL, rf"""
+tokens AS (SELECT paper_id, sum({q.count_tokens(UNMARKED)}) AS n FROM sections GROUP BY ALL),
+bare AS (SELECT count(*) AS failing FROM papers LEFT JOIN tokens USING (paper_id) WHERE coalesce(n, 0) = 0)""", select="""
+SELECT name AS "check", CASE WHEN name IN ('hierarchy', 'vectors') THEN failing ELSE 0 END AS failing, NOT (name IN ('hierarchy', 'vectors') AND failing > 0) AS passed
+FROM bare, (VALUES ('hierarchy'), ('mirror'), ('vectors'), ('provenance'), ('empty chunks')) v(name)""")
+
+
+def coverage_two_sets(spark, folder):
+    """Every paper against two vector sets, of which one lacks the sections of every third document."""
+    docs = tables.table(spark, folder, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("paper_id"), "doc_id")
+    kinds = F.explode(F.array(F.lit("paper"), F.lit("section"), F.lit("chunk")))
+    rows = docs.select("*", kinds.alias("kind")).withColumn("entity_id", F.concat_ws("/", "paper_id", "kind"))
+    sets = F.explode(F.array(F.lit("set-a"), F.lit("set-b")))
+    vectors = rows.select("*", sets.alias("model_fingerprint")).where("model_fingerprint = 'set-a' OR (doc_id % 3 <> 0 OR kind <> 'section') AND doc_id % 5 <> 0")
+    found = quality.vector_coverage(rows, vectors)
+    return found.select("paper_id", "model_fingerprint", "section_vectors", "paper_vectors", "complete")
+
+
+TWO_SETS_SQL = """
+SELECT 'doc-' || doc_id AS paper_id, s AS model_fingerprint, CAST(CASE WHEN s = 'set-a' OR (doc_id % 3 <> 0 AND doc_id % 5 <> 0) THEN 1 ELSE 0 END AS BIGINT) AS section_vectors,
+  CAST(CASE WHEN s = 'set-a' OR doc_id % 5 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS paper_vectors, s = 'set-a' OR (doc_id % 3 <> 0 AND doc_id % 5 <> 0) AS complete
+FROM documents, (VALUES ('set-a'), ('set-b')) v(s)"""
+
+
 QUERIES = {
     "changed_sources": (changed_sources, _state_sql("removed", "SELECT source_path, state FROM states")),
     "incomplete_scan": (incomplete_scan, _state_sql("kept", "SELECT state, count(*) AS paths FROM states GROUP BY ALL")),
@@ -310,5 +335,6 @@ QUERIES = {
     "excluded_sources": (excluded_sources, "SELECT source || '/' || doc_id || '.md' AS source_path FROM documents WHERE source NOT IN ('src1', 'src2')"),
     "source_lookup": (source_lookup, LOOKUP_SQL),
     "corpus_counts": (corpus_counts, COUNTS_SQL),
-    "readiness": (readiness, None),
+    "readiness": (readiness, READINESS_SQL),
+    "coverage_two_sets": (coverage_two_sets, TWO_SETS_SQL),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -210,13 +211,24 @@ SELECT doc_id, count(*) AS features, CAST(sum(n) AS BIGINT) AS uses,
 
 
 def hash_embedding(spark, folder):
-    """Feature-hash vector of every document, as slot count and leading slot."""
-    rows = spread(tables.table(spark, folder, "documents"))
-    vector = vx.hash_embedding(768)(tx.feature_tokens(F.col("text")))
-    return rows.select("doc_id", vector.alias("vector")).select(
-        "doc_id", F.size(F.filter("vector", lambda x: x != 0)).cast("bigint").alias("slots"),
-        F.round(vx.norm(F.col("vector")), 5).alias("length"), F.array_position("vector", F.array_max("vector")).alias("top_slot"),
-    )
+    """Feature-hash vector of every document with MD5 slots, one row per filled slot."""
+    from lectern.plans.index import embed_slots
+
+    docs = tables.table(spark, folder, "documents")
+    parts = docs.select(F.col("doc_id").alias("paper_id"), F.struct(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit("").alias("id")).alias("place"), "text")
+    filled = embed_slots(parts, vx.md5_slots(64))
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("paper_id")))
+    return filled.select(F.col("paper_id").alias("doc_id"), "slot", F.round(F.when(length > 0, F.col("value") / length).otherwise(0.0), 5).alias("value"))
+
+
+HASH_SQL = f"""
+WITH t AS (SELECT doc_id, {q.feature_tokens('text')} AS tok FROM documents),
+f AS (SELECT doc_id, 'word:' || unnest(tok) AS feature FROM t
+  UNION ALL SELECT doc_id, 'bigram:' || x.a || chr(31) || x.b FROM (SELECT doc_id, unnest(list_transform(range(1, len(tok)), lambda i: {{'a': tok[i], 'b': tok[i + 1]}})) AS x FROM t)),
+c AS (SELECT doc_id, feature, md5(feature) AS h, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT doc_id, CAST(('0x' || substr(h, 1, 8))::BIGINT % 64 AS INT) AS slot,
+  round(sum((CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * (CASE WHEN starts_with(feature, 'word:') THEN 1.0::DOUBLE ELSE 0.55::DOUBLE END) * (1 + ln(n))), 9) AS value FROM c GROUP BY ALL)
+SELECT doc_id, slot, round(CASE WHEN len > 0 THEN value / len ELSE 0.0::DOUBLE END, 5) AS value FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS len FROM s)"""
 
 
 # Hybrid search with the given vectors: document n's vector is embedding n, and so is item n's.
@@ -495,7 +507,7 @@ QUERIES = {
     "vector_set_inventory": (vector_set_inventory, INVENTORY_SQL),
     "newest_vector_set": (newest_vector_set, NEWEST_SQL),
     "hash_features": (hash_features, FEATURES_SQL),
-    "hash_embedding": (hash_embedding, None),
+    "hash_embedding": (hash_embedding, HASH_SQL),
     "rrf_fuse": (rrf_fuse, RRF_SQL),
     "lexical_f1_rerank": (lexical_f1_rerank, F1_SQL),
     "rerank_blend": (rerank_blend, BLEND_SQL),
