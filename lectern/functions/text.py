@@ -129,6 +129,27 @@ def clean_markdown(text: Column) -> Column:
     return F.concat(strip(value), F.lit("\n"))
 
 
+# What plain text of a scanned page may not begin with, and the label put before it.
+SCAN_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+SCAN_MARKUP = r"(?i)^(?:#{1,6}\s|`{3,}|~{3,}|<!--\s*page\s*:)"
+SCAN_STATEMENT = r"(?i)^(?:theorem|lemma|proposition|corollary|definition|proof)\b"
+SCAN_LABEL = "OCR text: "
+SCAN_SYMBOL = "OCR symbol: "
+
+
+def scanned_page(text: Column, page: Column) -> Column:
+    """Plain text of one scanned page as a section that no later page can fall into."""
+    def safe(line):
+        value = F.replace(strip(line), F.lit("$$"), F.lit("$ $"))
+        value = F.regexp_replace(F.regexp_replace(value, r"^\\\[", "["), r"^\\begin\{", "begin{")
+        value = F.when(value.isin("[", "]"), F.concat(F.lit(SCAN_SYMBOL), value)).otherwise(value)
+        value = F.when(value.rlike(SCAN_MARKUP), F.concat(F.lit(SCAN_LABEL), value)).otherwise(value)
+        return F.when(value.rlike(SCAN_STATEMENT), F.concat(F.lit(SCAN_LABEL), value)).otherwise(value)
+
+    body = F.array_join(F.transform(F.split(text, SCAN_LINE_END), safe), "\n")
+    return strip(F.concat(F.lit("# OCR page "), page.cast("string"), F.lit("\n\n"), strip(body)))
+
+
 def to_ascii(text: Column) -> Column:
     """What compatibility forms keep of a text in ASCII; texts without long forms skip their table."""
     forms = _long_forms()

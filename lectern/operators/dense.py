@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.config import KINDS
+from lectern.functions.vectors import normalized
+from lectern.operators.incremental import upsert
 from lectern.operators.lexical import SCORE_DIGITS, entity_key, top_per_list
 
 QUERY_BLOCK = 2048
@@ -107,6 +110,35 @@ def newest_set(vectors: DataFrame, model: str | None = None) -> DataFrame:
     return chosen.join(F.broadcast(newest), ["kind", "model_fingerprint"])
 
 
+def paper_vector_sets(vectors: DataFrame) -> DataFrame:
+    """Vector sets with paper-level vectors, the fullest first: sets are few, one row each."""
+    sets = vector_sets(vectors.where("kind = 'paper'"))
+    order = Window.orderBy(F.desc("vectors"), "model_name", "dimensions", "model_fingerprint")
+    return sets.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
+def upsert_vectors(stored: DataFrame, incoming: DataFrame, model_name: str, fingerprint: str) -> DataFrame:
+    """``stored`` with the unit vectors of ``incoming (kind, entity_id, paper_id, vector)`` in one set.
+
+    A set has one model and one dimension, so mixed sizes, a name or size unlike the stored
+    ones, and unknown levels are errors.  The first ``created_at`` of a row stays.
+    """
+    kinds = {r[0] for r in incoming.select("kind").distinct().collect()} - set(KINDS)
+    if kinds:
+        raise ValueError(f"unsupported result kinds: {', '.join(sorted(map(str, kinds)))}")
+    sizes = [r[0] for r in incoming.select(F.size("vector")).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError("one vector set cannot hold mixed dimensions")
+    held = stored.where(F.col("model_fingerprint") == fingerprint).select("model_name", "dimensions").distinct().limit(2).collect()
+    if sizes and any((r["model_name"], r["dimensions"]) != (model_name, sizes[0]) for r in held):
+        raise ValueError("the fingerprint already names another model or dimension")
+    rows = incoming.select(
+        "kind", "entity_id", "paper_id", normalized(F.col("vector")).alias("vector"), F.lit(model_name).alias("model_name"), F.lit(fingerprint).alias("model_fingerprint"),
+        F.size("vector").alias("dimensions"), F.lit(True).alias("normalized"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
+    )
+    return upsert(stored, rows, ["kind", "entity_id", "model_fingerprint"], ("created_at",))
+
+
 def vector_sets(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("model_fingerprint", "model_name", "dimensions").agg(F.count("*").alias("vectors"))
 

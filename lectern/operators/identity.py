@@ -41,6 +41,13 @@ def deduplicate(sources: DataFrame) -> DataFrame:
     return sources.join(broadcast_if_small(copies), "source_path", "left_anti")
 
 
+def first_sources(canonical: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` canonical sources by depth and path: a run over part of a corpus."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return canonical.orderBy(_path_order()).limit(limit)
+
+
 def alias_rows(sources: DataFrame) -> DataFrame:
     """``source_path → canonical_path`` for every source that is a copy."""
     canonical = canonical_paths(sources).where("copies > 1").select("content_hash", "canonical_path")

@@ -14,8 +14,12 @@ GENERIC_TITLES = ("", "untitled", "document", "article", "paper", "full text", "
 AUTHOR_TOOLS = ("microsoft word", "adobe acrobat", "anonymous", "unknown author")
 YEAR = r"\b(?:19|20)[0-9]{2}\b"
 CITED_YEAR = r"\((?:19|20)[0-9]{2}\)"
-ABSTRACT_HEADING = r"(?i)^(?:abstract|summary)$"
-ABSTRACT_LABEL = r"(?i)^\s*(?:(?:\*\*|__)\s*(?:abstract|summary)\s*(?:\*\*|__)\s*(?:[:.\-–—]\s*)?(.*)|(?:abstract|summary)\s*(?:[:.\-–—]\s*(.*))?)$"
+ABSTRACT_NAMES = ("abstract", "summary")
+NAMED = "(?:" + "|".join(ABSTRACT_NAMES) + ")"
+ABSTRACT_HEADING = rf"(?i)^{NAMED}$"
+BOLD_LABEL = rf"(?:\*\*|__)\s*{NAMED}\s*(?:\*\*|__)\s*(?:[:.\-–—]\s*)?(.*)"
+PLAIN_LABEL = rf"{NAMED}\s*(?:[:.\-–—]\s*(.*))?"
+ABSTRACT_LABEL = rf"(?i)^\s*(?:{BOLD_LABEL}|{PLAIN_LABEL})$"
 STOP_WORDS = (
     "about", "after", "also", "among", "and", "are", "based", "been", "being", "between", "can", "could", "does", "each", "for",
     "from", "have", "into", "its", "more", "most", "not", "only", "other", "paper", "results", "section", "should", "such", "than",

@@ -105,6 +105,7 @@ def note_entities(notes: DataFrame, links: DataFrame, papers: DataFrame) -> Data
 
 def context_text(kind: Column) -> Column:
     """Text that stands for a section, chunk or note when it is embedded."""
+    # The labels of the parts.
     child = F.concat(F.lit("DOCUMENT:\n"), "title", F.lit("\n\nSECTION:\n"), "section_path", F.lit("\n\nCONTENT:\n"), "text")
     note = F.concat(F.lit("CURATED INDEX PATH:\n"), "section_path", F.lit("\n\nNOTE:\n"), "text")
     return F.when(kind == "curated", note).otherwise(child)
@@ -115,6 +116,7 @@ def paper_context_parts(papers: DataFrame, sections: DataFrame, notes: DataFrame
 
     A paper may have any number of notes, so the parts are never joined to one text.
     """
+    # The labels of the parts.
     head = papers.select(
         "paper_id", F.struct(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit("").alias("id")).alias("place"),
         F.concat_ws(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import catalog, identity, incremental, quality
+from lectern.operators import catalog, dense, identity, incremental, notes, quality
 from lectern.plans.corpus_data import open_corpus
 from lectern.plans.registered import sql as q
 from lectern.plans.registered.documents import SECTIONS_SQL, UNMARKED
@@ -316,6 +316,98 @@ SELECT 'doc-' || doc_id AS paper_id, s AS model_fingerprint, CAST(CASE WHEN s =
 FROM documents, (VALUES ('set-a'), ('set-b')) v(s)"""
 
 
+def ocr_pages(spark, folder):
+    """Every page's text as a scanned page, with what could pass for Markdown made harmless."""
+    rows = tables.table(spark, folder, "pages").select("page_id", F.replace("html", F.lit("<p>"), F.lit("\n# ")).alias("t"))
+    return rows.select("page_id", F.md5(tx.scanned_page(F.col("t"), F.col("page_id"))).alias("digest"))
+
+
+OCR_SQL = r"""
+WITH l AS (SELECT page_id, list_transform(regexp_split_to_array(replace(html, '<p>', chr(10) || '# '), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'), lambda s:
+    regexp_replace(regexp_replace(replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '$$', '$ $'), '^\\\[', '['), '^\\begin\{', 'begin{')) AS ls FROM pages),
+m AS (SELECT page_id, list_transform(list_transform(list_transform(ls, lambda s: CASE WHEN s IN ('[', ']') THEN 'OCR symbol: ' || s ELSE s END),
+    lambda s: CASE WHEN regexp_matches(s, '(?i)^(?:#{1,6}\s|`{3,}|~{3,}|<!--\s*page\s*:)') THEN 'OCR text: ' || s ELSE s END),
+    lambda s: CASE WHEN regexp_matches(s, '(?i)^(?:theorem|lemma|proposition|corollary|definition|proof)\b') THEN 'OCR text: ' || s ELSE s END) AS ls FROM l)
+SELECT page_id, md5(regexp_replace('# OCR page ' || page_id || chr(10) || chr(10) || regexp_replace(array_to_string(ls, chr(10)), '^\s+|\s+$', '', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM m"""
+
+
+def _entries(spark, folder):
+    """Benchmark items as notes of two catalogs; item n links the documents n and n + 1 of each thousand."""
+    items = tables.table(spark, folder, "benchmark")
+    entries = items.select(F.concat(F.lit("catalog-"), F.col("item_id") % 2).alias("catalog_id"), F.col("item_id").cast("string").alias("entry_id"),
+                           F.when(F.col("item_id") % 5 > 0, 1000 - F.col("item_id")).cast("int").alias("source_line"))
+    docs = tables.table(spark, folder, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("paper_id"))
+    near = docs.select("paper_id", F.explode(F.array(F.col("doc_id") % 1000, (F.col("doc_id") + 1) % 1000)).alias("item"))
+    return entries, near.select(F.col("item").cast("string").alias("entry_id"), "paper_id").join(entries.select("entry_id"), "entry_id", "left_semi")
+
+
+ENTRIES = """
+e AS (SELECT 'catalog-' || (item_id % 2) AS catalog_id, CAST(item_id AS VARCHAR) AS entry_id, CASE WHEN item_id % 5 > 0 THEN CAST(1000 - item_id AS INT) END AS source_line FROM benchmark),
+l AS (SELECT DISTINCT CAST(item AS VARCHAR) AS entry_id, 'doc-' || doc_id AS paper_id FROM (SELECT doc_id, unnest([doc_id % 1000, (doc_id + 1) % 1000]) AS item FROM documents) WHERE CAST(item AS VARCHAR) IN (SELECT entry_id FROM e))"""
+
+
+def entries_with_links(spark, folder):
+    return notes.entries_in_order(*_entries(spark, folder)).withColumns({c: F.col(c).cast("bigint") for c in ("place", "link_no")})
+
+
+ENTRIES_SQL = q.with_(ENTRIES, """
+p AS (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY coalesce(source_line, 2147483647), entry_id) AS place FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY paper_id) AS link_no FROM l)""", select="SELECT catalog_id, entry_id, source_line, place, paper_id, link_no FROM p LEFT JOIN n USING (entry_id)")
+
+
+def note_vector_coverage(spark, folder):
+    """Two sets of note vectors, of which one holds some under the wrong paper."""
+    entries, links = _entries(spark, folder)
+    first = links.groupBy("entry_id").agg(F.min("paper_id").alias("paper_id"))
+    rows = entries.join(first, "entry_id", "left").select(F.lit("curated").alias("kind"), F.col("entry_id").alias("entity_id"), "paper_id", F.explode(F.array(F.lit("set-a"), F.lit("set-b"))).alias("model_fingerprint"))
+    wrong = (F.col("model_fingerprint") == "set-b") & (F.col("entity_id").cast("int") % 7 == 0)
+    return notes.note_coverage(entries, links, rows.withColumn("paper_id", F.when(wrong, "doc-none").otherwise(F.col("paper_id"))))
+
+
+NOTE_COVERAGE_SQL = q.with_(ENTRIES, select="""
+SELECT s AS model_fingerprint, count(*) AS notes, CAST(count_if(s = 'set-a' OR CAST(entry_id AS INT) % 7 <> 0) AS BIGINT) AS covered, bool_and(s = 'set-a' OR CAST(entry_id AS INT) % 7 <> 0) AS complete
+FROM e, (VALUES ('set-a'), ('set-b')) v(s) GROUP BY ALL""")
+
+
+def _vector_table(rows, name):
+    return rows.select("kind", "entity_id", "paper_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(name).alias("model_name"), F.lit(f"print-{name}").alias("model_fingerprint"),
+                       F.size("vector").alias("dimensions"), F.lit(True).alias("normalized"), F.timestamp_seconds(F.lit(60)).alias("created_at"), F.timestamp_seconds(F.lit(60)).alias("updated_at"))
+
+
+def vector_upsert(spark, folder):
+    """Vectors of even ids stored, those of ids divisible by three written again with the sign turned."""
+    rows = tables.stored_vectors(spark, folder)
+    fresh = rows.where("vec_id % 3 = 0").withColumn("vector", F.transform("vector", lambda x: -x))
+    merged = dense.upsert_vectors(_vector_table(rows.where("vec_id % 2 = 0"), "m"), fresh, "m", "print-m")
+    return merged.select("entity_id", F.round(F.get("vector", F.lit(0)), 5).alias("first_value"), (F.col("created_at") == F.timestamp_seconds(F.lit(60))).alias("first_stored"))
+
+
+VECTOR_UPSERT_SQL = """
+SELECT 'doc-' || vec_id AS entity_id, round(CASE WHEN vec_id % 3 = 0 THEN -(embedding[1]::DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) ELSE embedding[1]::DOUBLE END, 5) AS first_value,
+  vec_id % 2 = 0 AS first_stored FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0"""
+
+
+def paper_set_order(spark, folder):
+    rows = tables.stored_vectors(spark, folder)
+    sets = rows.select(F.when(F.col("label") == 3, "section").otherwise("paper").alias("kind"), F.concat(F.lit("set-"), "label").alias("model_fingerprint"),
+                       F.concat(F.lit("model-"), F.col("label") % 2).alias("model_name"), F.size("vector").cast("bigint").alias("dimensions"))
+    return dense.paper_vector_sets(sets)
+
+
+SET_ORDER_SQL = """
+SELECT *, row_number() OVER (ORDER BY vectors DESC, model_name, dimensions, model_fingerprint) AS place FROM (
+  SELECT 'set-' || label AS model_fingerprint, 'model-' || (label % 2) AS model_name, CAST(len(embedding) AS BIGINT) AS dimensions, count(*) AS vectors FROM embeddings WHERE label <> 3 GROUP BY ALL)"""
+
+
+def source_limit(spark, folder):
+    """The first hundred canonical sources: a run over part of the corpus."""
+    return identity.first_sources(identity.deduplicate(tables.markdown_files(spark, folder)), 100).select("source_path")
+
+
+LIMIT_SQL = """
+SELECT source_path FROM (SELECT arg_min(p, lower(p)) AS source_path FROM (SELECT text, source || '/' || doc_id || '.md' AS p FROM documents) GROUP BY text) ORDER BY lower(source_path), source_path LIMIT 100"""
+
+
 QUERIES = {
     "changed_sources": (changed_sources, _state_sql("removed", "SELECT source_path, state FROM states")),
     "incomplete_scan": (incomplete_scan, _state_sql("kept", "SELECT state, count(*) AS paths FROM states GROUP BY ALL")),
@@ -336,5 +428,11 @@ QUERIES = {
     "source_lookup": (source_lookup, LOOKUP_SQL),
     "corpus_counts": (corpus_counts, COUNTS_SQL),
     "readiness": (readiness, READINESS_SQL),
+    "ocr_pages": (ocr_pages, OCR_SQL),
+    "entries_with_links": (entries_with_links, ENTRIES_SQL),
+    "note_vector_coverage": (note_vector_coverage, NOTE_COVERAGE_SQL),
+    "vector_upsert": (vector_upsert, VECTOR_UPSERT_SQL),
+    "paper_set_order": (paper_set_order, SET_ORDER_SQL),
+    "source_limit": (source_limit, LIMIT_SQL),
     "coverage_two_sets": (coverage_two_sets, TWO_SETS_SQL),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern import cli
 from lectern.config import ChunkSettings, EmbeddingSettings, LayoutSettings, Settings
 from lectern.functions import text as tx
-from lectern.operators import fusion, identity, metadata, quality, sections
+from lectern.operators import dense, fusion, identity, metadata, quality, sections
 from lectern.plans.corpus import Corpus, envelope
 from lectern.plans.index import Index, embed_parts
 from lectern.plans.ingest import ingest
@@ -140,3 +140,26 @@ def test_parts_of_one_place_are_embedded_in_order_of_id(spark):
     one = embed_parts(parts([("a", "red green"), ("b", "blue grey"), ("c", "pink")]), 64).head()["vector"]
     two = embed_parts(parts([("c", "pink"), ("b", "blue grey"), ("a", "red green")]).repartition(3), 64).head()["vector"]
     assert one == two
+
+
+def test_scanned_pages_are_harmless(spark):
+    text = "a $$ b\n[\n\\begin{x}\r\n# Head\n\n  ```\nTheorem 1\n<!-- Page: 3 -->\n\\[ y"
+    rows = spark.createDataFrame([(4, text), (5, "")], "page int, t string")
+    found = [r["v"] for r in rows.select("page", tx.scanned_page(F.col("t"), F.col("page")).alias("v")).orderBy("page").collect()]
+    assert found[0] == "# OCR page 4\n\na $ $ b\nOCR symbol: [\nbegin{x}\nOCR text: # Head\n\nOCR text: ```\nOCR text: Theorem 1\nOCR text: <!-- Page: 3 -->\n[ y"
+    assert found[1] == "# OCR page 5"
+
+
+def test_vector_upsert_guards(spark):
+    schema = "kind string, entity_id string, paper_id string, vector array<double>, model_name string, model_fingerprint string, dimensions int, normalized boolean, created_at timestamp, updated_at timestamp"
+    stored = spark.createDataFrame([("paper", "a", "a", [1.0, 0.0], "m", "f", 2, True, None, None)], schema)
+
+    def rows(*given):
+        return spark.createDataFrame([(k, e, e, v) for k, e, v in given], "kind string, entity_id string, paper_id string, vector array<double>")
+
+    merged = {r["entity_id"]: r["vector"] for r in dense.upsert_vectors(stored, rows(("paper", "a", [0.0, 2.0]), ("chunk", "b", [3.0, 4.0])), "m", "f").collect()}
+    assert merged == {"a": [0.0, 1.0], "b": [0.6, 0.8]}
+    for bad, model in ((rows(("paper", "a", [1.0]), ("paper", "b", [1.0, 2.0])), "m"), (rows(("paper", "a", [1.0])), "m"), (rows(("paper", "a", [1.0, 1.0])), "other"), (rows(("odd", "a", [1.0, 1.0])), "m")):
+        with pytest.raises(ValueError):
+            dense.upsert_vectors(stored, bad, model, "f")
+    assert dense.upsert_vectors(stored, rows(), "m", "f").count() == 1
