@@ -182,13 +182,13 @@ SELECT paper_id || '#' || coalesce(parent_order, section_order) AS request_id, s
 
 
 def read_section_pages(spark, folder):
-    """First page of 60 tokens of every top-level turn with its replies."""
+    """All pages of 60 tokens of every top-level turn with its replies."""
     tree = _conversation_tree(spark, folder).withColumn("page_start", F.lit(None).cast("int")).withColumn("page_end", F.lit(None).cast("int"))
     requests = tree.where("level = 1").select(
-        F.concat_ws("#", "paper_id", F.col("section_order").cast("string")).alias("request_id"), "paper_id", F.col("section_order").alias("target_order"), F.lit(0).cast("bigint").alias("offset")
+        F.concat_ws("#", "paper_id", F.col("section_order").cast("string")).alias("request_id"), "paper_id", F.col("section_order").alias("target_order")
     )
-    pages = hierarchy.read_sections(requests, tree, 60)
-    return pages.select("request_id", "total_tokens", "next_offset", F.col("returned_tokens").cast("bigint").alias("returned_tokens"), "included_sections", "text")
+    pages = hierarchy.read_all_pages(requests, tree, 60)
+    return pages.select("request_id", "offset", "total_tokens", "next_offset", F.col("returned_tokens").cast("bigint").alias("returned_tokens"), "included_sections", "text")
 
 
 READ_SQL = q.with_(TREE_SQL, f"""
@@ -196,8 +196,8 @@ parts AS (SELECT paper_id || '#' || coalesce(parent_order, section_order) AS req
   CASE WHEN level = 1 THEN {q.strip('text')} ELSE {q.strip("'## ' || heading || chr(10) || chr(10) || text")} END AS part FROM tree WHERE level = 1 OR parent_order IS NOT NULL),
 whole AS (SELECT request_id, string_agg(part, chr(10) || chr(10) ORDER BY section_order) AS txt, count(*) AS included_sections FROM parts GROUP BY ALL),
 cut AS (SELECT *, regexp_extract_all(txt, '(?:{q.COUNT_TOKEN})\\s*') AS spans FROM whole)""".replace("\\\\s", "\\s"), select=f"""
-SELECT request_id, CAST(len(spans) AS BIGINT) AS total_tokens, CASE WHEN len(spans) > 60 THEN CAST(60 AS BIGINT) END AS next_offset, CAST(least(60, len(spans)) AS BIGINT) AS returned_tokens,
-  included_sections, {q.strip("array_to_string(spans[1:60], '')")} AS text FROM cut""")
+SELECT request_id, from_token AS offset, CAST(len(spans) AS BIGINT) AS total_tokens, CASE WHEN len(spans) > from_token + 60 THEN CAST(from_token + 60 AS BIGINT) END AS next_offset, CAST(least(60, len(spans) - from_token) AS BIGINT) AS returned_tokens,
+  included_sections, {q.strip("array_to_string(spans[from_token + 1:from_token + 60], '')")} AS text FROM (SELECT *, unnest(range(0, greatest(len(spans), 1), 60)) AS from_token FROM cut)""")
 
 
 def logical_parent(spark, folder):
