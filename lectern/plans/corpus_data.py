@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from lectern.operators.identity import deduplicate
 from lectern.plans.index import Index, IndexWriter, paper_entities
@@ -29,6 +30,13 @@ def build_documents(spark: SparkSession, folder: str, root: str) -> Index:
     return writer.index
 
 
+def build_turns(spark: SparkSession, folder: str, root: str) -> Index:
+    """Every conversation turn as a paper, with the notes of its conversation's number."""
+    items = tables.table(spark, folder, "benchmark").select("item_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    links = items.select(F.col("item_id").cast("string").alias("entry_id"), F.concat_ws("-", F.lit("turn"), "item_id", "turn").alias("paper_id"))
+    return IndexWriter(spark, root, 1).build(tables.turn_papers(spark, folder), tables.note_rows(spark, folder), links, vectors=False)
+
+
 def _open(spark: SparkSession, folder: str, name: str, build) -> Index:
     key = (spark.sparkContext.applicationId, name, folder)
     if key not in _OPEN:
@@ -41,5 +49,9 @@ def open_corpus(spark: SparkSession, folder: str) -> Index:
     return _open(spark, folder, "corpus", build_corpus)
 
 
+def open_turns(spark: SparkSession, folder: str) -> Index:
+    return _open(spark, folder, "turns", build_turns)
+
+
 def open_documents(spark: SparkSession, folder: str) -> Index:
     return _open(spark, folder, "documents", build_documents)

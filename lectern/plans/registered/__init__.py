@@ -2,6 +2,6 @@
 
 
 def all_queries() -> dict:
-    from lectern.plans.registered import documents, maintenance, searching
+    from lectern.plans.registered import documents, levels, maintenance, searching
 
-    return {**searching.QUERIES, **documents.QUERIES, **maintenance.QUERIES}
+    return {**searching.QUERIES, **levels.QUERIES, **documents.QUERIES, **maintenance.QUERIES}

@@ -100,6 +100,17 @@ def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def turn_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """One paper per conversation turn: role and number as title, the first line as abstract."""
+    title = F.concat_ws(" ", F.col("role"), F.col("turn").cast("string"))
+    body = tx.strip(F.col("text"))
+    return table(spark, folder, "conversations").select(
+        F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("paper_id"), title.alias("title"), F.array(F.concat(F.lit("conv-"), "conv_id")).alias("authors"),
+        F.lit(None).cast("int").alias("year"), F.get(F.split(body, "\n"), 0).alias("abstract"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("source_path"),
+        F.lit("markdown_reference").alias("source_kind"), F.sha2("text", 256).alias("content_hash"), tx.clean_markdown(F.concat(F.lit("# "), title, F.lit("\n\n"), "text")).alias("markdown"),
+    )
+
+
 def conversation_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Turns as sections: user and system turns are top level, replies lie under them."""
     return table(spark, folder, "conversations").select(
