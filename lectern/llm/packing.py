@@ -14,6 +14,7 @@ import sys
 import zlib
 from array import array
 from collections import defaultdict
+from operator import itemgetter
 from types import ModuleType
 
 import numpy as np
@@ -22,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import bounded_batches
-from lectern.llm.words import text_bytes
+from lectern.llm.words import TOKEN_CACHE, give_back_memory, text_bytes
 from lectern.operators.ranking import blocked_row_number
 from lectern.session import settle
 
 SEQUENCE = 4096
 END_TOKEN = 2
 RANK_BLOCK = 8192
-CACHE_WORDS = 700_000
+CACHE_WORDS = 550_000
+ENCODED_AT_ONCE = 10_000
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -62,10 +64,15 @@ class WordEncoder:
         self.between = np.array(self.model.encode(self.BETWEEN, add_special_tokens=False).ids, np.uint32)
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, texts: list[str], at_once: int):
+        """Ids of each text; few at once, as what the library returns for a text is far larger."""
+        for low in range(0, len(texts), at_once):
+            for found in self.model.encode_batch_fast(texts[low : low + at_once], add_special_tokens=False):
+                yield found.ids
+
     def _one_by_one(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        for word, found in zip(words, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[word] = array("I", found.ids).tobytes()
+        for word, ids in zip(words, self._ids([w.decode() for w in words], ENCODED_AT_ONCE)):
+            self.known[word] = array("I", ids).tobytes()
 
     def _with_marks(self, words: list[bytes]) -> None:
         mark, size = self.BETWEEN.encode(), len(self.between)
@@ -73,8 +80,8 @@ class WordEncoder:
         words = [w for w in words if mark not in w]
         runs = [words[i : i + 500] for i in range(0, len(words), 500)]
         texts = [b"".join([w + b" " + mark + b" " for w in r]).decode() for r in runs]
-        for run, found in zip(runs, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
+        for run, found in zip(runs, self._ids(texts, ENCODED_AT_ONCE // 500)):
+            ids = np.array(found, np.uint32)
             hit = np.ones(len(ids) - size + 1, bool)
             for at in range(size):
                 hit &= ids[at : len(ids) - size + 1 + at] == self.between[at]
@@ -89,8 +96,8 @@ class WordEncoder:
 
     def _together(self, words: list[bytes]) -> None:
         runs = [words[i : i + 500] for i in range(0, len(words), 500)]
-        found = self.model.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)
-        for run, ids in zip(runs, (np.array(f.ids, np.uint32) for f in found)):
+        found = self._ids([b" ".join(r).decode() for r in runs], ENCODED_AT_ONCE // 500)
+        for run, ids in zip(runs, (np.array(f, np.uint32) for f in found)):
             ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) != len(run):
                 self._one_by_one(run)
@@ -98,15 +105,20 @@ class WordEncoder:
             raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
             self.known.update(zip(run, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
 
+    @staticmethod
+    def _plain(word: bytes) -> bool:
+        """Letters that stay one letter each in lower case; ASCII ones are settled before."""
+        text = word.decode()
+        return text.isalpha() and max(text) < "İ"
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = words.difference(self.known)
         simple, pointed, other = set(), [], []
         for word in new:
-            bare = word[:-1] if word[-1:] in (b",", b".") else word
-            text = bare.decode()
-            if text.isalpha() and max(text) < "İ":
+            bare = word[:-1] if word[-1] in b",." else word
+            if bare.isalpha() or self._plain(bare):
                 simple.add(bare)
                 if bare is not word:
                     pointed.append(word)
@@ -124,12 +136,13 @@ class WordEncoder:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         self.learn(set().union(*split))
         ids = self.known
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        # One call looks up all words of a text; it gives a tuple from two words on.
+        return [b"".join(itemgetter(*words)(ids)) if len(words) > 1 else b"".join(map(ids.__getitem__, words)) for words in split]
 
 
 def worker_encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker; later tasks of the worker find its words known."""
-    store = sys.modules.setdefault("_word_encoders", ModuleType("_word_encoders"))
+    store = sys.modules.setdefault(TOKEN_CACHE, ModuleType(TOKEN_CACHE))
     if path not in store.__dict__:
         store.__dict__[path] = WordEncoder(path)
     return store.__dict__[path]
@@ -143,8 +156,8 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end: int = E
         for batch in batches:
             if encoder is None:
                 encoder = worker_encoder(tokenizer)
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
                 data, offsets = text_bytes(part.column(1))
                 raw, at = data.tobytes(), offsets.tolist()
                 rows = []
@@ -159,6 +172,7 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end: int = E
                     [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+            give_back_memory()
 
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
 

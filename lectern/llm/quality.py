@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import bounded_batches
+from lectern.llm.words import free_token_cache, give_back_memory
 from lectern.session import settle
 
 ORDER = 4
@@ -37,7 +38,7 @@ BIN = 0.001
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 MODEL_ROWS = 8_000_000
-TASK_WORDS = 400_000
+TASK_WORDS = 250_000
 # The symbols that are counted, and the bytes that stand for a word's start and end.
 SYMBOLS = b"#*$%&|<>"
 START, END = b"\x02", b"\x03"
@@ -83,6 +84,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``lang, gram, n`` over all words of all documents."""
 
     def count(batches):
+        free_token_cache()
         held: dict = {}
 
         def out():
@@ -93,6 +95,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 total = np.bincount(inverse, times).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(total)], names=["lang", "gram", "n"])
             held.clear()
+            give_back_memory()
 
         for batch in batches:
             for _, texts, langs in _texts(batch):
@@ -183,11 +186,11 @@ class SortedModel:
 def sorted_models(model: DataFrame, order: int) -> dict:
     """Language to ``SortedModel``; the caller has checked the number of rows."""
     held = model.toArrow()
-    langs = held.column("lang").to_pylist()
+    coded = held.column("lang").combine_chunks().dictionary_encode()
+    number = coded.indices.fill_null(-1).to_numpy()
+    place = {lang: i for i, lang in enumerate(coded.dictionary.to_pylist())} | ({None: -1} if coded.null_count else {})
+    names = sorted(place, key=lambda x: (x is None, x))
     columns = [held.column(c).to_numpy() for c in ("k", "kind", "key", "value")]
-    names = sorted(set(langs), key=lambda x: (x is None, x))
-    place = {lang: i for i, lang in enumerate(names)}
-    number = np.fromiter((place[lang] for lang in langs), np.int64, len(langs))
     out = {}
     for lang in names:
         tables = {}
@@ -209,6 +212,7 @@ def _measured(docs: DataFrame, models: dict | None, order: int) -> DataFrame:
     shared = context.broadcast(models) if models is not None else None
 
     def measure(batches):
+        free_token_cache()
         scores: dict = {}
         for batch in batches:
             for part, texts, langs in _texts(batch):
@@ -233,6 +237,8 @@ def _measured(docs: DataFrame, models: dict | None, order: int) -> DataFrame:
                     [part.column("doc_id"), part.column("lang"), part.column("mark"), *(pa.array(c, pa.int64()) for c in columns), pa.array(sums, pa.float64())],
                     names=[f.split()[0] for f in FEATURES.split(", ")],
                 )
+        scores.clear()
+        give_back_memory()
 
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("mark"), F.col("text").cast("string")).mapInArrow(measure, FEATURES)
 

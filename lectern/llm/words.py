@@ -6,6 +6,9 @@ UTF-8 letter is one of these, so splitting bytes is splitting characters.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +21,21 @@ MIX_B = 0x94D049BB133111EB
 BASE = 0xD6E8FEB86659FD93
 
 SLICE_BYTES = 1 << 20
+# Where packing keeps the token cache of a Python worker.
+TOKEN_CACHE = "_word_encoders"
+
+
+def give_back_memory() -> None:
+    """Return freed memory of this worker to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def free_token_cache() -> None:
+    """Give back the memory of a token cache that an earlier stage left in this worker."""
+    sys.modules.pop(TOKEN_CACHE, None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +71,7 @@ class WordHasher:
 
     def __init__(self, lower: bool = False, block: int = 1 << 16, classes: np.ndarray | None = None):
         """``classes`` gives each byte a class; a change of class ends a word and class 0 is white space."""
+        free_token_cache()
         if classes is None:
             classes = np.ones(256, np.uint8)
             classes[list(WHITE_SPACE)] = 0
