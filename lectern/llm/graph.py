@@ -165,12 +165,14 @@ def build_index(vectors: DataFrame, k: int = NEIGHBOURS, shard_size: int = SHARD
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(float(shard_size))).alias("shards"))
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), "shards"))
 
-    def build(key, group: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.iloc[np.argsort([i[0] for i in group["ids"]])]
         edges, entry = build_graph(lifted(np.stack(group["v"].to_numpy())))
         return pd.DataFrame({"dim": key[0], "shard": key[1], "at": np.arange(len(group)), "entry": entry, "v": group["v"].to_numpy(), "ids": group["ids"].to_numpy(), "edges": list(edges)})
 
-    return dealt.select("dim", "shard", "v", "ids").groupBy("dim", "shard").applyInPandas(
+    # One shard is much work on few bytes, so shards must not be put together by size.
+    tasks = 4 * max(1, -(-nodes.count() // shard_size))
+    return dealt.select("dim", "shard", "v", "ids").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(
         build, "dim int, shard long, at int, entry int, v array<double>, ids array<long>, edges array<int>"
     )
 
@@ -189,7 +191,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, beam
         .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     )
 
-    def search(key, nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if nodes.empty or asked.empty:
             return pd.DataFrame({"qid": [], "vec_id": [], "score": []}).astype({"qid": "int64", "vec_id": "int64"})
         nodes = nodes.sort_values("at")
