@@ -165,6 +165,40 @@ def test_planted_passages_are_found(spark):
     assert not clean & {i for r in found for i in (r.doc_id, r.other_id)}
 
 
+def test_passages_with_unequal_words_between(spark):
+    draw = random.Random(15)
+    rows, want = [], {}
+    for n, (first, gap, second) in enumerate([(60, 40, 60), (60, 100, 60), (60, 300, 60), (60, 60, 20), (20, 60, 60), (400, 150, 60), (60, 10, 60)]):
+        one, two = sentence(draw, first, 10**6), sentence(draw, second, 10**6)
+        for side in (0, 1):
+            rows.append((2 * n + side, " ".join([*sentence(draw, 30, 10**6), *one, *sentence(draw, gap + 3 * side, 10**6), *two, *sentence(draw, 30, 10**6)])))
+        want[2 * n, 2 * n + 1] = [first + second] if gap < 20 else [k for k in (first, second) if k >= 50]
+    found = {}
+    for r in substrings.repeated_passages(documents(spark, rows)).collect():
+        assert r.identity >= 0.8
+        found.setdefault(tuple(sorted((r.doc_id, r.other_id))), []).append((r.first_word, r.equal_words))
+    assert {k: [e for _, e in sorted(v)] for k, v in found.items()} == want
+
+
+def test_parts_against_all_ranges():
+    draw = random.Random(16)
+    for _ in range(100):
+        x, y, equal = [0], [0], [5]
+        for _ in range(draw.randint(1, 25)):
+            a, b = draw.randint(5, 30), draw.randint(5, 30)
+            x.append(x[-1] + a)
+            y.append(y[-1] + b)
+            equal.append(draw.randint(5, min(a, b)))
+
+        def similar(i, j):
+            return 5 + sum(equal[i + 1 : j + 1]) >= 0.8 * (max(x[j] - x[i], y[j] - y[i]) + 5) - 1e-9
+
+        found = substrings.parts(x, y, equal)
+        assert [k for i, j in found for k in range(i, j + 1)] == list(range(len(x))) and all(similar(i, j) for i, j in found)
+        longest = max(x[j] - x[i] for i in range(len(x)) for j in range(i, len(x)) if similar(i, j))
+        assert max(x[j] - x[i] for i, j in found) == longest
+
+
 def test_passage_edges(spark):
     found = substrings.repeated_passages(odd_documents(spark)).collect()
     assert {(r.doc_id, r.other_id) for r in found} == {(2, 1)}
