@@ -2,8 +2,8 @@
 
 Everything is DataFrame work in the JVM.  A finding is a value assigned to a telling name, or a long
 run of letters and digits.  The forest looks at its length, its changes between kinds of characters,
-the share of it that corpus words cover (words counted over all documents), the path of the
-document and the words around it.  It is trained from labelled findings: those of the corpus that
+the share of it that corpus words cover (words counted by document, outside of findings, so
+that a secret with many copies does not make words of itself), the path of the document and the words around it.  It is trained from labelled findings: those of the corpus that
 their form settles (at most ``TRAIN_ROWS``, by hash), and rows made by rule so that both labels are
 always there.  Callers with reviewed findings pass them to ``fit`` instead.
 
@@ -92,22 +92,24 @@ def described(found: DataFrame) -> DataFrame:
 def with_coverage(found: DataFrame, docs: DataFrame, least: int = DICTIONARY_COUNT) -> DataFrame:
     """Add ``coverage``: the share of the value in runs of letters that are words of the corpus.
 
-    Words are counted over all documents; counts are combined before they are shuffled.
+    A word stands in ``least`` documents outside of proposed findings; counts are combined before
+    they are shuffled.
     """
     runs = found.select("value").distinct().select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n"))
+    outside = F.array_distinct(F.split(F.lower(F.regexp_replace("text", FINDING, " ")), "[^a-z]+"))
+    words = docs.select(F.explode(outside).alias("word")).where(F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n"))
     known = words.where(F.col("n") >= least).join(runs.select("word").distinct(), "word", "left_semi").select("word", F.lit(True).alias("known"))
     held = runs.join(known, "word").groupBy("value").agg(F.sum(F.length("word")).alias("held"))
     return found.join(held, "value", "left").withColumn("coverage", F.coalesce("held", F.lit(0)) / F.greatest(F.length("value"), F.lit(1))).drop("held")
 
 
 def settled_labels(found: DataFrame) -> DataFrame:
-    """Findings whose form settles them, with ``label`` 1 or 0."""
+    """Findings whose form settles them, with ``label`` 1 or 0; the form of a vendor's key comes first."""
     digits_only = F.col("digits") >= 0.999
     wordy = (F.col("coverage") >= 0.6) | ((F.col("digits") == 0) & (F.col("capitals") < 0.1) & (F.col("coverage") >= 0.3))
     false = digits_only | wordy | F.col("value").rlike(UUID) | ((F.col("harmless_words") == 1) & (F.col("assigned") == 0))
-    true = F.col("value").rlike(VENDOR) | ((F.col("assigned") == 1) & (F.col("digits") > 0.1) & (F.col("changes") > 0.2))
-    return found.withColumn("label", F.when(false, 0.0).when(true, 1.0)).where("label is not null")
+    true = (F.col("assigned") == 1) & (F.col("digits") > 0.1) & (F.col("changes") > 0.2)
+    return found.withColumn("label", F.when(F.col("value").rlike(VENDOR), 1.0).when(false, 0.0).when(true, 1.0)).where("label is not null")
 
 
 def rule_made(spark: SparkSession, rows: int = 400) -> DataFrame:
