@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm import mixing, neardup, packing, quality, secrets
 from lectern.session import shared_dir
 
+# Similarity of 5-word shingles from which documents are near-duplicates.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
@@ -20,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
-    return neardup.without_near_duplicates(docs)
+    return neardup.without_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

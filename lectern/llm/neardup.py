@@ -4,7 +4,10 @@ A document's MinHash signature has 66 values of 16 bits, cut into 11 chunks of 6
 that differ in at most 21 = 2 * 11 - 1 values have a chunk that differs in at most one (pigeonhole),
 so each chunk is looked up under its 6 keys that leave one value out: every pair within 21 values
 shares a key.  A pair of similarity 0.85 differs in 9.9 values on average (deviation 2.9); it is
-missed with a probability of about 6e-5, more similar pairs far less.
+missed with a probability of about 6e-5, more similar pairs far less.  Below 0.85 pairs that share
+a key are confirmed up to the distance that one in 10^6 pairs of that similarity exceeds: at 0.80,
+where a chunk has at most one difference with a probability of 0.655, a pair is missed if none of
+11 has (8e-6) or if it exceeds that distance, with a probability of about 9e-6 together.
 
 No group of equal keys is ever expanded into pairs.  Documents of equal shingle sets are one class.
 Each class of a key is tied to the smallest of that key by a running window; connected classes form
@@ -19,6 +22,8 @@ other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,6 +39,20 @@ PERCENT = 85
 CHUNKS, WIDTH = 11, 6
 MAX_DISTANCE = 2 * CHUNKS - 1
 BLOCK = 1024
+# Below PERCENT: the share of pairs that may differ in more values than are confirmed.
+EXCEEDED = 1e-6
+
+
+def distance_limit(percent: int = PERCENT) -> int:
+    """In how many values of their signatures pairs to confirm may differ."""
+    if percent >= PERCENT:
+        return MAX_DISTANCE
+    count, same = CHUNKS * WIDTH, percent / 100
+    beyond, limit = 0.0, count
+    while limit and beyond + math.comb(count, limit) * (1 - same) ** limit * same ** (count - limit) <= EXCEEDED:
+        beyond += math.comb(count, limit) * (1 - same) ** limit * same ** (count - limit)
+        limit -= 1
+    return limit
 
 
 def multipliers(count: int = CHUNKS * WIDTH) -> np.ndarray:
@@ -124,13 +143,14 @@ def _confirm(group: list, percent: int, across: bool):
     members = np.split(local, cuts)
     marked = np.zeros(local.max() + 1, bool)
     owner = np.arange(count)
+    limit = distance_limit(percent)
     for x in range(count - 1):
         rest = np.arange(x + 1, count)
         if across:
             rest = rest[side[rest] != side[x]]
         distance = (signatures[rest] != signatures[x]).sum(axis=1)
         sized = 100 * np.minimum(sizes[rest], sizes[x]) >= percent * np.maximum(sizes[rest], sizes[x])
-        near = (distance <= MAX_DISTANCE) & sized & (owner[rest] != owner[x])
+        near = (distance <= limit) & sized & (owner[rest] != owner[x])
         if not near.any():
             continue
         rest = rest[near][np.argsort(distance[near], kind="stable")]

@@ -1,9 +1,12 @@
 """Near-duplicates, repeated passages, vectors and components."""
 
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
+import corpus_pipeline
 from lectern.llm import graph, neardup, substrings
 from lectern.llm.shared import components
 from tests.llm.rows import documents, no_documents, odd_documents, odd_rows
@@ -71,6 +74,38 @@ def test_near_duplicate_edges(spark):
     assert left.where("doc_id is null").count() == 2
 
 
+def test_pairs_between_80_and_85_in_the_pipeline(spark):
+    draw, factors, hasher = random.Random(17), neardup.multipliers(), neardup.WordHasher(lower=True)
+    rows, far = [], 0
+    while far < 2 or len(rows) < 20:
+        base = sentence(draw, 400, 10**6)
+        other = list(base)
+        for at in draw.sample(range(20, 380), 9):
+            other[at] = f"e{draw.randrange(10**6)}"
+        pair = [" ".join(base), " ".join(other)]
+        a, b = (shingle_set(t) for t in pair)
+        if not 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b):
+            continue
+        one, two = (neardup.signature(x, factors) for x in neardup._sets(pa.array(pair), hasher, 5))
+        # Of these pairs, also two that differ in more values than are confirmed at 0.85.
+        distant = (one != two).sum() > neardup.MAX_DISTANCE
+        if distant and far < 2 or len(rows) < 16:
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+            far += bool(distant)
+    docs = documents(spark, rows)
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, _ in rows if i % 2 == 0]
+    assert neardup.without_near_duplicates(docs).count() == len(rows)
+
+
+def test_few_pairs_of_80_are_missed():
+    limit, count = neardup.distance_limit(80), neardup.CHUNKS * neardup.WIDTH
+    assert neardup.distance_limit() == neardup.MAX_DISTANCE
+    beyond = sum(math.comb(count, k) * 0.2**k * 0.8 ** (count - k) for k in range(limit + 1, count + 1))
+    no_chunk = (1 - 0.8**neardup.WIDTH - neardup.WIDTH * 0.2 * 0.8 ** (neardup.WIDTH - 1)) ** neardup.CHUNKS
+    assert beyond + no_chunk < 1.2e-5
+
+
 def test_pigeonhole_of_chunk_keys():
     draw = np.random.default_rng(1)
     base = draw.integers(0, 1 << 16, (50, neardup.CHUNKS * neardup.WIDTH)).astype(np.uint16)
