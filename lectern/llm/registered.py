@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import classifier, graph, language, licenses, mixing, neardup, packing, quality, secrets, substrings
-from lectern.llm.sql import MIX_SQL, NEAR_DUPLICATE_SQL
+from lectern.llm import classifier, graph, hyperplanes, language, licenses, mixing, neardup, packing, phrases, pieces, quality, secrets, substrings
+from lectern.llm.sql import HARD_NEGATIVE_SQL, MIX_SQL, NEAR_DUPLICATE_SQL, PHRASE_SQL
 from lectern.sources.tables import table
 
 
@@ -52,6 +52,21 @@ def op10_shortest_pack_first(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op11_hyperplane_negatives(spark, folder):
+    rows = hyperplanes.quantised(table(spark, folder, "embeddings"))
+    return hyperplanes.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_hat_trie_phrases(spark, folder):
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op13_backtracking_pieces(spark, folder):
+    read = pieces.decode(pieces.encode(table(spark, folder, "documents")))
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_perplexity_bands": (op1_perplexity_bands, None),
     "op2_robust_pruned_graph": (op2_robust_pruned_graph, None),
@@ -63,6 +78,9 @@ QUERIES = {
     "op8_hamming_near_duplicates": (op8_hamming_near_duplicates, NEAR_DUPLICATE_SQL),
     "op9_random_indexing": (op9_random_indexing, None),
     "op10_shortest_pack_first": (op10_shortest_pack_first, None),
+    "op11_hyperplane_negatives": (op11_hyperplane_negatives, HARD_NEGATIVE_SQL),
+    "op12_hat_trie_phrases": (op12_hat_trie_phrases, PHRASE_SQL),
+    "op13_backtracking_pieces": (op13_backtracking_pieces, None),
 }
 
 

@@ -54,3 +54,47 @@ links AS (
 ), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT s.doc_id, s.n AS n_shingles, component_id, s.doc_id = component_id AS kept FROM sized s JOIN least USING (doc_id)
 """
+
+PHRASE_SQL = r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM listed GROUP BY lang),
+grams AS (
+  SELECT lang, s, unnest([array_to_string(w[i:i + s - 1], ' ') FOR i IN range(1, len(w) - s + 2)]) AS phrase
+  FROM listed, (VALUES (1), (2), (3), (4)) v(s) WHERE len(w) >= s
+), f AS (SELECT lang, s, phrase, count(*) AS n FROM grams GROUP BY lang, s, phrase HAVING count(*) >= 30),
+candidates AS (SELECT lang, s, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE s > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:s], ' ') AS rp
+  FROM candidates c, (VALUES (1), (2), (3)) v(k) WHERE k < s
+), scored AS (
+  SELECT u.lang, u.phrase, u.a, u.k, l.n AS l, r.n AS r, CAST((2000000::HUGEINT * u.a) // (l.n + r.n) AS BIGINT) AS score
+  FROM cuts u JOIN f l ON l.lang = u.lang AND l.phrase = u.lp JOIN f r ON r.lang = u.lang AND r.phrase = u.rp
+), worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS first FROM scored) WHERE first = 1),
+inner_parts AS (
+  SELECT c.lang, array_to_string(w[i:i + t - 1], ' ') AS phrase, c.a AS longer
+  FROM candidates c, (VALUES (1), (2), (3)) p(i), (VALUES (2), (3)) q(t) WHERE t < s AND i + t - 1 <= s
+), around AS (SELECT lang, phrase, max(longer) AS most FROM inner_parts GROUP BY lang, phrase),
+kept AS (SELECT w.* FROM worst w LEFT JOIN around o USING (lang, phrase) WHERE o.most IS NULL OR 100::HUGEINT * o.most < 80::HUGEINT * w.a)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang)
+) WHERE rank <= 2000
+"""
+
+HARD_NEGATIVE_SQL = """
+WITH sound AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM sound a JOIN sound b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
