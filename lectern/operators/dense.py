@@ -1,7 +1,16 @@
-"""Exact cosine search: each task multiplies its vectors with a block of queries."""
+"""Exact cosine search: blocks of vectors are multiplied with blocks of queries.
+
+Both sides are packed into blocks where they lie, one row each.  A vector block meets every query
+block of its size, and a task keeps the best rows of each query over the blocks it has seen, so
+that what is shuffled is a short list for each query and task.  Few queries are broadcast, after
+their size is measured; more are dealt, with the vector blocks, over salts.  Nothing goes through
+the driver and the plan is the same for any number of queries.
+"""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,74 +20,81 @@ from lectern.config import KINDS
 from lectern.functions.vectors import normalized
 from lectern.operators.incremental import upsert
 from lectern.operators.lexical import SCORE_DIGITS, entity_key, top_per_list
+from lectern.session import BROADCAST_BYTES, settle
+
+# Rows and bytes a block holds at most.
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 2 << 20
+# Queries whose best rows a task holds before it gives them out.
+HELD_QUERIES = 4096
+# Vector blocks that share a salt when queries are too many to be broadcast.
+SALT_BLOCKS = 16
+FOUND = "query_id string, kind string, entity_id string, paper_id string, score double"
+
+
+def _units(column: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    """Rows of a list column as unit vectors; a vector of no length stays zero."""
+    offsets = column.offsets.to_numpy()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    matrix = flat[(offsets[rows] - offsets[0])[:, None] + np.arange(size)].astype(np.float64)
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
+
+def _packed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``size, block``: the rows of each vector size in bounded blocks, packed where they lie."""
 
-QUERY_BLOCK = 2048
-
-
-def _query_blocks(queries: DataFrame):
-    """Queries in driver blocks of a fixed size; a larger batch takes more passes."""
-    block = []
-    for row in queries.select("query_id", "vector", "scope").toLocalIterator(prefetchPartitions=True):
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _best_of_partition(block, limit: int):
-    ids = [r["query_id"] for r in block]
-    scopes = [r["scope"] for r in block]
-    by_size: dict[int, list[int]] = {}
-    for at, row in enumerate(block):
-        by_size.setdefault(len(row["vector"]), []).append(at)
-    units = {}
-    for size, members in by_size.items():
-        matrix = np.array([block[m]["vector"] for m in members], dtype=np.float64)
-        length = np.linalg.norm(matrix, axis=1, keepdims=True)
-        units[size] = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-    def run(batches):
-        best: dict[tuple[int, str], list] = {}
+    def pack(batches):
         for batch in batches:
-            kinds = batch.column("kind").to_pylist()
-            entities = np.array(batch.column("entity_id").to_pylist(), dtype=object)
-            papers = np.array(batch.column("paper_id").to_pylist(), dtype=object)
-            column = batch.column("vector")
-            sizes = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            starts = column.offsets.to_numpy() - column.offsets[0].as_py()
-            for kind in set(kinds):
-                in_kind = np.array([k == kind for k in kinds])
-                for size, members in by_size.items():
-                    rows = np.flatnonzero(in_kind & (sizes == size))
-                    if not len(rows):
-                        continue
-                    matrix = flat[starts[rows][:, None] + np.arange(size)].astype(np.float64)
-                    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-                    matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-                    scores = np.round(units[size] @ matrix.T, SCORE_DIGITS)
-                    for local, at in enumerate(members):
-                        chosen = rows if scopes[at] is None else rows[papers[rows] == scopes[at]]
-                        line = scores[local] if scopes[at] is None else scores[local][papers[rows] == scopes[at]]
-                        if len(line) > limit:
-                            # Keep every row that ties with the last place; the key decides later.
-                            last = np.partition(line, -limit)[-limit]
-                            chosen, line = chosen[line >= last], line[line >= last]
-                        kept = best.setdefault((at, kind), [])
-                        kept.extend(zip(-line, entities[chosen], papers[chosen]))
-                        if len(kept) > 4 * limit:
-                            kept.sort(key=lambda t: (t[0], t[1]))
-                            del kept[limit:]
-        out = [(ids[at], kind, e, p, float(-s)) for (at, kind), kept in best.items()
-               for s, e, p in sorted(kept, key=lambda t: (t[0], t[1]))[:limit]]
-        names = ["query_id", "kind", "entity_id", "paper_id", "score"]
+            sizes = np.diff(batch.column("vector").offsets.to_numpy())
+            for size in np.unique(sizes).tolist():
+                chosen = np.flatnonzero(sizes == size)
+                most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(size, 1))))
+                for low in range(0, len(chosen), most):
+                    part = chosen[low : low + most]
+                    held = {n: batch.column(n).take(pa.array(part)).to_pylist() for n in names}
+                    held["units"] = _units(batch.column("vector"), part, size)
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([pickle.dumps(held)])], names=["size", "block"])
+
+    return rows.where(F.col("vector").isNotNull()).select(*names, "vector").mapInArrow(pack, "size int, block binary")
+
+
+class _Best:
+    """The best rows so far of each query and level."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.held: dict[tuple[str, str], list] = {}
+
+    def add(self, vectors: dict, queries: dict) -> None:
+        kinds = np.array(vectors["kind"], object)
+        entities, papers = np.array(vectors["entity_id"], object), np.array(vectors["paper_id"], object)
+        scopes, limit = queries["scope"], self.limit
+        for kind in set(vectors["kind"]):
+            rows = np.flatnonzero(kinds == kind)
+            scores = np.round(queries["units"] @ vectors["units"][rows].T, SCORE_DIGITS)
+            for at, query in enumerate(queries["query_id"]):
+                chosen, line = rows, scores[at]
+                if scopes[at] is not None:
+                    inside = papers[rows] == scopes[at]
+                    chosen, line = rows[inside], line[inside]
+                kept = self.held.setdefault((query, kind), [])
+                # Every row that ties with the last place stays; the key decides later.
+                least = -max(k[0] for k in kept) if len(kept) >= limit else -np.inf
+                if len(line) > limit:
+                    least = max(least, np.partition(line, -limit)[-limit])
+                chosen, line = chosen[line >= least], line[line >= least]
+                kept.extend(zip((-line).tolist(), entities[chosen], papers[chosen]))
+                if len(kept) > limit:
+                    kept.sort(key=lambda t: (t[0], t[1]))
+                    del kept[limit:]
+
+    def give(self) -> pa.RecordBatch:
+        out = [(query, kind, e, p, -s) for (query, kind), kept in self.held.items() for s, e, p in kept]
+        self.held = {}
         columns = list(zip(*out)) if out else [[]] * 5
         types = [pa.string()] * 4 + [pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
-
-    return run
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 def search_dense(vectors: DataFrame, queries: DataFrame, limit: int, kinds=None) -> DataFrame:
@@ -90,14 +106,41 @@ def search_dense(vectors: DataFrame, queries: DataFrame, limit: int, kinds=None)
     rows = vectors.select("kind", "entity_id", "paper_id", F.col("vector").cast("array<float>").alias("vector"))
     if kinds is not None:
         rows = rows.where(F.col("kind").isin(list(kinds)))
-    schema = "query_id string, kind string, entity_id string, paper_id string, score double"
-    parts = None
-    for block in _query_blocks(queries):
-        found = rows.mapInArrow(_best_of_partition(block, limit), schema)
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        parts = rows.sparkSession.createDataFrame([], schema)
-    return top_per_list(parts.withColumn("key", entity_key(F.col("kind"), F.col("entity_id"))), limit)
+    blocks = _packed(rows, ["kind", "entity_id", "paper_id"])
+    dealt = queries.select("query_id", "scope", F.col("vector").cast("array<double>").alias("vector"))
+    # Queries come together in few blocks; a block is bounded however many there are.
+    asked = settle(_packed(dealt.coalesce(max(1, dealt.sparkSession.sparkContext.defaultParallelism // 4)), ["query_id", "scope"]).withColumnRenamed("block", "asked"))
+    if asked.isEmpty():
+        return top_per_list(rows.sparkSession.createDataFrame([], FOUND).withColumn("key", entity_key(F.col("kind"), F.col("entity_id"))), limit)
+    bytes_asked = asked.agg(F.sum(F.length("asked"))).first()[0]
+    met = meet(blocks, asked, bytes_asked)
+
+    def multiply(batches):
+        best = _Best(limit)
+        for batch in batches:
+            for packed, wanted in zip(batch.column("block"), batch.column("asked")):
+                best.add(pickle.loads(packed.as_py()), pickle.loads(wanted.as_py()))
+                if len(best.held) > HELD_QUERIES:
+                    yield best.give()
+        yield best.give()
+
+    found = met.select("block", "asked").mapInArrow(multiply, FOUND)
+    return top_per_list(found.withColumn("key", entity_key(F.col("kind"), F.col("entity_id"))), limit)
+
+
+def meet(blocks: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """Every vector block with every query block of its size.
+
+    Up to ``BROADCAST_BYTES`` the query blocks are broadcast and the vectors stay where they are;
+    beyond, each salt of vector blocks receives the query blocks once.
+    """
+    if size <= BROADCAST_BYTES:
+        return blocks.join(F.broadcast(asked), "size")
+    held = settle(blocks)
+    salts = max(1, -(-held.count() // SALT_BLOCKS))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    sent = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(sent, ["size", "salt"])
 
 
 def newest_set(vectors: DataFrame, model: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """BM25 over written postings, with phrases, field restriction and paper scope.
 
-Index rows are made once per entity at ingest.  A search joins the query terms to
-the postings of just their buckets; document frequencies and lengths come with
-the index, so no search scans the corpus.
+Posting blocks are made once at ingest.  A search reads the blocks of its terms, in just
+their buckets, and every shard answers with the best rows of each query; document
+frequencies and lengths come with the index, so no search scans the corpus.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.postings import best_of_shards, merged_positions, posting_blocks, shard_of
 from lectern.session import broadcast_if_small, settle
 
 # BM25 constants and the floor for terms in over half of the rows.
@@ -18,6 +19,8 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 SCORE_DIGITS = 9
+# Queries that meet a shard in one task.
+QUERY_PART = 2048
 
 
 def tokenized(entities: DataFrame) -> DataFrame:
@@ -41,14 +44,9 @@ def term_bucket(term: Column, buckets: int) -> Column:
 
 
 def postings(entities: DataFrame, buckets: int) -> DataFrame:
-    """``(kind, term, entity)`` rows with frequency and length."""
-    return (
-        entities.select("kind", "entity_id", "paper_id", "dl", F.explode("tokens").alias("term"))
-        .where("term <> ''")
-        .groupBy("kind", "entity_id", "paper_id", "dl", "term")
-        .agg(F.count("*").cast("int").alias("tf"))
-        .withColumn("bucket", term_bucket(F.col("term"), buckets))
-    )
+    """Posting blocks of numbered entities, with the bucket of their term and the number of rows."""
+    blocks = posting_blocks(entities)
+    return blocks.select("*", F.size("rows").cast("long").alias("n"), term_bucket(F.col("term"), buckets).alias("bucket"))
 
 
 def level_stats(entities: DataFrame) -> DataFrame:
@@ -56,7 +54,7 @@ def level_stats(entities: DataFrame) -> DataFrame:
 
 
 def term_stats(posting_rows: DataFrame) -> DataFrame:
-    return posting_rows.groupBy("kind", "bucket", "term").agg(F.count("*").alias("df"))
+    return posting_rows.groupBy("kind", "bucket", "term").agg(F.sum("n").alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -83,71 +81,68 @@ def phrase_terms(words: DataFrame) -> DataFrame:
     return words.withColumn("terms", tx.index_tokens(F.col("phrase"))).where(F.size("terms") > 0)
 
 
-def _in_scope(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("scope").isNull() | (F.col("scope") == F.col("paper_id")))
+def _plain_saturation(tf, dl, avgdl):
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _single_term_parts(index, words: DataFrame) -> DataFrame:
-    buckets = index.buckets
-    weighted = (
-        words.withColumn("bucket", term_bucket(F.col("term"), buckets))
+def _weighted_terms(index, words: DataFrame) -> DataFrame:
+    """``query_id, scope, kind, bucket, term, avgdl, weight``: the asked terms that occur, with their idf."""
+    return (
+        words.withColumn("bucket", term_bucket(F.col("term"), index.buckets))
         .join(index.terms, ["bucket", "term"])
         .join(F.broadcast(index.levels), "kind")
-        .select("query_id", "scope", "kind", "bucket", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    )
-    # The query side grows with the batch, not with the corpus; its buckets are at most those of the layout.
-    asked = broadcast_if_small(weighted)
-    wanted = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
-    hits = _in_scope(index.postings.where(F.col("bucket").isin(wanted)).join(asked, ["kind", "bucket", "term"]))
-    return hits.select(
-        "query_id", "kind", "entity_id", "paper_id",
-        (F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"),
+        .select("query_id", "scope", "kind", "bucket", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("weight"))
     )
 
 
+def _blocks_in(index, buckets: DataFrame) -> DataFrame:
+    """Posting blocks of the given buckets, which are at most those of the layout."""
+    wanted = [r["bucket"] for r in buckets.select("bucket").distinct().collect()]
+    return index.postings.where(F.col("bucket").isin(wanted))
+
+
 def phrase_hits(index, phrases: DataFrame) -> DataFrame:
-    """Entities holding a whole phrase, with its frequency.
+    """``query_id, phrase, kind, shard, row_no, tf, dl``: entities holding a whole phrase.
 
-    The postings of the rarest term give the candidates; their stored tokens decide.
+    Only the runs that hold a phrase's rarest term are looked into, and only at the phrase's terms.
     """
-    wanted = (
+    known = (
         phrases.withColumn("term", F.explode(F.array_distinct("terms")))
         .withColumn("bucket", term_bucket(F.col("term"), index.buckets))
         .join(index.terms, ["bucket", "term"])
         .groupBy("query_id", "phrase", "kind")
-        .agg(
-            F.first("terms").alias("terms"),
-            F.first("scope").alias("scope"),
-            F.count("*").alias("known"),
-            F.min_by("term", F.struct("df", "term")).alias("term"),
-        )
+        .agg(F.first("terms").alias("terms"), F.count("*").alias("known"), F.min_by("term", F.struct("df", "term")).alias("term"))
         .where(F.col("known") == F.size(F.array_distinct("terms")))
-        .withColumn("bucket", term_bucket(F.col("term"), index.buckets))
-    )
-    candidates = index.postings.join(broadcast_if_small(wanted), ["kind", "bucket", "term"]).select(
-        "query_id", "scope", "phrase", "terms", "kind", "entity_id", "paper_id", "dl"
+        .select("query_id", "phrase", "kind", "terms", "term", term_bucket(F.col("term"), index.buckets).alias("bucket"))
     )
-    # Doubled blanks keep neighbouring occurrences apart; the look-ahead counts overlaps too.
-    haystack = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" "))
-    needle = F.concat(F.lit("(?= "), F.array_join("terms", "  "), F.lit(" )"))
-    return (
-        broadcast_if_small(candidates).join(index.entities.select("kind", "entity_id", "tokens"), ["kind", "entity_id"])
-        .withColumn("tf", F.regexp_count(haystack, needle))
-        .where("tf > 0")
-        .drop("tokens")
+    rare = broadcast_if_small(known)
+    runs = _blocks_in(index, rare).select("kind", "bucket", "term", "shard", "run").join(rare, ["kind", "bucket", "term"])
+    asked = settle(runs.select("query_id", "phrase", "terms", "kind", "shard", "run"))
+    needed = (
+        asked.select("kind", "shard", "run", F.explode("terms").alias("term")).distinct()
+        .withColumn("bucket", term_bucket(F.col("term"), index.buckets))
     )
+    needed = broadcast_if_small(needed)
+    return merged_positions(_blocks_in(index, needed).join(needed, ["kind", "bucket", "term", "shard", "run"]), asked)
 
 
-def _phrase_parts(index, phrases: DataFrame) -> DataFrame:
-    hits = settle(phrase_hits(index, phrases))
+def _weighted_phrases(index, hits: DataFrame) -> DataFrame:
+    """Each phrase of a query with the idf of the phrase in each level."""
     frequency = hits.groupBy("query_id", "phrase", "kind").agg(F.count("*").alias("df"))
-    weighted = frequency.join(F.broadcast(index.levels), "kind").select(
-        "query_id", "phrase", "kind", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")
-    )
-    return _in_scope(hits).join(weighted, ["query_id", "phrase", "kind"]).select(
-        "query_id", "kind", "entity_id", "paper_id",
-        (F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"),
-    )
+    return frequency.join(F.broadcast(index.levels), "kind").select("query_id", "phrase", "kind", "avgdl", idf(F.col("n"), F.col("df")).alias("weight"))
+
+
+def with_ids(index, rows: DataFrame) -> DataFrame:
+    """``rows`` with the ids of their entities; only id columns are read."""
+    names = index.entities.select("kind", F.col("entity_bucket").alias("shard"), "row_no", "entity_id", "paper_id")
+    shards = [r["shard"] for r in rows.select("shard").distinct().collect()]
+    return names.where(F.col("shard").isin(shards)).join(broadcast_if_small(rows), ["kind", "shard", "row_no"]).drop("row_no")
+
+
+def _allowed_rows(index, scopes: DataFrame) -> DataFrame:
+    """``scope, kind, shard, allowed``: the rows of each scoped paper, at most those of a shard."""
+    inside = index.entities.select("kind", F.col("entity_bucket").alias("shard"), "row_no", F.col("paper_id").alias("scope"))
+    return inside.join(broadcast_if_small(scopes), "scope").groupBy("scope", "kind", "shard").agg(F.collect_list("row_no").alias("allowed"))
 
 
 def entity_key(kind: Column, entity_id: Column) -> Column:
@@ -160,18 +155,50 @@ def top_per_list(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def score_phrases(scoped, phrases: DataFrame) -> DataFrame:
-    """BM25 of every entity that holds at least one phrase of a query."""
+def score_phrases(scoped, phrases: DataFrame, limit: int | None = None) -> DataFrame:
+    """BM25 of the entities that hold at least one phrase of a query.
+
+    With a ``limit`` every shard gives at most so many rows to a query and level, the best ones.
+    """
     words = phrases.where(F.size("terms") == 1).select("query_id", "scope", F.get("terms", F.lit(0)).alias("term"))
-    parts = _single_term_parts(scoped, words)
+    weighted = settle(_weighted_terms(scoped, words))
+    blocks = _blocks_in(scoped, weighted).join(broadcast_if_small(weighted.select("kind", "bucket", "term").distinct()), ["kind", "bucket", "term"])
+    columns = ["kind", "shard", "term", "first_row", "last_row", "rows", "tfs", "dls", "max_tf", "min_dl"]
+    blocks, terms = blocks.select(*columns), weighted.drop("bucket")
     joined = phrases.where(F.size("terms") > 1)
     if not joined.isEmpty():
-        parts = parts.unionByName(_phrase_parts(scoped, joined))
+        # A phrase of several tokens is a term of its query alone, with the postings just found.
+        hits = settle(phrase_hits(scoped, joined).withColumn("term", F.concat_ws("\x1f", F.lit(""), "query_id", "phrase")))
+        named = _weighted_phrases(scoped, hits).withColumn("term", F.concat_ws("\x1f", F.lit(""), "query_id", "phrase"))
+        terms = terms.unionByName(named.join(joined.select("query_id", "scope").distinct(), "query_id").select(*terms.columns))
+        run = F.floor(F.col("row_no") / 1024)
+        gathered = hits.groupBy("kind", "shard", "term", run.alias("run")).agg(F.array_sort(F.collect_list(F.struct("row_no", "tf", "dl"))).alias("held"))
+        steps = F.transform("held", lambda h, i: h["row_no"] - F.when(i == 0, 0).otherwise(F.get("held.row_no", i - 1)))
+        blocks = blocks.unionByName(gathered.select(
+            "kind", "shard", "term", F.array_min("held.row_no").alias("first_row"), F.array_max("held.row_no").alias("last_row"),
+            steps.alias("rows"), F.col("held.tf").alias("tfs"), F.col("held.dl").alias("dls"), F.array_max("held.tf").alias("max_tf"), F.array_min("held.dl").alias("min_dl"),
+        ))
+    terms = settle(terms)
+    parts = max(1, -(-terms.select("query_id").distinct().count() // QUERY_PART))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
+    # A query's terms are bounded by its text.
+    nested = terms.groupBy("query_id", "scope", "kind").agg(F.collect_list(F.struct("term", "weight")).alias("terms"), F.first("avgdl").alias("avgdl")).withColumn("part", part)
+    free = nested.where(F.col("scope").isNull()).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(scoped.shards - 1))).alias("shard"), F.lit(None).cast("array<int>").alias("allowed")
+    )
+    asked, scopes = free, nested.where(F.col("scope").isNotNull()).select("scope").distinct()
+    if not scopes.isEmpty():
+        # Scoped queries go only to the shards that hold rows of their paper.
+        asked = free.unionByName(nested.join(_allowed_rows(scoped, scopes), ["scope", "kind"]).select(*free.columns))
+    dealt = blocks
+    if parts > 1:
+        dealt = blocks.join(terms.select("kind", "term", part.alias("part")).distinct(), ["kind", "term"])
+    else:
+        dealt = blocks.withColumn("part", F.lit(0))
+    found = settle(best_of_shards(dealt, asked, limit, _plain_saturation, SCORE_DIGITS))
     # Rounding makes the order independent of the order in which parts were added.
-    return (
-        parts.groupBy("query_id", "kind", "entity_id", "paper_id")
-        .agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-        .withColumn("key", entity_key(F.col("kind"), F.col("entity_id")))
+    return with_ids(scoped, found).select(
+        "query_id", "kind", "entity_id", "paper_id", F.round("score", SCORE_DIGITS).alias("score"), entity_key(F.col("kind"), F.col("entity_id")).alias("key")
     )
 
 
@@ -181,16 +208,21 @@ def search_lexical(index, queries: DataFrame, kinds, limit: int, exact: bool = F
     ``queries`` has ``(query_id, text, scope)``; a scope keeps one paper's rows while
     all statistics stay those of the whole corpus.
     """
-    scored = score_phrases(index.only(kinds), query_terms(queries, exact))
+    scoped = index.only(kinds)
     if not exact:
-        return top_per_list(scored, limit)
-    # Every hit gets its bonus before the cut; hits hold the whole phrase, so they are few.
-    fetched = broadcast_if_small(scored)
-    shown = index.only(kinds).entities.select("kind", "entity_id", "title", "section_path", F.col("text").alias("body"))
+        return top_per_list(score_phrases(scoped, query_terms(queries, exact), limit), limit)
+    scored = settle(score_phrases(scoped, query_terms(queries, exact)))
+    # A row whose text holds the query itself gains 1; rows that this cannot bring among the best need no text.
+    order = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"))
+    last = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") == limit).select("query_id", "kind", F.col("score").alias("last"))
+    fetched = scored.join(last, ["query_id", "kind"], "left").where(F.col("last").isNull() | (F.col("score") + 1 >= F.col("last"))).drop("last")
+    fetched = broadcast_if_small(fetched.withColumn("entity_bucket", shard_of(F.col("entity_id"), scoped.shards)))
+    buckets = [r["entity_bucket"] for r in fetched.select("entity_bucket").distinct().collect()]
+    shown = scoped.entities.where(F.col("entity_bucket").isin(buckets)).select("kind", "entity_bucket", "entity_id", "title", "section_path", F.col("text").alias("body"))
     own_text = F.concat_ws("\n", F.when(F.col("kind") == "paper", F.col("title")).otherwise(F.col("section_path")), F.col("body"))
     bonus = F.when(F.contains(tx.casefold(own_text), tx.casefold(F.col("text"))), 1.0).otherwise(0.0)
     boosted = (
-        fetched.join(shown, ["kind", "entity_id"])
+        fetched.join(shown, ["kind", "entity_bucket", "entity_id"])
         .join(queries.select("query_id", "text"), "query_id")
         .withColumn("score", F.col("score") + bonus)
         .select("query_id", "kind", "entity_id", "paper_id", "score", "key")

@@ -16,8 +16,10 @@ from lectern.config import KINDS, Settings, settings_from
 from lectern.functions import text as tx
 from lectern.functions import vectors as vx
 from lectern.operators import lexical
+from lectern.operators.postings import numbered
 from lectern.operators.ranking import blocked_carry, blocked_row_number
 from lectern.operators.sections import chunk_sections, number_chunks, parse_sections
+from lectern.session import settle
 
 TABLES = ("papers", "blocks", "sections", "chunks", "notes", "links", "entities", "postings", "terms", "levels", "vectors")
 
@@ -51,6 +53,7 @@ class Index:
         return rows if self.kinds == KINDS else rows.where(F.col("kind").isin(list(self.kinds)))
 
     buckets = property(lambda self: self.settings.layout.term_buckets)
+    shards = property(lambda self: self.settings.layout.entity_buckets)
     papers = property(lambda self: self.table("papers"))
     sections = property(lambda self: self.table("sections"))
     chunks = property(lambda self: self.table("chunks"))
@@ -188,10 +191,13 @@ class IndexWriter:
     def _path(self, name: str) -> str:
         return f"{self.index.root}/{name}"
 
-    def write(self, name: str, rows: DataFrame, partition=(), mode: str = "errorifexists") -> DataFrame:
+    def write(self, name: str, rows: DataFrame, partition=(), mode: str = "errorifexists", within=()) -> DataFrame:
+        """Write a table; rows of a partition lie in the order of the columns ``within``."""
         if partition:
             # The rebalance hint splits hot partitions and joins small ones.
             rows = rows.hint("rebalance", *partition)
+        if within:
+            rows = rows.sortWithinPartitions(*partition, *within)
         rows.write.mode(mode).partitionBy(*partition).parquet(self._path(name))
         return self.index.table(name)
 
@@ -221,12 +227,13 @@ class IndexWriter:
         self.write("chunks", chunks)
 
     def entities(self, rows: DataFrame, mode: str = "errorifexists") -> None:
-        buckets = F.pmod(F.xxhash64("entity_id"), F.lit(self.index.settings.layout.entity_buckets)).cast("int")
-        self.write("entities", lexical.tokenized(rows).withColumn("entity_bucket", buckets), ("kind", "entity_bucket"), mode)
+        """Entities numbered in their shard; a shard's files hold them in the order of their ids."""
+        held = numbered(lexical.tokenized(rows), self.index.shards)
+        held.write.mode(mode).partitionBy("kind", "entity_bucket").parquet(self._path("entities"))
 
     def lexical_tables(self, kinds, mode: str = "errorifexists") -> None:
         scoped = self.index.only(kinds)
-        self.write("postings", lexical.postings(scoped.entities, self.index.buckets), ("kind", "bucket"), mode)
+        self.write("postings", lexical.postings(scoped.entities, self.index.buckets), ("kind", "bucket"), mode, ("term", "shard", "run"))
         self.write("terms", lexical.term_stats(scoped.postings), ("kind",), mode)
         self.write("levels", lexical.level_stats(scoped.entities), mode=mode)
 
@@ -279,5 +286,6 @@ def quoting_papers(index: Index, notes: DataFrame, kind: str) -> DataFrame:
         F.col("entry_id").alias("query_id"), F.lit(None).cast("string").alias("scope"), F.lit("").alias("phrase"),
         tx.index_tokens(F.col("text")).alias("terms"),
     ).where(F.size("terms") > 0)
-    hits = lexical.phrase_hits(index.only((kind,)), phrases)
-    return hits.select(F.col("query_id").alias("entry_id"), "paper_id").distinct()
+    scoped = index.only((kind,))
+    hits = lexical.phrase_hits(scoped, phrases).select("query_id", "kind", "shard", "row_no")
+    return lexical.with_ids(scoped, settle(hits)).select(F.col("query_id").alias("entry_id"), "paper_id").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.functions import vectors as vx
 from lectern.operators import dense, evaluation, fusion, lexical, notes
+from lectern.operators.postings import numbered
 from lectern.plans import search as plan
 from lectern.plans.corpus_data import open_corpus, open_documents
 from lectern.plans.registered import sql as q
@@ -81,10 +82,10 @@ def _turn_entities(spark, folder):
 class LiveIndex:
     """Index rows of one small level, computed in the query instead of read back."""
 
-    def __init__(self, entities, buckets=8):
-        self.buckets = buckets
-        self.entities = settle(lexical.tokenized(entities))
-        self.postings = lexical.postings(self.entities, buckets)
+    def __init__(self, entities, buckets=8, shards=8):
+        self.buckets, self.shards = buckets, shards
+        self.entities = settle(numbered(lexical.tokenized(entities), shards))
+        self.postings = settle(lexical.postings(self.entities, buckets))
         self.terms = lexical.term_stats(self.postings)
         self.levels = lexical.level_stats(self.entities)
 
@@ -110,7 +111,7 @@ freq AS (SELECT term, count(*) AS df FROM post GROUP BY ALL)""", q.LEXICAL.repla
 
 def term_statistics(spark, folder):
     index = open_documents(spark, folder).only(("paper",))
-    counts = index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
+    counts = index.postings.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda n, tf: n + tf)).alias("uses"))
     return counts
 
 

@@ -251,7 +251,7 @@ def related_papers(index: Index, requests: DataFrame, top_k: int = 10) -> DataFr
     noted = requests.join(index.links.select("paper_id", "entry_id"), "paper_id").join(index.notes, "entry_id")
     words = noted.select("query_id", F.explode(tx.query_words(F.col("text"))).alias("phrase")).distinct()
     note_scores = lexical.score_phrases(
-        index.only(("curated",)), lexical.phrase_terms(words.withColumn("scope", F.lit(None).cast("string")))
+        index.only(("curated",)), lexical.phrase_terms(words.withColumn("scope", F.lit(None).cast("string"))), limit
     )
     note_hits = lexical.top_per_list(note_scores, limit).withColumn("list_no", F.lit(4))
     _, routed = notes.route_notes(note_hits, index.links, index.notes)
@@ -264,11 +264,18 @@ def related_papers(index: Index, requests: DataFrame, top_k: int = 10) -> DataFr
     shared = notes.shared_note_papers(requests, index.links, limit).select(
         "query_id", "rank", F.col("paper_id").alias("entity_id"), "paper_id", lexical.entity_key(F.lit("paper"), F.col("paper_id")).alias("key")
     )
+    # Three lists of vectors in one search: the list's number goes with the query's id.
+    split = F.lit("\x1f")
+    vector_queries = (
+        stored.select(F.concat("query_id", split, F.lit("0")).alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), "scope")
+        .unionByName(embed_queries(index, asked).select(F.concat("query_id", split, F.lit("2")).alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), "scope"))
+        .unionByName(note_vectors.select(F.concat("query_id", split, F.lit("3")).alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), "scope"))
+    )
+    near = dense.search_dense(paper_vectors, vector_queries, limit).withColumn("list_no", F.element_at(F.split("query_id", split), -1).cast("int"))
+    near = near.withColumn("query_id", F.regexp_replace("query_id", "\x1f[0-9]+$", ""))
     lists = [
-        as_list(dense.search_dense(paper_vectors, stored, limit), 0, 1.0),
+        as_list(near, F.col("list_no"), 1.0),
         as_list(lexical.search_lexical(index, asked, ("paper",), limit), 1, 1.0),
-        as_list(dense.search_dense(paper_vectors, embed_queries(index, asked), limit), 2, 1.0),
-        as_list(dense.search_dense(paper_vectors, note_vectors, limit), 3, 1.0),
         as_list(routed, 4, 1.0),
         as_list(shared, 5, 1.0),
     ]

@@ -67,14 +67,31 @@ def test_dense_equals_numpy_and_ties_by_key(spark):
     assert [r["entity_id"] for r in got if r["query_id"] == "only"] == ["e7"]
 
 
-def test_dense_blocks_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
+@pytest.mark.parametrize("bound", [8 << 20, 0])
+def test_dense_blocks_of_queries(spark, monkeypatch, bound):
+    """Small blocks on both sides, the queries broadcast or dealt over salts."""
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(dense, "HELD_QUERIES", 3)
+    monkeypatch.setattr(dense, "SALT_BLOCKS", 2)
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", bound)
     rows = spark.createDataFrame([("paper", str(n), str(n), [float(n), 1.0]) for n in range(6)], "kind string, entity_id string, paper_id string, vector array<float>")
     queries = spark.createDataFrame([(f"q{n}", [float(n), 1.0], None) for n in range(5)], "query_id string, vector array<float>, scope string")
     got = dense.search_dense(rows, queries, 1).collect()
     assert {r["query_id"]: r["entity_id"] for r in got} == {f"q{n}": str(n) for n in range(5)}
 
 
+def test_dense_plan_is_the_same_for_any_number_of_queries(spark):
+    rows = spark.createDataFrame([("paper", str(n), str(n), [float(n), 1.0]) for n in range(50)], "kind string, entity_id string, paper_id string, vector array<float>")
+
+    def planned(count):
+        queries = spark.range(count).select(F.col("id").cast("string").alias("query_id"), F.array(F.sin("id"), F.cos("id")).alias("vector"), F.lit(None).cast("string").alias("scope"))
+        found = dense.search_dense(rows, queries, 3)
+        assert found.count() == 3 * count
+        return found._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert planned(10) == planned(100_000)
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [6.0, 8.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
     row = df.select(vx.normalized(F.col("a")), vx.cosine(F.col("a"), F.col("b")), vx.cosine(F.col("a"), F.col("z"))).head()
