@@ -59,6 +59,25 @@ def _page_span(pages):
     return (min(known), max(known)) if known else (NO_PAGE, NO_PAGE)
 
 
+def _intervals(parents: list[int]) -> tuple[list[int], list[int]]:
+    """For each part its number on a walk down the tree, and the last number below it."""
+    below, enters, leaves = [[] for _ in parents], [0] * len(parents), [0] * len(parents)
+    for at in range(len(parents) - 1, -1, -1):
+        if parents[at] >= 0:
+            below[parents[at]].append(at)
+    waiting, number = [at for at in range(len(parents) - 1, -1, -1) if parents[at] < 0], 0
+    while waiting:
+        at = waiting.pop()
+        if at < 0:
+            leaves[~at] = number - 1
+            continue
+        enters[at] = number
+        number += 1
+        waiting.append(~at)
+        waiting.extend(below[at])
+    return enters, leaves
+
+
 def lay_out(events, pages, levels, numbers) -> dict:
     """Give every kept line to a section and every section its parent and pages.
 
@@ -124,6 +143,7 @@ def lay_out(events, pages, levels, numbers) -> dict:
             if number:
                 newest[number] = at
         trails.append((trails[up] if up >= 0 else []) + [at])
+    enters, leaves = _intervals([t[-2] if len(t) > 1 else -1 for t in trails])
     for at in range(len(parts) - 1, -1, -1):
         if len(trails[at]) > 1:
             up = trails[at][-2]
@@ -134,17 +154,19 @@ def lay_out(events, pages, levels, numbers) -> dict:
         "sizes": [len(part["lines"]) for part in parts],
         "heads": [part["head"] for part in parts],
         "trails": trails,
+        "enters": enters,
+        "leaves": leaves,
         "first_page": [s[0] for s in spans],
         "last_page": [s[1] for s in spans],
     }
 
 
 @F.pandas_udf(
-    _fields(keep=INTS, starts=INTS, sizes=INTS, heads=INTS, trails=T.ArrayType(INTS), first_page=INTS, last_page=INTS)
+    _fields(keep=INTS, starts=INTS, sizes=INTS, heads=INTS, trails=T.ArrayType(INTS), enters=INTS, leaves=INTS, first_page=INTS, last_page=INTS)
 )
 def lay_out_lines(events: pd.Series, pages: pd.Series, levels: pd.Series, numbers: pd.Series) -> pd.DataFrame:
     rows = [lay_out(e.tolist(), p, lv, no) for e, p, lv, no in zip(events, pages, levels, numbers)]
-    return pd.DataFrame(rows, columns=["keep", "starts", "sizes", "heads", "trails", "first_page", "last_page"])
+    return pd.DataFrame(rows, columns=["keep", "starts", "sizes", "heads", "trails", "enters", "leaves", "first_page", "last_page"])
 
 
 def find_blocks(events, pages, begins, ends) -> list[dict]:

@@ -143,6 +143,8 @@ def parse_sections(documents: DataFrame) -> DataFrame:
             tx.strip(
                 F.array_join(F.slice("kept", F.get("starts", at) + 1, F.get("sizes", at)), "\n")
             ).alias("text"),
+            F.get("enters", at).cast("long").alias("enter"),
+            F.get("leaves", at).cast("long").alias("leave"),
         ),
     )
     return named.select("paper_id", F.inline(section))

@@ -7,6 +7,7 @@ once, never changed, and holds every table a search needs.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,22 @@ from lectern.session import settle
 TABLES = ("papers", "blocks", "sections", "chunks", "notes", "links", "entities", "postings", "terms", "levels", "vectors")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists on whatever storage the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _pointers(root: str) -> str:
+    return f"{root}/committed"
+
+
+def set_pointer(spark: SparkSession, root: str, revision: int, place: str) -> None:
+    """Commit a revision: one small file says where it lies, written only when the rest is."""
+    rows = spark.createDataFrame([(revision, place)], "revision int, place string")
+    rows.coalesce(1).write.mode("append").json(_pointers(root))
+
+
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
@@ -34,11 +51,20 @@ class Index:
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, revision: int) -> "Index":
-        """The snapshot with the settings it was written with, which its layout depends on."""
-        place = f"{root}/rev={revision}"
+        """The snapshot with the settings it was written with, which its layout depends on.
+
+        A run's revision is where its pointer says; one that was never committed has none.
+        """
+        pointers = spark.read.schema("revision int, place string").json(_pointers(root)) if exists(spark, _pointers(root)) else None
+        # One row: a revision is committed once.
+        held = pointers and pointers.where(F.col("revision") == revision).first()
+        place = held["place"] if held else f"{root}/rev={revision}"
         held = spark.read.text(f"{place}/settings").first()["value"]
         return cls(spark, place, revision, settings_from(json.loads(held)))
 
+    def has(self, name: str) -> bool:
+        return exists(self.spark, f"{self.root}/{name}")
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
@@ -184,8 +210,9 @@ def embed_slots(parts: DataFrame, place_feature) -> DataFrame:
 class IndexWriter:
     """Writes the tables of one snapshot; its steps run in the order of their inputs."""
 
-    def __init__(self, spark: SparkSession, root: str, revision: int, settings: Settings | None = None):
-        self.index = Index(spark, f"{root}/rev={revision}", revision, settings or Settings())
+    def __init__(self, spark: SparkSession, root: str, revision: int, settings: Settings | None = None, attempt: int | None = None):
+        place = f"{root}/rev={revision}" if attempt is None else f"{root}/attempts/rev={revision}/{attempt}-{uuid.uuid4().hex[:8]}"
+        self.index = Index(spark, place, revision, settings or Settings())
         self.spark = spark
 
     def _path(self, name: str) -> str:

@@ -1,20 +1,24 @@
 """One ingest run: scan, compare with the previous snapshot, write the next one.
 
 A snapshot is immutable; the next revision takes unchanged papers' sections from the
-previous one and parses only new or changed sources.
+previous one and parses only new or changed sources.  A run commits by setting a pointer, and one
+bad source costs only itself.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.config import Settings
 from lectern.functions import text as tx
 from lectern.operators import catalog, identity, incremental, metadata
-from lectern.plans.index import Index, IndexWriter
-from lectern.session import settle
+from lectern.plans.index import Index, IndexWriter, set_pointer
+from lectern.session import broadcast_if_small, settle
 from lectern.sources import files
+from lectern.sources.listing import list_files, read_files
 
 
 def _catalog(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -61,48 +65,134 @@ def read_papers(markdown: DataFrame, entries: DataFrame | None, known: DataFrame
     )
 
 
+@dataclass(frozen=True)
+class Scan:
+    """What one look at the sources found.
+
+    ``listing`` has the good sources with the hashes of their bytes, ``fresh`` the contents of those
+    that no earlier run has indexed, ``failures`` one row for each source or folder that failed.
+    """
+
+    listing: DataFrame
+    fresh: DataFrame
+    failures: DataFrame
+    complete: bool
+
+
+def scan_sources(spark: SparkSession, root: str, entries: DataFrame | None, settings: Settings, previous: Index | None = None, unstable: DataFrame | None = None) -> Scan:
+    """List and hash the sources, read the new ones, and part those to index from those that fail.
+
+    ``unstable`` has ``source_path`` of files that changed while an earlier attempt read them.
+    """
+    found = settle(list_files(spark, root).where(~files.excluded(F.col("source_path"), settings.exclude_dirs)))
+    errors = found.where("error IS NOT NULL").select("source_path", F.lit("scan").alias("stage"), "error")
+    wanted = found.where("error IS NULL").drop("error")
+    if entries is not None:
+        names = catalog.artifact_ids(entries).select("artifact").where(F.lower("artifact").endswith(".md") & ~tx.casefold(tx.basename(F.col("artifact"))).isin(*catalog.ADMIN_FILES))
+        matched = catalog.match_artifacts(names, wanted.select("source_path")).where("artifact IS NOT NULL").select("source_path").distinct()
+        wanted = wanted.join(matched, "source_path", "left_semi")
+    hashed = read_files(wanted, content=False).drop("content").join(wanted.select("source_path", "real_path"), "source_path")
+    failed = F.when(F.col("error").isNotNull(), F.struct(F.lit("read").alias("stage"), "error"))
+    if unstable is not None:
+        changed = F.struct(F.lit("verify").alias("stage"), F.lit("the file changed while it was read").alias("error"))
+        hashed = hashed.join(unstable.select("source_path", F.lit(True).alias("moved")), "source_path", "left")
+        failed = F.coalesce(failed, F.when(F.col("moved"), changed))
+    hashed = settle(hashed.select("source_path", F.lit("markdown_reference").alias("source_kind"), "content_hash", "real_path", failed.alias("failed")))
+    good = hashed.where("failed IS NULL").drop("failed")
+    new = identity.deduplicate(good)
+    if previous is not None:
+        new = new.join(previous.papers.select("content_hash"), "content_hash", "left_anti")
+    contents = settle(read_files(new).where("error IS NULL"))
+    bare = F.trim(F.regexp_replace(F.decode("content", "UTF-8"), r"<!--.*?-->|\s", "")) == ""
+    empty = contents.where(bare).select("content_hash", F.struct(F.lit("parse").alias("stage"), F.lit("no readable text").alias("error")).alias("failed"))
+    parted = settle(good.join(broadcast_if_small(empty), "content_hash", "left"))
+    failures = errors.unionByName(hashed.where("failed IS NOT NULL").select("source_path", "failed.*")).unionByName(parted.where("failed IS NOT NULL").select("source_path", "failed.*"))
+    listing = parted.where("failed IS NULL").drop("failed")
+    fresh = contents.where(~bare).select("source_path", F.lit("markdown_reference").alias("source_kind"), "content")
+    return Scan(listing, fresh, settle(failures), errors.isEmpty())
+
+
+def changed_since(scan: Scan) -> DataFrame:
+    """``source_path`` of indexed files whose bytes are not those that were read: a second look, by hash alone."""
+    again = read_files(scan.listing, content=False).select("source_path", F.col("content_hash").alias("now_hash"))
+    return scan.listing.join(again, "source_path").where(~F.col("now_hash").eqNullSafe(F.col("content_hash"))).select("source_path")
+
+
 def ingest(spark: SparkSession, root: str, catalog_path: str | None, target: str, revision: int, settings: Settings | None = None,
-           previous: Index | None = None, complete: bool = True) -> tuple[Index, DataFrame]:
+           previous: Index | None = None, complete: bool = True, attempts: int = 3) -> tuple[Index, DataFrame]:
     """Write revision ``revision`` under ``target``; returns it with the path states of the run.
 
-    With ``complete=False`` (a scan with errors) papers whose files were not seen stay.
+    A source that cannot be listed, read or parsed becomes a row of the ``failures`` table, and what
+    was known of it stays.  Each attempt goes to a folder of its own; the revision's pointer is set
+    to it once a second look finds the same bytes.  Sources that changed meanwhile count as failed
+    in the next attempt.  Papers whose files were not seen stay if the scan met errors, or if
+    ``complete=False`` says that more sources exist than were scanned.
     """
     settings = settings or Settings()
     entries = _catalog(spark, catalog_path)
-    if entries is not None:
-        names = catalog.artifact_ids(entries).select("artifact")
-        scanned = files.scan_sources(spark, root, names, settings.exclude_dirs).where("source_kind = 'markdown_reference'")
-    else:
-        scanned = files.scan(spark, root, ".md", "markdown_reference", settings.exclude_dirs)
-    listing = settle(files.listing(scanned))
-    empty = listing.limit(0)
-    stored = empty if previous is None else spark.read.parquet(f"{previous.root}/manifest")
-    states = settle(incremental.classify_sources(listing, stored, complete))
+    unstable = None
+    for attempt in range(attempts):
+        scan = scan_sources(spark, root, entries, settings, previous, unstable)
+        index, states = _write_revision(spark, scan, entries, target, revision, attempt, settings, previous, complete and scan.complete)
+        moved = settle(changed_since(scan))
+        if moved.isEmpty():
+            set_pointer(spark, target, revision, index.root)
+            return index, states.groupBy("state").agg(F.count("*").alias("paths"))
+        unstable = moved if unstable is None else settle(unstable.unionByName(moved).distinct())
+    raise RuntimeError(f"sources kept changing in {attempts} attempts; revision {revision} was not committed")
+
+
+def _write_revision(spark, scan: Scan, entries, target: str, revision: int, attempt: int, settings: Settings, previous: Index | None, complete: bool):
+    listing = scan.listing.drop("real_path")
+    stored = listing.limit(0) if previous is None else spark.read.parquet(f"{previous.root}/manifest")
+    failed = scan.failures.select("source_path").distinct()
+    # A source that failed is neither gone nor changed: it stays as it was stored.
+    retained = stored.join(failed, "source_path", "left_semi")
+    seen = settle(listing.unionByName(retained.select(*listing.columns)))
+    states = settle(incremental.classify_sources(seen, stored, complete).join(failed.withColumn("_failed", F.lit(True)), "source_path", "left").select(
+        "source_path", "content_hash", "old_hash", F.when(F.col("_failed"), "failed").otherwise(F.col("state")).alias("state")
+    ))
     canonical = identity.deduplicate(listing)
     known = listing.select("source_path")
     if previous is None:
-        papers = read_papers(files.markdown_text(scanned.join(canonical.select("source_path"), "source_path", "left_semi")), entries, known, None)
+        papers = read_papers(files.markdown_text(scan.fresh), entries, known, None)
         kept = None
     else:
         # Papers whose bytes are still present move on unread; only other hashes are parsed.
         live = canonical.select("content_hash", F.col("source_path").alias("live_path"))
         same = previous.papers.join(live, "content_hash").withColumn("source_path", F.col("live_path")).drop("live_path")
+        held = retained.select("source_path")
         if not complete:
-            unseen = states.where("state = 'kept'").select("source_path")
-            same = same.unionByName(previous.papers.join(live, "content_hash", "left_anti").join(unseen, "source_path", "left_semi"))
-        fresh = canonical.join(previous.papers.select("content_hash"), "content_hash", "left_anti").select("source_path")
+            held = held.unionByName(states.where("state = 'kept'").select("source_path")).distinct()
+        same = same.unionByName(previous.papers.join(live, "content_hash", "left_anti").join(held, "source_path", "left_semi"))
         kept = settle(same)
-        papers = kept.unionByName(read_papers(files.markdown_text(scanned.join(fresh, "source_path", "left_semi")), entries, known, previous, kept.select("paper_id")))
-    writer = IndexWriter(spark, target, revision, settings)
+        papers = kept.unionByName(read_papers(files.markdown_text(scan.fresh), entries, known, previous, kept.select("paper_id")))
+    writer = IndexWriter(spark, target, revision, settings, attempt)
     writer.papers(papers)
     writer.hierarchy(previous, None if kept is None else kept.select("paper_id"))
     writer.child_levels()
+    manifest = seen if complete or previous is None else seen.unionByName(stored.join(states.where("state = 'kept'"), "source_path", "left_semi").select(*seen.columns))
     notes, links = _notes(entries, known, writer.index, listing)
     writer.notes(notes, links)
     writer.vectors()
-    writer.write("manifest", listing if complete or previous is None else listing.unionByName(stored.join(states.where("state = 'kept'"), "source_path", "left_semi")))
-    report = states.groupBy("state").agg(F.count("*").alias("paths"))
-    return writer.index, report
+    writer.write("manifest", manifest)
+    writer.write("failures", _failure_log(spark, scan, previous, complete))
+    return writer.index, states
+
+
+def _failure_log(spark, scan: Scan, previous: Index | None, complete: bool) -> DataFrame:
+    """The newest error of each path and stage; paths that were read again, or are gone, drop out."""
+    now = F.current_timestamp()
+    fresh = scan.failures.select("source_path", "stage", "error", now.alias("created_at"), now.alias("updated_at"))
+    if previous is None or not previous.has("failures"):
+        return incremental.latest_failures(fresh)
+    old = previous.table("failures")
+    still = old.join(scan.failures.select("source_path", "stage"), ["source_path", "stage"], "left_semi")
+    if not complete:
+        # What an incomplete scan did not see may still be broken.
+        unseen = old.join(scan.listing.select("source_path"), "source_path", "left_anti").join(scan.failures.select("source_path"), "source_path", "left_anti")
+        still = still.unionByName(unseen)
+    return incremental.latest_failures(still.unionByName(fresh))
 
 
 def _notes(entries: DataFrame | None, known: DataFrame, index: Index, listing: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -107,7 +107,8 @@ def test_parents_from_levels(spark, tree):
 
 
 def test_closure_pages_and_logical_parent(spark, tree):
-    assert hierarchy.ancestors(tree).count() == 3 + 2 + 1 + 1
+    requests = tree.select(F.col("section_order").cast("string").alias("request_id"), "paper_id", F.col("section_order").alias("target_order"))
+    assert hierarchy.descendants(requests, tree).count() == tree.count() + 3 + 2 + 1 + 1
     spans = {r["section_order"]: (r["page_start"], r["page_end"]) for r in hierarchy.page_roll_up(tree).collect()}
     assert spans[0] == (1, 5) and spans[1] == (1, 4) and spans[3] == (3, 4)
     logical = {r["section_order"]: r["logical_order"] for r in hierarchy.logical_parents(tree).collect()}
