@@ -1,14 +1,16 @@
 """Phrase collocations: n-grams counted in HAT-tries, cut scores, and the best phrases of a language.
 
-Phrases of one word are counted first, then of two, then of three and four.  A phrase can only be
-frequent if its words, and its pairs of words, are, so each pass leaves out what the one before has
-settled; it knows the frequent ones as a bit field of hashes, whose size is fixed, and a wrong hit
-there costs a needless count and no more.
-
-Within a task the phrases of a language lie in a trie over word ids: a first word leads to a hash
-container of the words after it, and a container that grows over ``BURST`` entries bursts into one
-container per next word.  When a task holds ``HELD`` entries, its largest subtrees leave it whole,
-each as a sorted run.  Spark deals the runs by the first two words of a phrase and adds them up.
+A phrase can only be frequent if its words, its pairs and its triples are.  So words are counted
+first; then pairs, and then triples, are counted by their hashes alone, as sorted runs of numbers
+that are merged per range of hashes and leave a bit field of what may be frequent; at last the
+phrases that the fields let through are counted exactly.  A wrong hit in a field costs a needless
+count and no more, and no frequent phrase is ever missed.
+
+Within a task of the last pass the phrases of a language lie in a trie over word ids: a first word
+leads to a hash container of the words after it, and a container that grows over ``BURST`` entries
+bursts into one container per next word.  When a task holds ``HELD`` entries, its largest subtrees
+leave it whole, each as a sorted run.  Spark deals the runs by the first two words of a phrase and
+adds them up.
 
 Defined cases: a null text has no words; a null ``lang`` is ``und``; repeated rows count as often as
 they occur; texts of any length are read whole; other columns are not read; a language without a
@@ -18,6 +20,7 @@ frequent phrase, and an empty table, give no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from heapq import nlargest
 
 import numpy as np
@@ -39,8 +42,10 @@ BURST = 4096
 HELD = 400_000
 KEPT_WORDS = 400_000
 ID_BITS = 21
+# A phrase's hash in the counts by hash; bits of the largest field; numbers a task or a merge holds.
+HASH_BITS = 40
 MOST_BITS = 27
-CHUNK_BITS = 16
+HELD_HASHES = 1 << 21
 SLICE_BYTES = 1 << 20
 NO_LANGUAGE = "und"
 # What ends a piece of text, and white space between words.
@@ -155,43 +160,51 @@ def _language_hash(lang: str) -> int:
     return word_hash(b"lang:" + lang.encode())
 
 
-def _pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _joined_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(left * np.uint64(GOLDEN) + right)
 
 
-def _bits_set(field: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+def _bits_set(field: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     place = hashes >> np.uint64(64 - bits)
     return (field[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 class _Counter:
-    """One task's tries, one for each language, and the runs they give up."""
+    """What one task has counted: words, hashes of pairs or triples, or phrases in one trie a language."""
 
-    def __init__(self, sizes, words_field=None, pairs_field=None):
-        self.sizes, self.words_field, self.pairs_field = sizes, words_field, pairs_field
+    def __init__(self, fields=(), hashed: int = 0, chunk_bits: int = 0, minimum: int = MINIMUM):
+        self.fields, self.hashed, self.chunk_bits, self.minimum = fields, hashed, chunk_bits, minimum
         self.clear()
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def clear(self) -> None:
-        self.words, self.tries = _Words(), {}
+        self.words, self.tries, self.counts = _Words(), {}, {}
         # For each language the hash of every word so far, and whether the word may be frequent.
         self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _pairs(self, lang: str, ids: np.ndarray) -> np.ndarray:
-        """Which places start a pair of words that may be frequent."""
+    def _starts(self, lang: str, ids: np.ndarray):
+        """Hashes of the pairs from each place on, and which places start a pair of frequent words that the fields let through."""
         own, good = self.known.get(lang, (np.zeros(1, np.uint64), np.zeros(1, bool)))
         names = self.words.names[len(own) :]
         if names:
             with np.errstate(over="ignore"):
                 fresh = mix(np.fromiter(map(word_hash, names), np.uint64, len(names)) + np.uint64(_language_hash(lang)))
-            own, good = np.concatenate([own, fresh]), np.concatenate([good, _bits_set(self.words_field[0], fresh, self.words_field[1])])
+            own, good = np.concatenate([own, fresh]), np.concatenate([good, _bits_set(*self.fields[0], fresh)])
             self.known[lang] = own, good
         ones = good[ids]
-        pairs = ones[:-1] & ones[1:]
-        if self.pairs_field is not None:
-            at = np.flatnonzero(pairs)
-            pairs[at] = _bits_set(self.pairs_field[0], _pair_hashes(own[ids[at]], own[ids[at + 1]]), self.pairs_field[1])
-        return pairs
+        at = np.flatnonzero(ones[:-1] & ones[1:])
+        hashes = _joined_hashes(own[ids[at]], own[ids[at + 1]])
+        if len(self.fields) > 1:
+            kept = _bits_set(*self.fields[1], hashes)
+            at, hashes = at[kept], hashes[kept]
+        return own, at, hashes
+
+    def _triples(self, ids, own, at, hashes):
+        """Places whose pair and next pair are let through, with the hash of the triple."""
+        follows = np.flatnonzero(at[1:] == at[:-1] + 1)
+        places = at[follows]
+        return places, _joined_hashes(hashes[follows], own[ids[places + 2]])
 
     def add(self, lang: str, texts: list[bytes]) -> None:
         look_up, tokens = self.words.__getitem__, []
@@ -199,27 +212,76 @@ class _Counter:
             tokens.extend(map(look_up, TOKEN.findall(text.lower())))
             tokens.append(0)
         ids = np.array(tokens, np.int64)
-        trie = self.tries.setdefault(lang, HatTrie())
-        if self.words_field is None:
-            starts = np.flatnonzero(ids)
-            trie.add(ids[starts], np.zeros(len(starts), np.int64))
+        if not self.fields:
+            counts = np.bincount(ids, minlength=len(self.words.names))
+            before = self.counts.get(lang)
+            if before is not None:
+                counts[: len(before)] += before
+            self.counts[lang] = counts
+            return
+        own, at, hashes = self._starts(lang, ids)
+        if self.hashed == 2:
+            self._hold(hashes)
             return
-        pairs = self._pairs(lang, ids)
+        thirds, triples = self._triples(ids, own, at, hashes)
+        if self.hashed == 3:
+            self._hold(triples)
+            return
+        kept = _bits_set(*self.fields[2], triples)
+        thirds = thirds[kept]
+        fourths = thirds[:-1][thirds[1:] == thirds[:-1] + 1]
+        trie = self.tries.setdefault(lang, HatTrie())
         one, two = 2 * ID_BITS, ID_BITS
-        for size in self.sizes:
-            fits = pairs[: len(ids) - size + 1].copy()
-            for further in range(1, size - 1):
-                fits &= pairs[further : len(fits) + further]
-            at = np.flatnonzero(fits)
-            rest = ids[at + 1] << one
+        for places, size in ((at, 2), (thirds, 3), (fourths, 4)):
+            rest = ids[places + 1] << one
             if size > 2:
-                rest |= ids[at + 2] << two
+                rest |= ids[places + 2] << two
             if size > 3:
-                rest |= ids[at + 3]
-            trie.add(ids[at], rest)
+                rest |= ids[places + 3]
+            trie.add(ids[places], rest)
+
+    def _hold(self, hashes: np.ndarray) -> None:
+        values, counts = np.unique(hashes >> np.uint64(64 - HASH_BITS), return_counts=True)
+        self.found.append((values, counts))
+        if sum(len(v) for v, _ in self.found) > HELD_HASHES:
+            self.found = [_added(self.found)]
+
+    def hash_runs(self, whole: bool):
+        """Sorted runs of hashes and counts, one for each range, differences byte by byte."""
+        if len(self.words.names) > KEPT_WORDS:
+            self.clear()
+        if not self.found or not whole and sum(len(v) for v, _ in self.found) <= HELD_HASHES:
+            return
+        values, counts = _added(self.found)
+        self.found = []
+        shift = HASH_BITS - self.chunk_bits
+        chunks = (values >> np.uint64(shift)).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.diff(chunks, prepend=-1)), len(chunks))
+        width = np.uint8 if self.minimum < 256 else np.uint32
+        low = (values & np.uint64((1 << shift) - 1)).astype(np.uint32)
+        runs = []
+        for a, b in zip(edges, edges[1:]):
+            steps = np.diff(low[a:b], prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            # A count at the minimum is enough; more need not be told apart.
+            runs.append(zlib.compress(steps + np.minimum(counts[a:b], self.minimum).astype(width).tobytes(), 1))
+        sizes = np.diff(edges).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(chunks[edges[:-1]]), pa.array(sizes), pa.array(runs, pa.binary())], names=["chunk", "size", "run"])
+
+    def word_runs(self, whole: bool):
+        names = self.words.names
+        if not whole and len(names) <= KEPT_WORDS:
+            return
+        for lang, counts in self.counts.items():
+            counts[0] = 0
+            found = np.flatnonzero(counts).tolist()
+            run = sorted(zip(map(names.__getitem__, found), counts[found].tolist()))
+            for low in range(0, len(run), 50_000):
+                part = run[low : low + 50_000]
+                yield self._batch(lang, [w for w, _ in part], [n for _, n in part])
+        self.clear()
 
     def runs(self, whole: bool):
-        """Batches of sorted runs, of all subtrees or of the largest of a trie that has grown too far."""
+        """Batches of sorted runs, of all subtrees or of the largest of tries that have grown too far."""
         if whole or len(self.words.names) > KEPT_WORDS:
             tries = [(lang, trie, list(trie.roots)) for lang, trie in self.tries.items()]
         else:
@@ -227,9 +289,9 @@ class _Counter:
             if held <= HELD:
                 return
             tries = [(lang, trie, trie.largest(len(trie) // 2 + 1)) for lang, trie in self.tries.items()]
-        names, low = self.words.names, (1 << ID_BITS) - 1
+        names = self.words.names
         for lang, trie, heads in tries:
-            phrases, counts, held = [], [], 0
+            phrases, counts = [], []
             for head in sorted(heads, key=names.__getitem__):
                 run = []
                 for rest, count in trie.take(head):
@@ -255,16 +317,21 @@ class _Counter:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), text, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
 
 
-def counted(docs: DataFrame, sizes: tuple[int, ...], words_field=None, pairs_field=None) -> DataFrame:
-    """``lang, phrase, n`` for the phrases of the given sizes, summed over all tasks.
+def _added(runs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of numbers and counts as one sorted run."""
+    values = np.concatenate([v for v, _ in runs])
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], np.concatenate([c for _, c in runs])[order]
+    first = np.flatnonzero(np.diff(values, prepend=values[:1] + np.uint64(1)) != 0) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.add.reduceat(counts, first) if len(first) else counts
 
-    The fields are broadcast variables ``(bytes, bits)`` of what may be frequent.
-    """
+
+def _tasks(docs: DataFrame, schema: str, give, fields=(), **settings) -> DataFrame:
+    """Rows of a task's counter over all texts; ``give`` takes it and whether the task ends."""
 
     def run(batches):
         free_token_cache()
-        fields = [None if f is None else (np.frombuffer(f.value[0], np.uint8), f.value[1]) for f in (words_field, pairs_field)]
-        counter = _Counter(sizes, *fields)
+        counter = _Counter([(np.frombuffer(f.value[0], np.uint8), f.value[1]) for f in fields], **settings)
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE_BYTES):
                 langs = part.column(0).to_pylist()
@@ -276,60 +343,86 @@ def counted(docs: DataFrame, sizes: tuple[int, ...], words_field=None, pairs_fie
                         by_lang.setdefault(lang, []).append(raw[low:high])
                 for lang, texts in by_lang.items():
                     counter.add(lang, texts)
-                yield from counter.runs(False)
-        yield from counter.runs(True)
+                yield from give(counter, False)
+        yield from give(counter, True)
         give_back_memory()
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE))
-    runs = bounded_batches(docs).select(lang.alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, COUNTS)
+    return bounded_batches(docs).select(lang.alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _summed(runs: DataFrame) -> DataFrame:
     dealt = runs.withColumn("_prefix", F.substring_index("phrase", " ", 2)).repartition("lang", "_prefix")
     return dealt.groupBy("lang", "_prefix", "phrase").agg(F.sum("n").alias("n")).drop("_prefix")
 
 
-def frequent_field(phrases: DataFrame, size: int):
-    """A broadcast bit field of the hashes of ``phrases (lang, phrase)`` of ``size`` words.
+def _field_of(parts: DataFrame, bits: int):
+    """A broadcast bit field of ``2 ** bits`` bits from its parts ``(chunk, field)``, all of one size."""
+    whole = bytearray(1 << (bits - 3))
+    for row in parts.toLocalIterator():
+        whole[row["chunk"] * len(row["field"]) : (row["chunk"] + 1) * len(row["field"])] = row["field"]
+    return parts.sparkSession.sparkContext.broadcast((bytes(whole), bits))
 
-    It has 16 bits a phrase up to ``2 ** MOST_BITS`` in all; its parts reach the driver ready made.
-    """
-    count = phrases.count()
-    bits = min(MOST_BITS, max(CHUNK_BITS, (16 * count).bit_length()))
-    chunk = CHUNK_BITS
+
+def _packed_bits(places: np.ndarray, size: int) -> bytes:
+    field = np.zeros(size, np.uint8)
+    field[places] = 1
+    return np.packbits(field, bitorder="little").tobytes()
+
+
+def word_field(words: DataFrame, bits: int, chunk_bits: int):
+    """The bit field of the hashes of frequent ``words (lang, phrase)``."""
+    rest = bits - chunk_bits
 
     def places(batches):
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             known = {lang: _language_hash(lang) for lang in set(langs)}
-            words = [t.encode().split(b" ") for t in texts]
-            base = np.array([known[lang] for lang in langs], np.uint64)
             with np.errstate(over="ignore"):
-                hashes = [mix(np.array([word_hash(w[n]) for w in words], np.uint64) + base) for n in range(size)]
-            whole = hashes[0] if size == 1 else _pair_hashes(*hashes)
-            place = (whole >> np.uint64(64 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(place >> chunk), pa.array((place & ((1 << chunk) - 1)).astype(np.int32))], names=["chunk", "place"])
+                hashes = mix(np.array([word_hash(t.encode()) for t in texts], np.uint64) + np.array([known[lang] for lang in langs], np.uint64))
+            place = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place >> rest), pa.array((place & ((1 << rest) - 1)).astype(np.int32))], names=["chunk", "place"])
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        field = np.zeros(1 << chunk, np.uint8)
-        field[rows["place"].to_numpy()] = 1
-        return pd.DataFrame({"chunk": [key[0]], "field": [np.packbits(field, bitorder="little").tobytes()]})
+        return pd.DataFrame({"chunk": [key[0]], "field": [_packed_bits(rows["place"].to_numpy(), 1 << rest)]})
 
-    placed = phrases.select("lang", "phrase").mapInArrow(places, "chunk long, place int").distinct()
-    whole = bytearray(1 << (bits - 3))
-    for row in placed.groupBy("chunk").applyInPandas(pack, "chunk long, field binary").toLocalIterator():
-        start = row["chunk"] << (chunk - 3)
-        whole[start : start + len(row["field"])] = row["field"]
-    return phrases.sparkSession.sparkContext.broadcast((bytes(whole), bits))
+    placed = words.select("lang", "phrase").mapInArrow(places, "chunk long, place int")
+    return _field_of(placed.groupBy("chunk").applyInPandas(pack, "chunk long, field binary"), bits)
+
+
+def phrase_field(docs: DataFrame, size: int, fields: list, minimum: int, bits: int, chunk_bits: int):
+    """The bit field of the hashes that pairs or triples with ``minimum`` occurrences have."""
+    shift = HASH_BITS - chunk_bits
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        runs = []
+        for count, packed in zip(rows["size"].tolist(), rows["run"]):
+            raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+            steps = np.ascontiguousarray(raw[: 4 * count].reshape(4, count).T).view("<u4")[:, 0]
+            counts = raw[4 * count :] if minimum < 256 else raw[4 * count :].view("<u4")
+            runs.append((np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)))
+        values, counts = _added(runs)
+        places = values[counts >= minimum] >> np.uint64(HASH_BITS - bits)
+        return pd.DataFrame({"chunk": [key[0]], "field": [_packed_bits(places.astype(np.int64), 1 << (bits - chunk_bits))]})
+
+    runs = _tasks(docs, "chunk long, size int, run binary", _Counter.hash_runs, fields, hashed=size, chunk_bits=chunk_bits, minimum=minimum)
+    return _field_of(runs.groupBy("chunk").applyInPandas(merge, "chunk long, field binary"), bits)
 
 
 def frequent_phrases(docs: DataFrame, minimum: int = MINIMUM) -> tuple[DataFrame, DataFrame]:
     """All phrases of one to four words that occur ``minimum`` times, and the words of each language."""
-    words = settle(counted(docs, (1,)))
+    words = settle(_summed(_tasks(docs, COUNTS, _Counter.word_runs)))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     ones = words.where(F.col("n") >= minimum)
-    words_field = frequent_field(ones, 1)
-    twos = settle(counted(docs, (2,), words_field).where(F.col("n") >= minimum))
-    pairs_field = frequent_field(twos, 2)
-    longer = settle(counted(docs, (3, 4), words_field, pairs_field).where(F.col("n") >= minimum))
-    return ones.unionByName(twos).unionByName(longer), totals
+    count = words.agg(F.sum("n")).first()[0] or 0
+    # So many ranges of hashes that none holds more than a merge should.
+    chunk_bits = min(24, max(8, (count // HELD_HASHES).bit_length()))
+    bits = min(MOST_BITS, max(chunk_bits + 3, count.bit_length()))
+    fields = [word_field(ones, bits, chunk_bits)]
+    fields.append(phrase_field(docs, 2, fields, minimum, bits, chunk_bits))
+    fields.append(phrase_field(docs, 3, fields, minimum, bits, chunk_bits))
+    longer = settle(_summed(_tasks(docs, COUNTS, _Counter.runs, fields)).where(F.col("n") >= minimum))
+    return ones.unionByName(longer), totals
 
 
 def _part(words: Column, start: Column, length: Column) -> Column:
