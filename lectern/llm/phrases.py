@@ -19,6 +19,7 @@ frequent phrase, and an empty table, give no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from heapq import nlargest
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import bounded_batches
-from lectern.llm.words import GOLDEN, byte_slices, free_token_cache, give_back_memory, mix, text_bytes
+from lectern.llm.words import GOLDEN, WordHasher, byte_slices, give_back_memory, mix, text_bytes
 from lectern.session import broadcast_if_small, settle
 
 MINIMUM = 30
@@ -150,14 +151,16 @@ class HatTrie:
         return [((word << self.SHIFT) | rest, count) for word, child in held[0].items() for rest, count in child.items()]
 
 
-def word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
+def _hasher() -> WordHasher:
+    """Words in lower case; what ends a piece is a word of class 2."""
+    classes = np.ones(256, np.uint8)
+    classes[[9, 32]] = 0
+    classes[list(b".,;:!?\n\x0b\x0c\r")] = 2
+    return WordHasher(lower=True, classes=classes)
 
 
 def _language_hash(lang: str) -> int:
-    return word_hash(b"lang:" + lang.encode())
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
 def _joined_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -177,60 +180,70 @@ class _Counter:
         self.fields, self.hashed, self.chunk_bits, self.minimum = fields, hashed, chunk_bits, minimum
         self.clear()
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.hasher = _hasher()
 
     def clear(self) -> None:
         self.words, self.tries, self.counts = _Words(), {}, {}
-        # For each language the hash of every word so far, and whether the word may be frequent.
-        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _starts(self, lang: str, ids: np.ndarray):
-        """Hashes of the pairs from each place on, and which places start a pair of frequent words that the fields let through."""
-        own, good = self.known.get(lang, (np.zeros(1, np.uint64), np.zeros(1, bool)))
-        names = self.words.names[len(own) :]
-        if names:
-            with np.errstate(over="ignore"):
-                fresh = mix(np.fromiter(map(word_hash, names), np.uint64, len(names)) + np.uint64(_language_hash(lang)))
-            own, good = np.concatenate([own, fresh]), np.concatenate([good, _bits_set(*self.fields[0], fresh)])
-            self.known[lang] = own, good
-        ones = good[ids]
-        at = np.flatnonzero(ones[:-1] & ones[1:])
-        hashes = _joined_hashes(own[ids[at]], own[ids[at + 1]])
-        if len(self.fields) > 1:
-            kept = _bits_set(*self.fields[1], hashes)
-            at, hashes = at[kept], hashes[kept]
-        return own, at, hashes
-
-    def _triples(self, ids, own, at, hashes):
-        """Places whose pair and next pair are let through, with the hash of the triple."""
-        follows = np.flatnonzero(at[1:] == at[:-1] + 1)
-        places = at[follows]
-        return places, _joined_hashes(hashes[follows], own[ids[places + 2]])
-
-    def add(self, lang: str, texts: list[bytes]) -> None:
-        look_up, tokens = self.words.__getitem__, []
-        for text in texts:
-            tokens.extend(map(look_up, TOKEN.findall(text.lower())))
-            tokens.append(0)
-        ids = np.array(tokens, np.int64)
-        if not self.fields:
-            counts = np.bincount(ids, minlength=len(self.words.names))
+
+    def add(self, part: pa.RecordBatch) -> None:
+        """Count the texts of a batch ``(lang, text)``."""
+        if self.fields:
+            self._add_phrases(part)
+        else:
+            self._add_words(part)
+
+    def _add_words(self, part: pa.RecordBatch) -> None:
+        data, offsets = text_bytes(part.column(1))
+        raw, at = data.tobytes().lower(), offsets.tolist()
+        by_lang: dict[str, list] = {}
+        for lang, low, high in zip(part.column(0).to_pylist(), at, at[1:]):
+            by_lang.setdefault(lang, []).extend(map(self.words.__getitem__, TOKEN.findall(raw, low, high)))
+        for lang, tokens in by_lang.items():
+            counts = np.bincount(np.array(tokens, np.int64), minlength=len(self.words.names))
             before = self.counts.get(lang)
             if before is not None:
                 counts[: len(before)] += before
             self.counts[lang] = counts
+
+    def _add_phrases(self, part: pa.RecordBatch) -> None:
+        """Phrases are found by the hashes of their words; words are told apart by their letters only where one may be frequent."""
+        data, starts, ends, first = self.hasher.spans(part.column(1))
+        if len(starts) < 2:
             return
-        own, at, hashes = self._starts(lang, ids)
+        langs = part.column(0).to_pylist()
+        names = sorted(set(langs))
+        codes = np.array([names.index(lang) for lang in langs])
+        code = np.repeat(codes, np.diff(first))
+        salt = np.array([_language_hash(lang) for lang in names], np.uint64)
+        with np.errstate(over="ignore"):
+            own = mix(self.hasher.hashes(data, starts, ends) + salt[code])
+        good = (self.hasher.classes[data[starts]] == 1) & _bits_set(*self.fields[0], own)
+        follows = good[:-1] & good[1:]
+        # The last word of a text and the first of the next are no pair.
+        heads = first[1:-1]
+        follows[heads[(heads > 0) & (heads < len(starts))] - 1] = False
+        at = np.flatnonzero(follows)
+        hashes = _joined_hashes(own[at], own[at + 1])
+        if len(self.fields) > 1:
+            kept = _bits_set(*self.fields[1], hashes)
+            at, hashes = at[kept], hashes[kept]
         if self.hashed == 2:
             self._hold(hashes)
             return
-        thirds, triples = self._triples(ids, own, at, hashes)
+        next_too = np.flatnonzero(at[1:] == at[:-1] + 1)
+        thirds = at[next_too]
+        triples = _joined_hashes(hashes[next_too], own[thirds + 2])
         if self.hashed == 3:
             self._hold(triples)
             return
-        kept = _bits_set(*self.fields[2], triples)
-        thirds = thirds[kept]
+        thirds = thirds[_bits_set(*self.fields[2], triples)]
         fourths = thirds[:-1][thirds[1:] == thirds[:-1] + 1]
-        trie = self.tries.setdefault(lang, HatTrie())
+        needed = np.zeros(len(starts), bool)
+        needed[at] = needed[at + 1] = True
+        needed = np.flatnonzero(needed)
+        raw = data.tobytes().lower()
+        ids = np.zeros(len(starts), np.int64)
+        ids[needed] = [self.words[raw[a:b]] for a, b in zip(starts[needed].tolist(), ends[needed].tolist())]
         one, two = 2 * ID_BITS, ID_BITS
         for places, size in ((at, 2), (thirds, 3), (fourths, 4)):
             rest = ids[places + 1] << one
@@ -238,7 +251,9 @@ class _Counter:
                 rest |= ids[places + 2] << two
             if size > 3:
                 rest |= ids[places + 3]
-            trie.add(ids[places], rest)
+            for n, lang in enumerate(names):
+                mine = code[places] == n
+                self.tries.setdefault(lang, HatTrie()).add(ids[places[mine]], rest[mine])
 
     def _hold(self, hashes: np.ndarray) -> None:
         values, counts = np.unique(hashes >> np.uint64(64 - HASH_BITS), return_counts=True)
@@ -248,8 +263,6 @@ class _Counter:
 
     def hash_runs(self, whole: bool):
         """Sorted runs of hashes and counts, one for each range, differences byte by byte."""
-        if len(self.words.names) > KEPT_WORDS:
-            self.clear()
         if not self.found or not whole and sum(len(v) for v, _ in self.found) <= HELD_HASHES:
             return
         values, counts = _added(self.found)
@@ -330,19 +343,10 @@ def _tasks(docs: DataFrame, schema: str, give, fields=(), **settings) -> DataFra
     """Rows of a task's counter over all texts; ``give`` takes it and whether the task ends."""
 
     def run(batches):
-        free_token_cache()
         counter = _Counter([(np.frombuffer(f.value[0], np.uint8), f.value[1]) for f in fields], **settings)
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE_BYTES):
-                langs = part.column(0).to_pylist()
-                data, offsets = text_bytes(part.column(1))
-                raw, at = data.tobytes(), offsets.tolist()
-                by_lang: dict[str, list[bytes]] = {}
-                for lang, low, high in zip(langs, at, at[1:]):
-                    if high > low:
-                        by_lang.setdefault(lang, []).append(raw[low:high])
-                for lang, texts in by_lang.items():
-                    counter.add(lang, texts)
+                counter.add(part)
                 yield from give(counter, False)
         yield from give(counter, True)
         give_back_memory()
@@ -375,11 +379,12 @@ def word_field(words: DataFrame, bits: int, chunk_bits: int):
     rest = bits - chunk_bits
 
     def places(batches):
+        hasher = _hasher()
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            langs = batch.column(0).to_pylist()
             known = {lang: _language_hash(lang) for lang in set(langs)}
             with np.errstate(over="ignore"):
-                hashes = mix(np.array([word_hash(t.encode()) for t in texts], np.uint64) + np.array([known[lang] for lang in langs], np.uint64))
+                hashes = mix(hasher(batch.column(1))[0] + np.array([known[lang] for lang in langs], np.uint64))
             place = (hashes >> np.uint64(64 - bits)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(place >> rest), pa.array((place & ((1 << rest) - 1)).astype(np.int32))], names=["chunk", "place"])
 
