@@ -58,33 +58,39 @@ def alias_rows(sources: DataFrame) -> DataFrame:
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def metadata_id(title: Column, authors: Column, year: Column, content_hash: Column) -> Column:
     """``author-year-title``; a hash prefix when the metadata is too thin."""
-    author, name = tx.family_slug(authors), F.coalesce(tx.slug(title, 64), F.lit(""))
     year_text = F.when(year.isNotNull() & (year != 0), year.cast("string")).otherwise("")
-    parts = F.filter(F.array(author, year_text, name), lambda p: p != "")
-    full = tx.slug(F.array_join(parts, "-"))
     valid_hash = F.lower(content_hash).rlike("^[0-9a-f]{12,64}$")
     by_hash = F.when(valid_hash, F.concat(F.lit("paper-"), F.substring(F.lower(content_hash), 1, 12))).otherwise(
         F.raise_error(F.lit("content_hash must be a hexadecimal digest")).cast("string")
     )
-    return (
-        F.when((name != "") & ((author != "") | (year_text != "")), full)
-        .when(content_hash.isNotNull() & (content_hash != ""), by_hash)
-        .when(name != "", name)
-        .otherwise(F.raise_error(F.lit("no metadata and no hash to build a paper id from")).cast("string"))
-    )
+
+    def chosen(author: Column, name: Column) -> Column:
+        parts = F.filter(F.array(author, year_text, name), lambda p: p != "")
+        return (
+            F.when((name != "") & ((author != "") | (year_text != "")), _once(F.array_join(parts, "-"), lambda text: tx.slug(text)))
+            .when(content_hash.isNotNull() & (content_hash != ""), by_hash)
+            .when(name != "", name)
+            .otherwise(F.raise_error(F.lit("no metadata and no hash to build a paper id from")).cast("string"))
+        )
+
+    return _once(tx.family_slug(authors), lambda author: _once(F.coalesce(tx.slug(title, 64), F.lit("")), lambda name: chosen(author, name)))
 
 
 def stable_id(source: Column, catalog_id: Column, title: Column, authors: Column, year: Column, content_hash: Column) -> Column:
     """Catalog id, else a descriptive file stem, else metadata."""
-    catalog, stem = tx.slug(catalog_id), tx.slug(tx.stem(source))
-    usable = (stem != "") & ~stem.isin(*GENERIC_STEMS) & ~stem.rlike("^[0-9]+$")
-    return (
-        F.when(catalog.isNotNull() & (catalog != ""), catalog)
-        .when(usable, stem)
-        .otherwise(metadata_id(title, authors, year, content_hash))
-    )
+
+    def by_stem(stem: Column) -> Column:
+        usable = (stem != "") & ~stem.isin(*GENERIC_STEMS) & ~stem.rlike("^[0-9]+$")
+        return F.when(usable, stem).otherwise(metadata_id(title, authors, year, content_hash))
+
+    return _once(tx.slug(catalog_id), lambda listed: F.when(listed.isNotNull() & (listed != ""), listed).otherwise(_once(tx.slug(tx.stem(source)), by_stem)))
 
 
 def unique_ids(candidates: DataFrame, occupied: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import Settings
 from lectern.functions import text as tx
-from lectern.operators import catalog, identity, incremental, metadata
+from lectern.operators import catalog, entities, identity, incremental, metadata
 from lectern.plans.index import Index, IndexWriter, set_pointer
 from lectern.session import broadcast_if_small, settle
 from lectern.sources import files
@@ -32,15 +32,18 @@ def _record_fields(entries: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("artifact", "fields")
 
 
-def read_papers(markdown: DataFrame, entries: DataFrame | None, known: DataFrame, previous: Index | None, occupied: DataFrame | None = None) -> DataFrame:
+def read_papers(markdown: DataFrame, entries: DataFrame | None, listing: DataFrame, previous: Index | None, occupied: DataFrame | None = None) -> DataFrame:
     """Paper rows of canonical Markdown sources: id, usable title, authors, year, abstract.
 
     ``occupied`` has the ``paper_id`` of papers that move on unread; no other source gets these.
     """
     rows = markdown
     if entries is not None:
-        ids = catalog.artifact_ids(entries)
-        aliases = catalog.publish_aliases(ids, known).select(F.col("alias").alias("source_path"), F.col("paper_id").alias("catalog_id"))
+        ids, known = catalog.artifact_ids(entries), listing.select("source_path")
+        published = catalog.publish_aliases(ids, known).select(F.col("alias").alias("source_path"), F.col("paper_id").alias("alias_id"))
+        # Files of one row are several papers unless their bytes say otherwise.
+        resolved = entities.resolve(entries, listing).select("source_path", F.col("paper_id").alias("resolved_id"))
+        aliases = published.join(resolved, "source_path", "full_outer").select("source_path", F.coalesce("resolved_id", "alias_id").alias("catalog_id"))
         matched = catalog.match_artifacts(ids, known).join(_record_fields(entries), "artifact", "left").select("source_path", "fields")
         rows = rows.join(aliases, "source_path", "left").join(matched, "source_path", "left")
     else:
@@ -155,7 +158,7 @@ def _write_revision(spark, scan: Scan, entries, target: str, revision: int, atte
     canonical = identity.deduplicate(listing)
     known = listing.select("source_path")
     if previous is None:
-        papers = read_papers(files.markdown_text(scan.fresh), entries, known, None)
+        papers = read_papers(files.markdown_text(scan.fresh), entries, listing, None)
         kept = None
     else:
         # Papers whose bytes are still present move on unread; only other hashes are parsed.
@@ -166,7 +169,7 @@ def _write_revision(spark, scan: Scan, entries, target: str, revision: int, atte
             held = held.unionByName(states.where("state = 'kept'").select("source_path")).distinct()
         same = same.unionByName(previous.papers.join(live, "content_hash", "left_anti").join(held, "source_path", "left_semi"))
         kept = settle(same)
-        papers = kept.unionByName(read_papers(files.markdown_text(scan.fresh), entries, known, previous, kept.select("paper_id")))
+        papers = kept.unionByName(read_papers(files.markdown_text(scan.fresh), entries, listing, previous, kept.select("paper_id")))
     writer = IndexWriter(spark, target, revision, settings, attempt)
     writer.papers(papers)
     writer.hierarchy(previous, None if kept is None else kept.select("paper_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.config import ChunkSettings
 from lectern.functions import folds
 from lectern.functions import text as tx
-from lectern.operators import catalog, hierarchy, identity, metadata
+from lectern.operators import catalog, entities, hierarchy, identity, metadata
 from lectern.operators.sections import chunk_sections, number_chunks, parse_sections
 from lectern.plans.corpus_data import open_corpus
 from lectern.plans.registered import sql as q
@@ -244,6 +244,27 @@ WITH s AS (SELECT source || '/' || doc_id || '.md' AS source_path, text FROM doc
 SELECT source_path, canonical_path FROM (SELECT source_path, first_value(source_path) OVER (PARTITION BY text ORDER BY lower(source_path)) AS canonical_path FROM s) WHERE source_path <> canonical_path"""
 
 
+def entity_resolution(spark, folder):
+    """A catalog with one row for each labelled document, which names its file and that of the next number."""
+    files = tables.markdown_files(spark, folder).select("source_path", "content_hash", F.expr("cast(substring(catalog_id, 5) as bigint)").alias("doc_id"))
+    following = files.select((F.col("doc_id") - 1).alias("doc_id"), F.col("source_path").alias("next_path"))
+    rows = tables.table(spark, folder, "labels").select("doc_id").join(files, "doc_id").join(following, "doc_id", "left")
+    entries = rows.select(
+        F.lit("catalog").alias("catalog_id"), F.col("doc_id").alias("line_no"), F.concat(F.lit("record-"), "doc_id").alias("record_id"), F.array_compact(F.array("source_path", "next_path")).alias("artifacts")
+    )
+    return entities.resolve(entries, files)
+
+
+RESOLUTION_SQL = """
+WITH f AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, sha256(text) AS h FROM documents),
+r AS (SELECT l.doc_id, f.h AS one, g.h AS two FROM labels l JOIN f USING (doc_id) LEFT JOIN f g ON g.doc_id = l.doc_id + 1),
+named AS (SELECT one AS h FROM r UNION SELECT two FROM r WHERE two IS NOT NULL),
+records AS (SELECT one AS h, arg_min('record-' || doc_id, doc_id) AS record_id FROM r WHERE two IS NULL OR one = two GROUP BY one),
+first AS (SELECT h, arg_min(doc_id, (lower(path), path)) AS doc_id FROM f GROUP BY h)
+SELECT path AS source_path, 'hash:' || h AS component, coalesce(record_id, CAST(first.doc_id AS VARCHAR)) AS paper_id
+FROM f JOIN named USING (h) JOIN first USING (h) LEFT JOIN records USING (h)"""
+
+
 def _line_title():
     return F.get(F.split("text", "\n"), 0)
 
@@ -252,7 +273,7 @@ def stable_ids(spark, folder):
     """Ids of all document files: stems are numbers, so metadata decides, and collisions get a suffix."""
     files = tables.markdown_files(spark, folder)
     wanted = identity.stable_id(F.col("source_path"), F.lit(None).cast("string"), _line_title(), F.col("authors"), F.lit(None).cast("int"), F.col("content_hash"))
-    candidates = files.select("source_path", "content_hash", wanted.alias("candidate_id"))
+    candidates = settle(files.select("source_path", "content_hash", wanted.alias("candidate_id")))
     return identity.unique_ids(candidates).select("source_path", "paper_id")
 
 
@@ -433,6 +454,7 @@ QUERIES = {
     "logical_parent": (logical_parent, LOGICAL_SQL),
     "page_roll_up": (page_roll_up, ROLL_UP_SQL),
     "exact_dedup": (exact_dedup, DEDUP_SQL),
+    "entity_resolution": (entity_resolution, RESOLUTION_SQL),
     "alias_map": (alias_map, ALIAS_SQL),
     "stable_ids": (stable_ids, IDS_SQL),
     "second_run": (second_run, SECOND_RUN_SQL),

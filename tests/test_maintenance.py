@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import ChunkSettings, RetrievalSettings, Settings, load_settings
 from lectern.functions import text as tx
-from lectern.operators import catalog, expansion, hierarchy, identity, incremental, metadata, quality
+from lectern.operators import catalog, digests, entities, expansion, hierarchy, identity, incremental, metadata, quality
 from lectern.operators.ranking import blocked_carry, blocked_row_number, blocked_running_sum
 from lectern.sources import files
 
@@ -154,6 +154,8 @@ def test_empty_chunks_and_mirror(spark):
     once = quality.compact_chunks(chunks)
     assert [(r["chunk_index"], r["token_count"]) for r in once.orderBy("chunk_index").collect()] == [(0, 5), (1, 7)]
     assert quality.mirror_differences(once, once).isEmpty()
+    left, right = digests.unequal_rows(once, once)
+    assert left.isEmpty() and right.isEmpty()
     assert quality.mirror_differences(once, once.unionByName(once.limit(1))).count() == 1
 
 
@@ -217,3 +219,33 @@ def test_file_sources(spark, tmp_path):
     row = files.evaluation_queries(spark, str(tmp_path / "q.json")).head()
     assert (row["text"], row["relevant_papers"], row["mode"]) == ("x y", ["p"], "precision")
     assert values(spark, files.separators_to_markers, "{0}" + "-" * 30 + "\nfirst\n\n{1}" + "-" * 30 + "\nsecond")[0].split("\n")[0] == "<!-- page: 1 -->"
+
+
+def test_digest_trees_tell_nulls_and_repeats_apart(spark):
+    schema = "a string, b string, n int, v array<double>"
+    rows = [("x", None, 1, [1.0]), (None, "x", 1, [1.0]), ("x", "y", 2, None), ("x", "y", 2, None)] + [(str(n), "z", n, [0.5]) for n in range(500)]
+    base = spark.createDataFrame(rows, schema)
+    changed = spark.createDataFrame([(None, "x", 1, [1.0]), (None, "x", 1, [1.0]), ("x", "y", 2, None)] + rows[4:], schema).repartition(3)
+    found = sorted((r["side"], r["a"] or "", r["b"] or "") for r in digests.differences(base, changed).collect())
+    assert found == [("base", "x", ""), ("base", "x", "y"), ("mirror", "", "x")]
+    left, _ = digests.unequal_rows(base, changed)
+    assert left.count() < 10
+    none = base.limit(0)
+    assert digests.differences(none, none).isEmpty() and digests.differences(base, none).count() == len(rows)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(f"c{n:03d}", f"c{n + 1:03d}") for n in range(120)] + [("hub", f"s{n}") for n in range(50)] + [("z", "z"), ("m", "a")]
+    held = {}
+    for r in entities.components(spark.createDataFrame(edges, "a string, b string")).collect():
+        held.setdefault(r["component"], set()).add(r["node"])
+    assert {k: len(v) for k, v in held.items()} == {"c000": 121, "hub": 51, "z": 1, "a": 2}
+    assert entities.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_rows_that_name_several_files(spark):
+    """Three files of one row, two of them equal, are two papers; a bare name shared by two files joins nothing."""
+    listing = spark.createDataFrame([("a.md", "1"), ("x/b.md", "2"), ("copy.md", "2"), ("one/s.md", "3"), ("two/s.md", "4"), ("solo.md", "5"), ("other.md", "6")], "source_path string, content_hash string")
+    rows = [("c", 1, "combo", ["a.md", "x/b.md", "copy.md"]), ("c", 2, "shared", ["s.md"]), ("c", 3, "solo-work", ["solo.md"]), ("c", 4, "twice", ["copy.md", "x/b.md"]), ("c", 5, None, ["one/s.md"]), ("c", 6, "late", ["solo.md"])]
+    found = {r["source_path"]: r["paper_id"] for r in entities.resolve(spark.createDataFrame(rows, "catalog_id string, line_no int, record_id string, artifacts array<string>"), listing).collect()}
+    assert found == {"a.md": "a", "x/b.md": "twice", "copy.md": "twice", "solo.md": "solo-work", "one/s.md": "s"}

@@ -5,12 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.config import ChunkSettings, EmbeddingSettings, Settings
+from lectern.config import ChunkSettings, EmbeddingSettings, LayoutSettings, Settings
 from lectern.plans import ingest as runs
 from lectern.plans.index import Index
 from lectern.sources.listing import FilesReader, list_files, read_files
 
-SETTINGS = Settings(chunks=ChunkSettings(30, 5, 80), embedding=EmbeddingSettings(dimensions=16))
+SETTINGS = Settings(chunks=ChunkSettings(30, 5, 80), embedding=EmbeddingSettings(dimensions=16), layout=LayoutSettings(1, 1, 1))
 TEXT = "# {0}\n\n## Method\n\n{0} evidence.\n"
 
 
@@ -139,3 +139,12 @@ def test_a_run_that_never_settles_commits_nothing(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="kept changing"):
         run(spark, root, tmp_path / "i", 1, attempts=1)
     assert not (tmp_path / "i" / "committed").exists() and not (tmp_path / "i" / "rev=1").exists()
+
+
+def test_a_row_of_several_files_links_each_paper(spark, tmp_path):
+    root = sources(tmp_path / "s", "a.md", "b.md")
+    (root / "copy.md").write_bytes((root / "b.md").read_bytes())
+    (tmp_path / "catalog.txt").write_text("# Works\n\n| Name | Note | File |\n| --- | --- | --- |\n| combo | shared walrus note | a.md; b.md; copy.md |\n")
+    index, _ = runs.ingest(spark, str(root), str(tmp_path / "catalog.txt"), str(tmp_path / "i"), 1, SETTINGS)
+    assert {r["source_path"]: r["paper_id"] for r in index.papers.collect()} == {"a.md": "a", "b.md": "b"}
+    assert {r["paper_id"] for r in index.links.collect()} == {"a", "b"}
