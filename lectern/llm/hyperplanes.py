@@ -16,7 +16,7 @@ tree and one block at a time.
 Defined cases: rows with a null id, label or vector, or with a null or non-finite component, take
 no part; of rows with one id the one with the least label and components counts; vectors of
 different sizes never meet; equal vectors share a leaf however many there are; components and
-scores are exact integers, also beyond 64 bits, up to 2**1008 and 10**37 in size (what is beyond
+scores are exact integers, also beyond 64 bits, up to 2**408 and 10**31 in size (what is beyond
 counts as that), but a score beyond 64 bits is returned as the nearest one of them; an anchor without a positive, and a positive without a negative, give no rows; other
 columns are not read.
 """
@@ -43,8 +43,8 @@ LOWEST_PERCENT, HIGHEST_PERCENT = 80, 100
 SLACK = 1e-9
 RANK_BITS = 20
 LONG = (1 << 63) - 1
-MOST = 2.0**1000
-MOST_SCORE = 10**37
+MOST = 2.0**400
+MOST_SCORE = 10**31
 
 
 def quantised(table: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -142,7 +142,7 @@ class HyperplaneTree:
         exact = self.points.dtype == object or anchors.dtype == object
         kind = object if exact else np.int64
         base, top = 1 << RANK_BITS, (1 << RANK_BITS) - 1
-        none = -(1 << 200) if exact else -LONG
+        none = -(1 << 1000) if exact else -LONG
         count, windows = low.shape
         # Score and row number in one integer: a greater one is the better row, smaller ids first.
         best = np.full((count, windows, k), none, dtype=kind)
@@ -271,7 +271,7 @@ def search_trees(trees: DataFrame, asked: DataFrame, same: bool, k: int, block:
         i, j, r = np.nonzero(places >= 0)
         of = [windows[a][b][0] for a, b in zip(i.tolist(), j.tolist())]
         exact = [str(max(-MOST_SCORE, min(MOST_SCORE, int(s)))) for s in scores[i, j, r]]
-        return pd.DataFrame({"anchor_id": held["ids"][i], "of": pd.array(of, "Int64"), "vec_id": tree.ids[places[i, j, r]], "score": exact})
+        return pd.DataFrame({"anchor_id": held["ids"][i], "of": pd.array(of, "Int64"), "vec_id": tree.ids[places[i, j, r]], "score": pd.Series(exact, dtype=object)})
 
     tasks = 2 * max(1, trees.count())
     met = held.unionByName(sent).repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "block")

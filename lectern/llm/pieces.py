@@ -140,7 +140,7 @@ class PieceModel:
             longest[end - size + 1] = size
         compatible, fits, shorter = self.compatible, self.fits, self.shorter
         pieces, before, at, total, failed = [], "", 0, len(run), None
-        piece = run[: longest[0]]
+        piece = run[: longest[0]] if run else ""
         while at < total:
             while piece:
                 end = at + len(piece)

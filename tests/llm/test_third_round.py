@@ -179,7 +179,7 @@ def test_hard_negatives_by_hand(spark):
     draw = random.Random(6)
     rows = vector_rows(draw, 900)
     rows += [(1000 + n, rows[0][1], n % 3) for n in range(150)]  # one vector many times
-    rows += [(1200, None, 1), (1201, [1.0] * 6, None), (1300, [1.0, None, 1, 1, 1, 1], 2), (1301, [1.0, float("nan"), 1, 1, 1, 1], 2), (1302, [float("inf")] * 6, 2), (None, [1.0] * 6, 1)]
+    rows += [(1200, None, 1), (1201, [1.0] * 6, None), (1300, [1.0, None, 1.0, 1.0, 1.0, 1.0], 2), (1301, [1.0, float("nan"), 1.0, 1.0, 1.0, 1.0], 2), (1302, [float("inf")] * 6, 2), (None, [1.0] * 6, 1)]
     rows += [(1400, [0.0] * 6, 3), (1500, [0.5, 0.25], 4), (1501, [0.5, 0.125], 4), (1502, [0.5, 0.2], 5), (-100, [0.3] * 6, 1), (-7, [0.25] * 6, 1)]
     rows += rows[:30] + [(5, [9.0] * 6, 0)]
     want = negatives_by_hand(rows)
