@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators.postings import best_of_shards, merged_positions, posting_blocks, shard_of
+from lectern.operators.postings import GONE, RUN_ROWS, best_of_shards, merged_positions, posting_blocks, shard_of
 from lectern.session import broadcast_if_small, settle
 
 # BM25 constants and the floor for terms in over half of the rows.
@@ -87,9 +87,11 @@ def _plain_saturation(tf, dl, avgdl):
 
 def _weighted_terms(index, words: DataFrame) -> DataFrame:
     """``query_id, scope, kind, bucket, term, avgdl, weight``: the asked terms that occur, with their idf."""
+    placed = words.withColumn("bucket", term_bucket(F.col("term"), index.buckets))
+    # A frequency may come in parts, which add up; two words of a query may be one term.
+    known = index.terms.join(placed.select("bucket", "term").distinct(), ["bucket", "term"]).groupBy("kind", "bucket", "term").agg(F.sum("df").alias("df")).where("df > 0")
     return (
-        words.withColumn("bucket", term_bucket(F.col("term"), index.buckets))
-        .join(index.terms, ["bucket", "term"])
+        placed.join(known, ["bucket", "term"])
         .join(F.broadcast(index.levels), "kind")
         .select("query_id", "scope", "kind", "bucket", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("weight"))
     )
@@ -110,6 +112,8 @@ def phrase_hits(index, phrases: DataFrame) -> DataFrame:
         phrases.withColumn("term", F.explode(F.array_distinct("terms")))
         .withColumn("bucket", term_bucket(F.col("term"), index.buckets))
         .join(index.terms, ["bucket", "term"])
+        .groupBy("query_id", "phrase", "kind", "term")
+        .agg(F.first("terms").alias("terms"), F.sum("df").alias("df")).where("df > 0")
         .groupBy("query_id", "phrase", "kind")
         .agg(F.first("terms").alias("terms"), F.count("*").alias("known"), F.min_by("term", F.struct("df", "term")).alias("term"))
         .where(F.col("known") == F.size(F.array_distinct("terms")))
@@ -123,7 +127,8 @@ def phrase_hits(index, phrases: DataFrame) -> DataFrame:
         .withColumn("bucket", term_bucket(F.col("term"), index.buckets))
     )
     needed = broadcast_if_small(needed)
-    return merged_positions(_blocks_in(index, needed).join(needed, ["kind", "bucket", "term", "shard", "run"]), asked)
+    hits = merged_positions(_blocks_in(index, needed).join(needed, ["kind", "bucket", "term", "shard", "run"]), asked)
+    return hits if index.dead is None else hits.join(index.dead, ["kind", "shard", "row_no"], "left_anti").select(*hits.columns)
 
 
 def _weighted_phrases(index, hits: DataFrame) -> DataFrame:
@@ -134,14 +139,14 @@ def _weighted_phrases(index, hits: DataFrame) -> DataFrame:
 
 def with_ids(index, rows: DataFrame) -> DataFrame:
     """``rows`` with the ids of their entities; only id columns are read."""
-    names = index.entities.select("kind", F.col("entity_bucket").alias("shard"), "row_no", "entity_id", "paper_id")
+    names = index.placed.select("kind", "shard", "row_no", "entity_id", "paper_id")
     shards = [r["shard"] for r in rows.select("shard").distinct().collect()]
     return names.where(F.col("shard").isin(shards)).join(broadcast_if_small(rows), ["kind", "shard", "row_no"]).drop("row_no")
 
 
 def _allowed_rows(index, scopes: DataFrame) -> DataFrame:
     """``scope, kind, shard, allowed``: the rows of each scoped paper, at most those of a shard."""
-    inside = index.entities.select("kind", F.col("entity_bucket").alias("shard"), "row_no", F.col("paper_id").alias("scope"))
+    inside = index.placed.select("kind", "shard", "row_no", F.col("paper_id").alias("scope"))
     return inside.join(broadcast_if_small(scopes), "scope").groupBy("scope", "kind", "shard").agg(F.collect_list("row_no").alias("allowed"))
 
 
@@ -155,6 +160,17 @@ def top_per_list(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _as_blocks(rows: DataFrame) -> DataFrame:
+    """Posting blocks of rows ``(kind, shard, term, row_no, tf, dl)``."""
+    run = F.floor(F.col("row_no") / RUN_ROWS)
+    gathered = rows.groupBy("kind", "shard", "term", run.alias("run")).agg(F.array_sort(F.collect_list(F.struct("row_no", "tf", "dl"))).alias("held"))
+    steps = F.transform("held", lambda h, i: h["row_no"] - F.when(i == 0, 0).otherwise(F.get("held.row_no", i - 1)))
+    return gathered.select(
+        "kind", "shard", "term", F.array_min("held.row_no").alias("first_row"), F.array_max("held.row_no").alias("last_row"),
+        steps.alias("rows"), F.col("held.tf").alias("tfs"), F.col("held.dl").alias("dls"), F.array_max("held.tf").alias("max_tf"), F.array_min("held.dl").alias("min_dl"),
+    )
+
+
 def score_phrases(scoped, phrases: DataFrame, limit: int | None = None) -> DataFrame:
     """BM25 of the entities that hold at least one phrase of a query.
 
@@ -171,20 +187,14 @@ def score_phrases(scoped, phrases: DataFrame, limit: int | None = None) -> DataF
         hits = settle(phrase_hits(scoped, joined).withColumn("term", F.concat_ws("\x1f", F.lit(""), "query_id", "phrase")))
         named = _weighted_phrases(scoped, hits).withColumn("term", F.concat_ws("\x1f", F.lit(""), "query_id", "phrase"))
         terms = terms.unionByName(named.join(joined.select("query_id", "scope").distinct(), "query_id").select(*terms.columns))
-        run = F.floor(F.col("row_no") / 1024)
-        gathered = hits.groupBy("kind", "shard", "term", run.alias("run")).agg(F.array_sort(F.collect_list(F.struct("row_no", "tf", "dl"))).alias("held"))
-        steps = F.transform("held", lambda h, i: h["row_no"] - F.when(i == 0, 0).otherwise(F.get("held.row_no", i - 1)))
-        blocks = blocks.unionByName(gathered.select(
-            "kind", "shard", "term", F.array_min("held.row_no").alias("first_row"), F.array_max("held.row_no").alias("last_row"),
-            steps.alias("rows"), F.col("held.tf").alias("tfs"), F.col("held.dl").alias("dls"), F.array_max("held.tf").alias("max_tf"), F.array_min("held.dl").alias("min_dl"),
-        ))
+        blocks = blocks.unionByName(_as_blocks(hits))
     terms = settle(terms)
     parts = max(1, -(-terms.select("query_id").distinct().count() // QUERY_PART))
     part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
     # A query's terms are bounded by its text.
     nested = terms.groupBy("query_id", "scope", "kind").agg(F.collect_list(F.struct("term", "weight")).alias("terms"), F.first("avgdl").alias("avgdl")).withColumn("part", part)
     free = nested.where(F.col("scope").isNull()).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(scoped.shards - 1))).alias("shard"), F.lit(None).cast("array<int>").alias("allowed")
+        "*", F.explode(F.sequence(F.lit(0), F.lit(scoped.all_shards - 1))).alias("shard"), F.lit(None).cast("array<int>").alias("allowed")
     )
     asked, scopes = free, nested.where(F.col("scope").isNotNull()).select("scope").distinct()
     if not scopes.isEmpty():
@@ -195,6 +205,9 @@ def score_phrases(scoped, phrases: DataFrame, limit: int | None = None) -> DataF
         dealt = blocks.join(terms.select("kind", "term", part.alias("part")).distinct(), ["kind", "term"])
     else:
         dealt = blocks.withColumn("part", F.lit(0))
+    if scoped.dead is not None:
+        gone = _as_blocks(scoped.dead.select("*", F.lit(GONE).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("dl")))
+        dealt = dealt.unionByName(gone.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(*dealt.columns))
     found = settle(best_of_shards(dealt, asked, limit, _plain_saturation, SCORE_DIGITS))
     # Rounding makes the order independent of the order in which parts were added.
     return with_ids(scoped, found).select(

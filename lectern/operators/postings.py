@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN_ROWS = 1024
+# The term of blocks that list dead rows; no token is empty.
+GONE = ""
 RUN_TOKENS = 1 << 20
 POSITION_BITS = 32
 MARGIN = 1e-6
@@ -203,6 +205,7 @@ def best_of_shards(blocks: DataFrame, asked: DataFrame, limit: int | None, satur
     ``blocks`` has the posting blocks of the asked terms, dealt to query parts: ``(kind, shard,
     part, term, …)``.  ``asked`` has ``(kind, shard, part, query_id, avgdl, terms, allowed)`` with
     terms as an array of ``(term, weight)``; ``allowed`` lists the rows in a query's scope, or is null.
+    Blocks of the term ``GONE`` list rows that are dead.
     """
 
     def search(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -213,15 +216,20 @@ def best_of_shards(blocks: DataFrame, asked: DataFrame, limit: int | None, satur
             by_term: dict[str, list] = {}
             for row in held.itertuples():
                 by_term.setdefault(row.term, []).append(_Block(row, float(saturation(row.max_tf, row.min_dl, mean))))
+            live = None
+            for block in by_term.pop(GONE, []):
+                live = np.ones(size, bool) if live is None else live
+                live[block.rows] = False
             for row in asked.itertuples():
                 terms = [(t["weight"], by_term[t["term"]]) for t in row.terms if t["term"] in by_term]
                 if not terms:
                     continue
-                allowed = None
+                allowed = live
                 if row.allowed is not None:
                     inside = np.asarray(row.allowed)
                     allowed = np.zeros(size, bool)
                     allowed[inside[inside < size]] = True
+                    allowed = allowed if live is None else allowed & live
                 rows, scores = _best_rows(terms, mean, size, saturation, limit, allowed)
                 scores = np.round(scores, digits)
                 order = np.lexsort((rows, -scores))[:limit]

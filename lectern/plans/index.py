@@ -41,6 +41,16 @@ def set_pointer(spark: SparkSession, root: str, revision: int, place: str) -> No
     rows.coalesce(1).write.mode("append").json(_pointers(root))
 
 
+def write_rows(rows: DataFrame, path: str, partition=(), mode: str = "errorifexists", within=()) -> None:
+    """Write rows as Parquet; those of a partition lie in the order of the columns ``within``."""
+    if partition:
+        # The rebalance hint splits hot partitions and joins small ones.
+        rows = rows.hint("rebalance", *partition)
+    if within:
+        rows = rows.sortWithinPartitions(*partition, *within)
+    rows.write.mode(mode).partitionBy(*partition).parquet(path)
+
+
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
@@ -80,12 +90,16 @@ class Index:
 
     buckets = property(lambda self: self.settings.layout.term_buckets)
     shards = property(lambda self: self.settings.layout.entity_buckets)
+    all_shards = shards
+    # Rows of a snapshot are never replaced.
+    dead = None
     papers = property(lambda self: self.table("papers"))
     sections = property(lambda self: self.table("sections"))
     chunks = property(lambda self: self.table("chunks"))
     notes = property(lambda self: self.table("notes"))
     links = property(lambda self: self.table("links"))
     entities = property(lambda self: self._levelled("entities"))
+    placed = property(lambda self: self.entities.withColumn("shard", F.col("entity_bucket")))
     postings = property(lambda self: self._levelled("postings"))
     terms = property(lambda self: self._levelled("terms"))
     levels = property(lambda self: self._levelled("levels"))
@@ -220,12 +234,7 @@ class IndexWriter:
 
     def write(self, name: str, rows: DataFrame, partition=(), mode: str = "errorifexists", within=()) -> DataFrame:
         """Write a table; rows of a partition lie in the order of the columns ``within``."""
-        if partition:
-            # The rebalance hint splits hot partitions and joins small ones.
-            rows = rows.hint("rebalance", *partition)
-        if within:
-            rows = rows.sortWithinPartitions(*partition, *within)
-        rows.write.mode(mode).partitionBy(*partition).parquet(self._path(name))
+        write_rows(rows, self._path(name), partition, mode, within)
         return self.index.table(name)
 
     def papers(self, papers: DataFrame) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions import vectors as vx
 from lectern.operators import dense, evaluation, fusion, lexical, notes
+from lectern.operators.identity import deduplicate
 from lectern.operators.postings import numbered
 from lectern.plans import search as plan
 from lectern.plans.corpus_data import open_corpus, open_documents
+from lectern.plans.generations import GenerationLog
+from lectern.plans.index import paper_entities
 from lectern.plans.registered import sql as q
-from lectern.session import settle, spread
+from lectern.session import broadcast_if_small, settle, shared_dir, spread
 from lectern.sources import tables
 
 def no_scope():
@@ -71,6 +76,35 @@ SELECT query_id, s.paper_id AS entity_id, CAST(1 AS BIGINT) AS rank, round(score
 FROM scored s JOIN (SELECT entry_id AS query_id, min(paper_id) AS paper_id FROM links GROUP BY ALL) USING (query_id, paper_id)""")
 
 
+def incremental_postings(spark, folder):
+    """All documents, then a review of them, then the passages: three generations, searched as one index.
+
+    The review takes documents of low quality away and gives the others of good quality another
+    author, so their rows are replaced; statistics follow without a look at the other rows.
+    """
+    papers = settle(tables.whole_papers(deduplicate(tables.markdown_files(spark, folder))))
+    log = GenerationLog.open(spark, f"{shared_dir(spark)}/generations-{uuid.uuid4().hex}").append(paper_entities(papers))
+    marks = tables.table(spark, folder, "labels").select(F.concat(F.lit("doc-"), "doc_id").alias("paper_id"), "quality").distinct()
+    reviewed = papers.join(broadcast_if_small(marks), "paper_id")
+    kept = reviewed.where("quality = 1").withColumn("authors", F.transform("authors", lambda a: F.concat(a, F.lit(" reviewed"))))
+    gone = reviewed.where("quality = 0").select(F.lit("paper").alias("kind"), F.col("paper_id").alias("entity_id"))
+    log = log.append(paper_entities(kept.drop("quality")), gone)
+    items = tables.table(spark, folder, "benchmark").select(
+        F.concat(F.lit("item-"), "item_id").alias("paper_id"), F.concat(F.lit("Passage "), "item_id").alias("title"), F.array(F.lit("benchmark")).alias("authors"),
+        F.lit(None).cast("int").alias("year"), F.col("text").alias("abstract"), F.lit("markdown_reference").alias("source_kind"),
+    )
+    log = log.append(paper_entities(items)).compact()
+    return _shown(lexical.search_lexical(log.index(), _math(benchmark_queries(spark, folder)), ("paper",), 60))
+
+
+INCREMENTAL_SQL = q.with_(q.PAPERS.replace("papers AS (", "first_papers AS ("), """
+papers AS (
+  SELECT paper_id, CASE WHEN quality = 1 THEN author || ' reviewed' ELSE author END AS author, abstract, title
+  FROM first_papers LEFT JOIN (SELECT DISTINCT 'doc-' || doc_id AS paper_id, quality FROM labels) USING (paper_id) WHERE quality IS NULL OR quality = 1
+  UNION ALL SELECT 'item-' || item_id, 'benchmark', text, 'Passage ' || item_id FROM benchmark)""", q.POSTINGS, q.LEXICAL,
+    select="SELECT query_id, paper_id AS entity_id, rank, round(score, 6) AS score FROM lexical")
+
+
 def _turn_entities(spark, folder):
     turns = tables.conversation_sections(spark, folder)
     return turns.select(
@@ -83,11 +117,12 @@ class LiveIndex:
     """Index rows of one small level, computed in the query instead of read back."""
 
     def __init__(self, entities, buckets=8, shards=8):
-        self.buckets, self.shards = buckets, shards
+        self.buckets, self.shards, self.all_shards, self.dead = buckets, shards, shards, None
         self.entities = settle(numbered(lexical.tokenized(entities), shards))
         self.postings = settle(lexical.postings(self.entities, buckets))
         self.terms = lexical.term_stats(self.postings)
         self.levels = lexical.level_stats(self.entities)
+        self.placed = self.entities.withColumn("shard", F.col("entity_bucket"))
 
     def only(self, kinds):
         return self
@@ -498,6 +533,7 @@ def related(spark, folder):
 QUERIES = {
     "hybrid_search": (hybrid_search, HYBRID_SQL),
     "bm25_topk": (bm25_topk, BM25_SQL),
+    "incremental_postings": (incremental_postings, INCREMENTAL_SQL),
     "bm25_exact_phrase": (bm25_exact_phrase, EXACT_SQL),
     "bm25_in_paper": (bm25_in_paper, IN_PAPER_SQL),
     "bm25_field_scoped": (bm25_field_scoped, FIELD_SQL),
