@@ -27,7 +27,8 @@ def tokenized(entities: DataFrame) -> DataFrame:
     """Add the index tokens of the matchable fields and the length over all fields.
 
     ``match_fields`` and ``extra_fields`` are arrays; an empty token parts fields so
-    that no phrase spans two of them.
+    that no phrase spans two of them.  Tokens are joined by blanks, which none holds: one text
+    takes a fraction of the room of an array of them.
     """
     per_field = F.transform("match_fields", lambda f: F.concat(tx.index_tokens(f), F.array(F.lit(""))))
     extra = F.aggregate("extra_fields", F.lit(0), lambda n, f: n + F.size(tx.index_tokens(f)))
@@ -35,6 +36,7 @@ def tokenized(entities: DataFrame) -> DataFrame:
     return (
         entities.withColumn("tokens", tokens)
         .withColumn("dl", F.size("tokens") - F.size("match_fields") + extra)
+        .withColumn("tokens", F.array_join("tokens", " "))
         .drop("match_fields", "extra_fields")
     )
 

@@ -97,14 +97,14 @@ class _Run:
 
 
 def posting_blocks(entities: DataFrame) -> DataFrame:
-    """Posting blocks of ``entities (kind, entity_bucket, row_no, dl, tokens)``."""
+    """Posting blocks of ``entities (kind, entity_bucket, row_no, dl, tokens)``; tokens are parted by blanks."""
 
     def build(batches):
         held, place, run = _Run(), None, 0
         count = tokens_held = 0
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in range(4)]
-            lists = batch.column(4)
+            texts = batch.column(4)
             for at, (kind, shard, row, length) in enumerate(zip(*columns)):
                 if place != (kind, shard) or count >= RUN_ROWS or tokens_held >= RUN_TOKENS:
                     if count:
@@ -113,7 +113,7 @@ def posting_blocks(entities: DataFrame) -> DataFrame:
                             yield made
                     run = run + 1 if place == (kind, shard) else 0
                     held, place, count, tokens_held = _Run(), (kind, shard), 0, 0
-                tokens = lists[at].as_py() or []
+                tokens = (texts[at].as_py() or "").split(" ")
                 held.add(row, length, tokens)
                 count += 1
                 tokens_held += len(tokens)

@@ -82,7 +82,7 @@ def incremental_postings(spark, folder):
     The review takes documents of low quality away and gives the others of good quality another
     author, so their rows are replaced; statistics follow without a look at the other rows.
     """
-    papers = settle(tables.whole_papers(deduplicate(tables.markdown_files(spark, folder))))
+    papers = tables.whole_papers(deduplicate(tables.markdown_files(spark, folder)))
     log = GenerationLog.open(spark, f"{shared_dir(spark)}/generations-{uuid.uuid4().hex}").append(paper_entities(papers))
     marks = tables.table(spark, folder, "labels").select(F.concat(F.lit("doc-"), "doc_id").alias("paper_id"), "quality").distinct()
     reviewed = papers.join(broadcast_if_small(marks), "paper_id")

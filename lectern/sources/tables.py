@@ -63,14 +63,13 @@ def paper_rows(sources: DataFrame, abstract: Column | None = None) -> DataFrame:
     if abstract is None:
         paragraphs = F.filter(F.split("text", "\n"), lambda s: _words(s) > 5)
         abstract = F.coalesce(tx.strip(F.get(paragraphs, 0)), F.lit(""))
-    read = computed_once(
-        sources, first=first, words=_words(first), abstract=abstract, markdown=tx.clean_markdown(render_markdown(F.col("text")))
-    )
+    read = computed_once(sources, first=first, words=_words(first), abstract=abstract)
     untitled = F.concat(F.lit("Document "), F.substring("catalog_id", 5, 64))
     return read.select(
         F.col("catalog_id").alias("paper_id"),
         F.when((F.col("first") != "") & (F.col("words") <= 5), F.col("first")).otherwise(untitled).alias("title"),
-        "authors", F.lit(None).cast("int").alias("year"), "abstract", "source_path", "source_kind", "content_hash", "markdown",
+        "authors", F.lit(None).cast("int").alias("year"), "abstract", "source_path", "source_kind", "content_hash",
+        tx.clean_markdown(render_markdown(F.col("text"))).alias("markdown"),
     )
 
 
