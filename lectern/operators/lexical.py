@@ -45,9 +45,9 @@ def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def postings(entities: DataFrame, buckets: int) -> DataFrame:
+def postings(entities: DataFrame, buckets: int, dealt: bool = False) -> DataFrame:
     """Posting blocks of numbered entities, with the bucket of their term and the number of rows."""
-    blocks = posting_blocks(entities)
+    blocks = posting_blocks(entities, dealt)
     return blocks.select("*", F.size("rows").cast("long").alias("n"), term_bucket(F.col("term"), buckets).alias("bucket"))
 
 
@@ -123,7 +123,7 @@ def phrase_hits(index, phrases: DataFrame) -> DataFrame:
     )
     rare = broadcast_if_small(known)
     runs = _blocks_in(index, rare).select("kind", "bucket", "term", "shard", "run").join(rare, ["kind", "bucket", "term"])
-    asked = settle(runs.select("query_id", "phrase", "terms", "kind", "shard", "run"))
+    asked = settle(runs.select("query_id", "phrase", "terms", "kind", "shard", "run").dropDuplicates(["query_id", "phrase", "kind", "shard", "run"]))
     needed = (
         asked.select("kind", "shard", "run", F.explode("terms").alias("term")).distinct()
         .withColumn("bucket", term_bucket(F.col("term"), index.buckets))

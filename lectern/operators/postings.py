@@ -96,35 +96,38 @@ class _Run:
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
 
 
-def posting_blocks(entities: DataFrame) -> DataFrame:
-    """Posting blocks of ``entities (kind, entity_bucket, row_no, dl, tokens)``; tokens are parted by blanks."""
+def posting_blocks(entities: DataFrame, dealt: bool = False) -> DataFrame:
+    """Posting blocks of ``entities (kind, entity_bucket, row_no, dl, tokens)``; tokens are parted by blanks.
+
+    Rows that are ``dealt`` lie by shard and number already and are not shuffled.  A run is a range of
+    numbers, so a term has several blocks in a run whose rows lie in several splits or hold very much text.
+    """
 
     def build(batches):
-        held, place, run = _Run(), None, 0
-        count = tokens_held = 0
+        held, place, last = _Run(), None, -1
+        tokens_held = 0
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in range(4)]
             texts = batch.column(4)
             for at, (kind, shard, row, length) in enumerate(zip(*columns)):
-                if place != (kind, shard) or count >= RUN_ROWS or tokens_held >= RUN_TOKENS:
-                    if count:
-                        made = held.blocks(*place, run)
-                        if made is not None:
-                            yield made
-                    run = run + 1 if place == (kind, shard) else 0
-                    held, place, count, tokens_held = _Run(), (kind, shard), 0, 0
+                here = (kind, shard, row // RUN_ROWS)
+                if place != here or row <= last or tokens_held >= RUN_TOKENS:
+                    made = held.blocks(*place) if place else None
+                    if made is not None:
+                        yield made
+                    held, place, tokens_held = _Run(), here, 0
                 tokens = (texts[at].as_py() or "").split(" ")
                 held.add(row, length, tokens)
-                count += 1
+                last = row
                 tokens_held += len(tokens)
-        if count:
-            made = held.blocks(*place, run)
-            if made is not None:
-                yield made
+        made = held.blocks(*place) if place else None
+        if made is not None:
+            yield made
 
     columns = entities.select("kind", "entity_bucket", "row_no", F.col("dl").cast("int"), "tokens")
-    dealt = columns.repartition("kind", "entity_bucket").sortWithinPartitions("kind", "entity_bucket", "row_no")
-    return dealt.mapInArrow(build, BLOCKS)
+    if not dealt:
+        columns = columns.repartition("kind", "entity_bucket").sortWithinPartitions("kind", "entity_bucket", "row_no")
+    return columns.mapInArrow(build, BLOCKS)
 
 
 def _gathered(found: list, names: tuple, **fixed) -> pd.DataFrame:

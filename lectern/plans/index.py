@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,6 +147,19 @@ def note_entities(notes: DataFrame, links: DataFrame, papers: DataFrame) -> Data
     )
 
 
+def without_fields(rows: DataFrame) -> DataFrame:
+    """Entities without the fields that :func:`with_fields` gives back, so that a text is moved once."""
+    given = F.col("kind").isin("paper", "section", "chunk")
+    bare = F.when(F.col("kind") == "paper", F.get("match_fields", F.lit(2)) == "")
+    return rows.withColumn("bare", bare).withColumn("match_fields", F.when(~given, F.col("match_fields")))
+
+
+def with_fields(rows: DataFrame) -> DataFrame:
+    paper = F.array("title", F.array_join("authors", " "), F.when(F.col("bare"), "").otherwise(F.col("text")))
+    match = F.when(F.col("kind") == "paper", paper).when(F.col("kind").isin("section", "chunk"), F.array("section_path", "text")).otherwise(F.col("match_fields"))
+    return rows.withColumn("match_fields", match).drop("bare")
+
+
 def context_text(kind: Column) -> Column:
     """Text that stands for a section, chunk or note when it is embedded."""
     # The labels of the parts.
@@ -235,7 +249,7 @@ class IndexWriter:
     def write(self, name: str, rows: DataFrame, partition=(), mode: str = "errorifexists", within=()) -> DataFrame:
         """Write a table; rows of a partition lie in the order of the columns ``within``."""
         write_rows(rows, self._path(name), partition, mode, within)
-        return self.index.table(name)
+        return self.spark.read.parquet(self._path(name))
 
     def papers(self, papers: DataFrame) -> DataFrame:
         """Papers, and the id range each falls in, which later orders link lists; the settings go with them."""
@@ -246,13 +260,19 @@ class IndexWriter:
         self.write("blocks", ids.withColumn("block", F.spark_partition_id()))
         return written
 
+    def sections(self) -> None:
+        self.write("sections", parse_sections(self.index.papers.select("paper_id", "title", "markdown")))
+
+    def chunks(self) -> None:
+        self.write("chunks", number_chunks(chunk_sections(self.index.sections, self.index.settings.chunks)))
+
     def hierarchy(self, previous: Index | None = None, kept: DataFrame | None = None) -> None:
         """Sections and chunks; those of kept papers come from the previous snapshot."""
-        papers = self.index.papers.select("paper_id", "title", "markdown")
         if previous is None:
-            self.write("sections", parse_sections(papers))
-            self.write("chunks", number_chunks(chunk_sections(self.index.sections, self.index.settings.chunks)))
+            self.sections()
+            self.chunks()
             return
+        papers = self.index.papers.select("paper_id", "title", "markdown")
         fresh = papers.join(kept, "paper_id", "left_anti")
         self.write("sections", previous.sections.join(kept, "paper_id", "left_semi").unionByName(parse_sections(fresh)))
         same_budget = previous.settings.chunks == self.index.settings.chunks
@@ -264,14 +284,33 @@ class IndexWriter:
 
     def entities(self, rows: DataFrame, mode: str = "errorifexists") -> None:
         """Entities numbered in their shard; a shard's files hold them in the order of their ids."""
-        held = numbered(lexical.tokenized(rows), self.index.shards)
+        held = lexical.tokenized(with_fields(numbered(without_fields(rows), self.index.shards)))
         held.write.mode(mode).partitionBy("kind", "entity_bucket").parquet(self._path("entities"))
 
-    def lexical_tables(self, kinds, mode: str = "errorifexists") -> None:
+    def level(self, kind: str) -> None:
+        """Entities of one level."""
+        index = self.index
+        if kind == "paper":
+            rows = paper_entities(index.papers)
+        elif kind == "curated":
+            rows = note_entities(index.notes, index.links, index.papers)
+        else:
+            rows = child_entities(kind, index.sections if kind == "section" else index.chunks, index.papers)
+        self.entities(rows, mode="append")
+
+    def postings(self, kinds, mode: str = "errorifexists") -> None:
+        """Posting blocks in the folders of their terms' buckets; a shard's blocks are written where its rows lie."""
         scoped = self.index.only(kinds)
-        self.write("postings", lexical.postings(scoped.entities, self.index.buckets), ("kind", "bucket"), mode, ("term", "shard", "run"))
+        blocks = lexical.postings(scoped.entities, self.index.buckets, dealt=True).sortWithinPartitions("kind", "bucket", "term", "shard", "run")
+        blocks.write.mode(mode).partitionBy("kind", "bucket").parquet(self._path("postings"))
         self.write("terms", lexical.term_stats(scoped.postings), ("kind",), mode)
-        self.write("levels", lexical.level_stats(scoped.entities), mode=mode)
+
+    def level_sizes(self, kinds, mode: str = "errorifexists") -> None:
+        self.write("levels", lexical.level_stats(self.index.only(kinds).entities), mode=mode)
+
+    def lexical_tables(self, kinds, mode: str = "errorifexists") -> None:
+        self.postings(kinds, mode)
+        self.level_sizes(kinds, mode)
 
     def child_levels(self) -> None:
         papers = self.index.papers
@@ -282,29 +321,34 @@ class IndexWriter:
         )
         self.lexical_tables(("paper", "section", "chunk"))
 
-    def notes(self, notes: DataFrame, links: DataFrame | None = None, kind: str = "section") -> None:
-        """Notes and their links; without given links, papers that quote a note whole."""
-        self.write("notes", notes)
+    def links(self, links: DataFrame | None = None, kind: str = "section") -> None:
+        """Links of notes; without given ones, the papers that quote a note whole."""
         if links is None:
             links = quoting_papers(self.index, self.index.notes, kind)
         known = self.index.table("blocks")
         self.write("links", links.select("entry_id", "paper_id").distinct().join(known, "paper_id"))
+
+    def notes(self, notes: DataFrame, links: DataFrame | None = None, kind: str = "section") -> None:
+        self.write("notes", notes)
+        self.links(links, kind)
         self.entities(note_entities(self.index.notes, self.index.links, self.index.papers), mode="append")
         self.lexical_tables(("curated",), mode="append")
 
-    def vectors(self) -> None:
+    def vectors(self, kinds=KINDS, mode: str = "errorifexists") -> None:
         index, dimensions = self.index, self.index.settings.embedding.dimensions
         name, fingerprint = vx.hash_identity(dimensions)
-        children = index.only(("section", "chunk", "curated")).entities
-        embedded = children.select("kind", "entity_id", "paper_id", vx.hash_embedding(dimensions)(tx.feature_tokens(context_text(F.col("kind")))).alias("vector"))
-        papers = embed_parts(paper_context_parts(index.papers, index.sections, index.notes, index.links), dimensions)
-        rows = embedded.unionByName(
-            papers.select(F.lit("paper").alias("kind"), F.col("paper_id").alias("entity_id"), "paper_id", "vector")
-        ).select(
+        children, parts = [k for k in kinds if k != "paper"], []
+        if children:
+            rows = index.only(children).entities
+            parts.append(rows.select("kind", "entity_id", "paper_id", vx.hash_embedding(dimensions)(tx.feature_tokens(context_text(F.col("kind")))).alias("vector")))
+        if "paper" in kinds:
+            papers = embed_parts(paper_context_parts(index.papers, index.sections, index.notes, index.links), dimensions)
+            parts.append(papers.select(F.lit("paper").alias("kind"), F.col("paper_id").alias("entity_id"), "paper_id", "vector"))
+        rows = reduce(DataFrame.unionByName, parts).select(
             "*", F.lit(name).alias("model_name"), F.lit(fingerprint).alias("model_fingerprint"), F.lit(dimensions).alias("dimensions"),
             F.lit(True).alias("normalized"), F.current_timestamp().alias("updated_at"),
         )
-        self.write("vectors", rows, ("kind",))
+        self.write("vectors", rows, ("kind",), mode)
 
     def build(self, papers: DataFrame, notes: DataFrame, links: DataFrame | None = None, vectors: bool = True) -> Index:
         self.papers(papers)

@@ -307,7 +307,7 @@ RRF_SQL = q.with_(q.PAPERS, q.POSTINGS, q.LEXICAL, DENSE_CTE, FUSED_CTE,
 def _scored_pool(spark, folder):
     index = open_documents(spark, folder)
     queries = benchmark_queries(spark, folder)
-    pool = settle(plan.hydrate(index, fusion.top_pool(_fused(spark, folder, index), 40)))
+    pool = settle(plan.hydrate(index, fusion.top_pool(_fused(spark, folder, index), 40), ("paper",)))
     return index, queries, pool, fusion.lexical_f1(pool, queries, fusion.rerank_document())
 
 
@@ -375,7 +375,7 @@ SELECT query_id, rank, 'r1:paper:' || paper_id AS result_id, title, 'unknown' AS
 def exact_filter(spark, folder):
     """Fused pool reduced to rows that hold the math-normalised query."""
     index = open_documents(spark, folder)
-    pool = plan.hydrate(index, fusion.top_pool(_fused(spark, folder, index), 40))
+    pool = plan.hydrate(index, fusion.top_pool(_fused(spark, folder, index), 40), ("paper",))
     return fusion.keep_exact(pool, benchmark_queries(spark, folder)).select("query_id", "entity_id", F.round("score", 6).alias("score"))
 
 

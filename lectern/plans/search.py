@@ -117,9 +117,9 @@ def plan_lists(index: Index, queries: DataFrame, mode: str, pipeline: str, scope
     return lists
 
 
-def hydrate(index: Index, pool: DataFrame) -> DataFrame:
-    """Display columns of the pooled keys; a routed paper shows its note's path."""
-    shown = index.entities.select(
+def hydrate(index: Index, pool: DataFrame, kinds=None) -> DataFrame:
+    """Display columns of the pooled keys, which are of the given levels; a routed paper shows its note's path."""
+    shown = (index if kinds is None else index.only(kinds)).entities.select(
         "kind", "entity_bucket", "entity_id", "section_order", "title", "authors", "year",
         F.col("section_path").alias("own_path"), "page_start", "page_end", "source_kind", "text",
     )
@@ -136,7 +136,9 @@ def finish(index: Index, fused: DataFrame, queries: DataFrame, mode: str, rerank
     """Fused keys to result rows: pool, text, re-ranking, exact filter, diversification."""
     settings = index.settings.retrieval
     # At most the pool size per query, so the texts come to the keys and not the other way round.
-    pool = hydrate(index, broadcast_if_small(fusion.top_pool(fused, settings.rerank_candidates)))
+    pool = broadcast_if_small(fusion.top_pool(fused, settings.rerank_candidates))
+    # Texts of levels that no key is of are not looked at; there are four levels at most.
+    pool = hydrate(index, pool, [r["kind"] for r in pool.select("kind").distinct().collect()] or None)
     if rerank:
         # The pool is bounded per query and read by the scorer and by the blend.
         pool = settle(pool)
@@ -282,7 +284,7 @@ def related_papers(index: Index, requests: DataFrame, top_k: int = 10) -> DataFr
     fused = fuse(index, lists).join(requests.select("query_id", F.col("paper_id").alias("asked_id")), "query_id")
     others = fused.where("paper_id IS NOT NULL AND paper_id <> asked_id").drop("asked_id")
     ranked = fusion.diversify(others, top_k, 1, [F.desc("score"), F.asc("first_seen")]).drop("first_seen")
-    shown = hydrate(index, ranked).join(asked.select("query_id", F.col("text").alias("query_text")), "query_id")
+    shown = hydrate(index, ranked, ("paper",)).join(asked.select("query_id", F.col("text").alias("query_text")), "query_id")
     return shown.select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "paper_id", "title", F.array_join("authors", "; ").alias("authors"), "year",
         F.round("score", 6).alias("score"), "source_kind", fusion.snippet(F.col("text"), F.col("query_text"), 180).alias("snippet"),
