@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from lectern.llm import graph, neardup, substrings
@@ -200,6 +201,23 @@ def test_planted_passages_are_found(spark):
     assert not clean & {i for r in found for i in (r.doc_id, r.other_id)}
 
 
+@pytest.mark.parametrize("others", [1, 30])
+def test_passages_whose_halves_stand_in_other_texts(spark, others):
+    """Two texts meet although every seed of their passage stands in texts that hold only half of it."""
+    draw = random.Random(17)
+    rows, wanted = [], []
+    for n in range(6):
+        passage = sentence(draw, 56, 10**6)
+        for half in (passage[:28], passage[28:]):
+            rows += [[*sentence(draw, 40, 10**6), *half, *sentence(draw, 40, 10**6)] for _ in range(others)]
+        wanted.append((len(rows), len(rows) + 1))
+        rows += [[*sentence(draw, 40 + s, 10**6), *passage, *sentence(draw, 40, 10**6)] for s in (0, 1)]
+    found = substrings.repeated_passages(documents(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).collect()
+    pairs = {tuple(sorted((r.doc_id, r.other_id))): r for r in found}
+    assert sorted(pairs) == wanted
+    assert all(r.n_words == r.equal_words == 56 for r in found) and len(found) == len(wanted)
+
+
 def test_passages_with_unequal_words_between(spark):
     draw = random.Random(15)
     rows, want = [], {}
