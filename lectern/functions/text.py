@@ -74,6 +74,11 @@ def _ranges(characters) -> str:
     return "[" + "".join(out) + "]"
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def casefold(text: Column) -> Column:
     """Lower case with the two foldings that differ in European text."""
     return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")

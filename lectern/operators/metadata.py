@@ -28,15 +28,17 @@ STOP_WORDS = (
 
 
 def text_metadata(markdown: Column) -> Column:
-    """Title, authors, DOI and year found in the text, as one struct."""
-    title = tx.strip_emphasis(F.regexp_extract(markdown, r"(?m)^#\s+(.+?)\s*$", 1))
-    authors = F.regexp_extract(markdown, r"(?im)^\*\*Authors?:?\*\*\s*:?\s*(.+?)\s*$", 1)
-    doi = F.regexp_replace(F.regexp_extract(markdown, DOI, 0), r"[.,;)]+$", "")
-    year = F.regexp_extract(markdown, "(?U)" + YEAR, 0)
-    return F.struct(
-        title.alias("title"), tx.split_authors(F.when(authors != "", authors)).alias("authors"),
-        F.when(doi != "", doi).alias("doi"), F.when(year != "", year.cast("int")).alias("year"),
+    """Title, authors, DOI and year found in the text, as one struct; the text is searched once for each."""
+    found = F.struct(
+        F.regexp_extract(markdown, r"(?m)^#\s+(.+?)\s*$", 1).alias("title"),
+        F.regexp_extract(markdown, r"(?im)^\*\*Authors?:?\*\*\s*:?\s*(.+?)\s*$", 1).alias("authors"),
+        F.regexp_replace(F.regexp_extract(markdown, DOI, 0), r"[.,;)]+$", "").alias("doi"),
+        F.regexp_extract(markdown, "(?U)" + YEAR, 0).alias("year"),
     )
+    return tx.once(found, lambda f: F.struct(
+        tx.strip_emphasis(f["title"]).alias("title"), tx.split_authors(F.when(f["authors"] != "", f["authors"])).alias("authors"),
+        F.when(f["doi"] != "", f["doi"]).alias("doi"), F.when(f["year"] != "", f["year"].cast("int")).alias("year"),
+    ))
 
 
 def abstract_of(markdown: Column) -> Column:

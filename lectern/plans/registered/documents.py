@@ -11,7 +11,7 @@ from lectern.operators import catalog, entities, hierarchy, identity, metadata
 from lectern.operators.sections import chunk_sections, number_chunks, parse_sections
 from lectern.plans.corpus_data import open_corpus
 from lectern.plans.registered import sql as q
-from lectern.session import settle, spread
+from lectern.session import computed_once, settle, spread
 from lectern.sources import tables
 
 
@@ -375,7 +375,8 @@ ENTRY_LINKS_SQL = "SELECT 'catalog-' || source AS catalog_id, doc_id + 5 AS line
 # Metadata.
 def text_metadata(spark, folder):
     files = tables.markdown_files(spark, folder)
-    meta = files.select("source_path", metadata.text_metadata(tx.clean_markdown(tables.render_markdown(F.col("text")))).alias("meta"))
+    read = computed_once(files.select("source_path", "text"), markdown=tx.clean_markdown(tables.render_markdown(F.col("text")))).select("source_path", "markdown")
+    meta = computed_once(read, meta=metadata.text_metadata(F.col("markdown"))).select("source_path", "meta")
     return meta.select("source_path", "meta.title", F.coalesce("meta.doi", F.lit("")).alias("doi"), F.array_join("meta.authors", ";").alias("authors"), "meta.year")
 
 
