@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions import text as tx
+
 VECTOR = T.ArrayType(T.FloatType())
 
 # The hash model's weights and personalisation tag.
@@ -72,6 +74,32 @@ def model_fingerprint(model: str, provider: str = "", dimensions: int | None = N
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def _features(tokens: Column) -> Column:
+    words = F.transform(tokens, lambda t: F.concat(F.lit("word:"), t))
+    before = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    pairs = F.zip_with(before, F.slice(tokens, 2, F.size(tokens)), lambda a, b: F.concat(F.lit("bigram:"), a, F.lit(PAIR_JOINER), b))
+    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+
+
+def feature_counts(tokens: Column) -> Column:
+    """The distinct features of one text as ``array<struct<feature, n>>``, counted in its row: equal ones lie together when sorted."""
+
+    def counted(held):
+        # A sequence up to -1 would count down.
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(held) - 1, F.lit(0))), lambda i: i < F.size(held))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1)))
+        return tx.once(starts, lambda at: F.zip_with(
+            at, F.slice(F.concat(at, F.array(F.size(held))), 2, F.size(at)),
+            lambda a, b: F.struct(F.get(held, a).alias("feature"), (b - a).cast("long").alias("n")),
+        ))
+
+    return tx.once(F.sort_array(tx.once(tokens, _features)), counted)
+
+
+def feature_weight(feature: Column, n: Column) -> Column:
+    return F.when(feature.startswith("word:"), WORD_WEIGHT).otherwise(PAIR_WEIGHT) * (1 + F.ln(n))
+
+
 def hash_identity(dimensions: int) -> tuple[str, str]:
     name = f"hash-v1:{dimensions}"
     return name, model_fingerprint(name, provider="hash", dimensions=dimensions)
@@ -131,9 +159,10 @@ def md5_slots(dimensions: int):
     """Slot and sign of each feature from its MD5 digest: a variant that stays in the JVM."""
 
     def place(feature: Column) -> Column:
-        digest = F.md5(feature)
-        slot = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimensions).cast("int")
-        sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
+        # Eight digits give the slot and the next one the sign.
+        head = F.conv(F.substring(F.md5(feature), 1, 9), 16, 10).cast("bigint")
+        slot = (F.shiftright(head, 4) % dimensions).cast("int")
+        sign = F.when(head % 2 == 1, 1.0).otherwise(-1.0)
         return F.struct(slot.alias("slot"), sign.alias("sign"))
 
     return place

@@ -226,10 +226,9 @@ def embed_slots(parts: DataFrame, place_feature) -> DataFrame:
         F.coalesce(bridge, F.array().cast("array<string>")),
     )
     counted = carried.select("paper_id", F.explode(features).alias("feature")).groupBy("paper_id", "feature").agg(F.count("*").alias("n"))
-    weight = F.when(F.col("feature").startswith("word:"), vx.WORD_WEIGHT).otherwise(vx.PAIR_WEIGHT)
     # Rounding makes sums independent of the order in which they were added.
     return (
-        counted.select("paper_id", place_feature(F.col("feature")).alias("at"), (weight * (1 + F.ln("n"))).alias("weight"))
+        counted.select("paper_id", place_feature(F.col("feature")).alias("at"), vx.feature_weight(F.col("feature"), F.col("n")).alias("weight"))
         .groupBy("paper_id", "at.slot")
         .agg(F.round(F.sum(F.col("at.sign") * F.col("weight")), 9).alias("value"))
     )

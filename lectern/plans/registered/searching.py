@@ -17,7 +17,7 @@ from lectern.plans.corpus_data import open_corpus, open_documents
 from lectern.plans.generations import GenerationLog
 from lectern.plans.index import paper_entities
 from lectern.plans.registered import sql as q
-from lectern.session import broadcast_if_small, settle, shared_dir, spread
+from lectern.session import broadcast_if_small, computed_once, settle, shared_dir, spread
 from lectern.sources import tables
 
 def no_scope():
@@ -226,15 +226,31 @@ WITH s AS (SELECT CASE WHEN label % 2 = 0 THEN 'paper' ELSE 'section' END AS kin
 SELECT kind, vec_id, 'set-' || label AS model_fingerprint FROM s JOIN (SELECT kind, max(label) AS label FROM s GROUP BY ALL) USING (kind, label)"""
 
 
+def _counted_documents(spark, folder):
+    """Counted features of each document, in its row; and those of ids with several rows, ``(doc_id, feature, n)``, added up.
+
+    Only the ids are shuffled, and the features of repeated ones.
+    """
+    docs = spread(tables.table(spark, folder, "documents").select("doc_id", "text"))
+    again = broadcast_if_small(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    counts = vx.feature_counts(tx.feature_tokens(F.col("text")))
+    single = computed_once(docs.join(again, same, "left_anti"), counts=counts).select("doc_id", "counts")
+    several = docs.join(again, same, "left_semi").select("doc_id", F.inline(counts))
+    return single, several.groupBy("doc_id", "feature").agg(F.sum("n").alias("n"))
+
+
 def hash_features(spark, folder):
     """Distinct features of each document and the sum of their weights before hashing."""
-    rows = spread(tables.table(spark, folder, "documents")).select("doc_id", tx.feature_tokens(F.col("text")).alias("tokens"))
-    pairs = F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", 2, F.size("tokens")),
-                       lambda a, b: F.concat(F.lit("bigram:"), a, F.lit(vx.PAIR_JOINER), b))
-    features = rows.select("doc_id", F.explode(F.concat(F.transform("tokens", lambda t: F.concat(F.lit("word:"), t)), F.filter(pairs, lambda p: p.isNotNull()))).alias("feature"))
-    counted = features.groupBy("doc_id", "feature").agg(F.count("*").alias("n"))
-    weight = F.when(F.col("feature").startswith("word:"), vx.WORD_WEIGHT).otherwise(vx.PAIR_WEIGHT) * (1 + F.ln("n"))
-    return counted.groupBy("doc_id").agg(F.count("*").alias("features"), F.sum("n").alias("uses"), F.round(F.sum(weight), 4).alias("weight"))
+    single, several = _counted_documents(spark, folder)
+    zero = F.lit(0).cast("long")
+    total = lambda start, of: F.aggregate("counts", start, lambda t, c: t + of(c))
+    inside = single.where(F.size("counts") > 0).select(
+        "doc_id", F.size("counts").cast("long").alias("features"), total(zero, lambda c: c["n"]).alias("uses"),
+        F.round(total(F.lit(0.0), lambda c: vx.feature_weight(c["feature"], c["n"])), 4).alias("weight"),
+    )
+    weight = vx.feature_weight(F.col("feature"), F.col("n"))
+    return inside.unionByName(several.groupBy("doc_id").agg(F.count("*").alias("features"), F.sum("n").alias("uses"), F.round(F.sum(weight), 4).alias("weight")))
 
 
 FEATURES_SQL = f"""
@@ -248,13 +264,13 @@ SELECT doc_id, count(*) AS features, CAST(sum(n) AS BIGINT) AS uses,
 
 def hash_embedding(spark, folder):
     """Feature-hash vector of every document with MD5 slots, one row per filled slot."""
-    from lectern.plans.index import embed_slots
-
-    docs = tables.table(spark, folder, "documents")
-    parts = docs.select(F.col("doc_id").alias("paper_id"), F.struct(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit("").alias("id")).alias("place"), "text")
-    filled = embed_slots(parts, vx.md5_slots(64))
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("paper_id")))
-    return filled.select(F.col("paper_id").alias("doc_id"), "slot", F.round(F.when(length > 0, F.col("value") / length).otherwise(0.0), 5).alias("value"))
+    single, several = _counted_documents(spark, folder)
+    features = single.select("doc_id", F.inline("counts")).unionByName(several)
+    placed = features.select("doc_id", vx.md5_slots(64)(F.col("feature")).alias("at"), vx.feature_weight(F.col("feature"), F.col("n")).alias("weight"))
+    # Summed in the task first, so at most 64 rows of a document are shuffled; rounding makes sums independent of their order.
+    filled = placed.groupBy("doc_id", "at.slot").agg(F.round(F.sum(F.col("at.sign") * F.col("weight")), 9).alias("value"))
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("doc_id")))
+    return filled.select("doc_id", "slot", F.round(F.when(length > 0, F.col("value") / length).otherwise(0.0), 5).alias("value"))
 
 
 HASH_SQL = f"""
