@@ -46,3 +46,13 @@ def test_blocks_are_sent_to_few_parts():
     assert lexical.query_parts(5_128, 8, 12) == 3
     assert lexical.query_parts(51_000, 8, 12) == 6
     assert lexical.query_parts(310_000, 48, 12) == 10
+
+
+def test_shards_give_ids_for_the_wanted_rows_only(spark):
+    """Eight shards with four rows each leave the best two and the rows that tie with the second."""
+    found = spark.createDataFrame(
+        [("q", "paper", shard, row, float(8 - min(shard, 3)) - row) for shard in range(8) for row in range(4)], "query_id string, kind string, shard int, row_no int, score double"
+    )
+    held = sorted((r["shard"], r["row_no"], r["score"]) for r in lexical.best_of_all(found, 2).collect())
+    assert held == [(0, 0, 8.0), (0, 1, 7.0), (1, 0, 7.0)]
+    assert lexical.best_of_all(found, None).count() == 32
