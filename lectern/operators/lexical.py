@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators.postings import GONE, RUN_ROWS, best_of_shards, merged_positions, posting_blocks, shard_of
+from lectern.operators.postings import GONE, RUN_ROWS, best_of_shards, cut_to_rows, merged_positions, posting_blocks, row_numbers, shard_of
 from lectern.session import broadcast_if_small, settle
 
 # BM25 constants and the floor for terms in over half of the rows.
@@ -108,7 +108,8 @@ def _blocks_in(index, buckets: DataFrame) -> DataFrame:
 def phrase_hits(index, phrases: DataFrame) -> DataFrame:
     """``query_id, phrase, kind, shard, row_no, tf, dl``: entities holding a whole phrase.
 
-    Only the runs that hold a phrase's rarest term are looked into, and only at the phrase's terms.
+    Only the rows that hold a phrase's rarest term are looked at. Posting blocks are cut to these rows
+    where they lie, so postings of other rows are not moved however common a term is.
     """
     known = (
         phrases.withColumn("term", F.explode(F.array_distinct("terms")))
@@ -122,14 +123,20 @@ def phrase_hits(index, phrases: DataFrame) -> DataFrame:
         .select("query_id", "phrase", "kind", "terms", "term", term_bucket(F.col("term"), index.buckets).alias("bucket"))
     )
     rare = broadcast_if_small(known)
-    runs = _blocks_in(index, rare).select("kind", "bucket", "term", "shard", "run").join(rare, ["kind", "bucket", "term"])
-    asked = settle(runs.select("query_id", "phrase", "terms", "kind", "shard", "run").dropDuplicates(["query_id", "phrase", "kind", "shard", "run"]))
-    needed = (
-        asked.select("kind", "shard", "run", F.explode("terms").alias("term")).distinct()
-        .withColumn("bucket", term_bucket(F.col("term"), index.buckets))
-    )
+    runs = _blocks_in(index, rare).select("kind", "bucket", "term", "shard", "run", "rows").join(rare, ["kind", "bucket", "term"])
+    runs = settle(runs.select("query_id", "phrase", "terms", "kind", "shard", "run", "rows"))
+    # A term may have several blocks in a run.
+    asked = runs.drop("rows").dropDuplicates(["query_id", "phrase", "kind", "shard", "run"])
+    held = runs.select("kind", "shard", "run", F.explode(row_numbers(F.col("rows"))).alias("row_no"))
+    # At most the rows of a run.
+    wanted = broadcast_if_small(held.groupBy("kind", "shard", "run").agg(F.collect_set("row_no").alias("wanted")))
+    needed = rare.select("kind", F.explode("terms").alias("term")).distinct().withColumn("bucket", term_bucket(F.col("term"), index.buckets))
     needed = broadcast_if_small(needed)
-    hits = merged_positions(_blocks_in(index, needed).join(needed, ["kind", "bucket", "term", "shard", "run"]), asked)
+    blocks = (
+        _blocks_in(index, needed).join(needed, ["kind", "bucket", "term"]).join(wanted, ["kind", "shard", "run"])
+        .where(F.exists("wanted", lambda r: r.between(F.col("first_row"), F.col("last_row"))))
+    )
+    hits = merged_positions(cut_to_rows(blocks), asked)
     return hits if index.dead is None else hits.join(index.dead, ["kind", "shard", "row_no"], "left_anti").select(*hits.columns)
 
 
@@ -250,7 +257,9 @@ def search_lexical(index, queries: DataFrame, kinds, limit: int, exact: bool = F
     fetched = scored.join(last, ["query_id", "kind"], "left").where(F.col("last").isNull() | (F.col("score") + 1 >= F.col("last"))).drop("last")
     fetched = broadcast_if_small(fetched.withColumn("entity_bucket", shard_of(F.col("entity_id"), scoped.shards)))
     buckets = [r["entity_bucket"] for r in fetched.select("entity_bucket").distinct().collect()]
-    shown = scoped.entities.where(F.col("entity_bucket").isin(buckets)).select("kind", "entity_bucket", "entity_id", "title", "section_path", F.col("text").alias("body"))
+    # Texts that are not asked for stay where they are also when the rows are too many to be broadcast.
+    keys = broadcast_if_small(fetched.select("kind", "entity_bucket", "entity_id").distinct())
+    shown = scoped.entities.where(F.col("entity_bucket").isin(buckets)).join(keys, ["kind", "entity_bucket", "entity_id"], "left_semi").select("kind", "entity_bucket", "entity_id", "title", "section_path", F.col("text").alias("body"))
     own_text = F.concat_ws("\n", F.when(F.col("kind") == "paper", F.col("title")).otherwise(F.col("section_path")), F.col("body"))
     bonus = F.when(F.contains(tx.casefold(own_text), tx.casefold(F.col("text"))), 1.0).otherwise(0.0)
     boosted = (

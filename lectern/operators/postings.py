@@ -8,7 +8,7 @@ smallest length, which bound what any posting of the block can add to a score.
 A search sends each query to every shard.  There its terms are taken in the order of their bounds;
 once the best rows so far are out of reach of the terms left, only rows that may still get among
 them are looked up.  So a shard gives at most the wanted
-number of rows to a query, however many match.  A phrase is found by merging positions in the runs
+number of rows to a query, however many match.  A phrase is found by merging positions in the rows
 that hold its rarest term; no text and no list of tokens is read.
 """
 
@@ -30,6 +30,7 @@ BLOCKS = (
     "kind string, shard int, run int, term string, first_row int, last_row int, rows array<int>, tfs array<int>, dls array<int>, "
     "positions array<int>, max_tf int, min_dl int"
 )
+CUT_COLUMNS = ["kind", "shard", "run", "term", "rows", "tfs", "dls", "positions"]
 
 
 def shard_of(entity_id: Column, shards: int) -> Column:
@@ -263,6 +264,48 @@ def best_of_shards(blocks: DataFrame, asked: DataFrame, limit: int | None, satur
     return left.cogroup(right).applyInPandas(search, "query_id string, kind string, shard int, row_no int, score double")
 
 
+def row_numbers(rows: Column) -> Column:
+    """The numbers of a block's rows, which are coded as differences."""
+    return F.aggregate(rows, F.array().cast("array<int>"), lambda held, step: F.concat(held, F.array(F.coalesce(F.get(held, F.size(held) - 1), F.lit(0)) + step)))
+
+
+def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists of a column and the length of each list."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def cut_to_rows(blocks: DataFrame) -> DataFrame:
+    """Posting blocks with the postings of the rows in ``wanted`` only; blocks without any are left out."""
+
+    def cut(batches):
+        for batch in batches:
+            steps, sizes = _values(batch.column("rows"))
+            if not len(steps):
+                continue
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            total, ends = np.cumsum(steps, dtype=np.int64), np.cumsum(sizes)
+            rows = total - np.concatenate(([0], total))[ends - sizes][owner]
+            asked, asked_sizes = _values(batch.column("wanted"))
+            asked = (np.repeat(np.arange(len(asked_sizes)), asked_sizes) << POSITION_BITS) | asked
+            keep = np.isin((owner << POSITION_BITS) | rows, asked)
+            if not keep.any():
+                continue
+            tfs, dls = _values(batch.column("tfs"))[0], _values(batch.column("dls"))[0]
+            positions = _values(batch.column("positions"))[0][np.repeat(keep, tfs)]
+            rows, owner, tfs, dls = rows[keep], owner[keep], tfs[keep], dls[keep]
+            left, first = np.unique(owner, return_index=True)
+            steps = np.diff(rows, prepend=0)
+            steps[first] = rows[first]
+            edges = np.append(first, len(rows)).astype(np.int32)
+            places = np.concatenate(([0], np.cumsum(tfs)))[edges].astype(np.int32)
+            named = [batch.column(n).take(pa.array(left)) for n in ("kind", "shard", "run", "term")]
+            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(v.astype(np.int32))) for e, v in ((edges, steps), (edges, tfs), (edges, dls), (places, positions))]
+            yield pa.RecordBatch.from_arrays([*named, *lists], names=CUT_COLUMNS)
+
+    types = dict(c.split() for c in BLOCKS.split(", "))
+    return blocks.select(*CUT_COLUMNS, "wanted").mapInArrow(cut, ", ".join(f"{n} {types[n]}" for n in CUT_COLUMNS))
+
+
 def _codes(rows: pd.DataFrame) -> np.ndarray:
     """Every occurrence in a term's block as one integer: the row, then the position."""
     found = []
