@@ -48,34 +48,48 @@ def beam_search(points: np.ndarray, edges: np.ndarray, queries: np.ndarray, entr
     done = np.ones((count, beam), bool)
     ids[:, 0], done[:, 0] = entry, False
     far[:, 0] = ((queries - points[entry]) ** 2).sum(axis=1)
-    expanded = [[] for _ in range(count)]
+    # A node met before is in the beam or was too far for it, so each is measured once.
+    size = len(points)
+    seen = np.zeros(count * size, bool)
+    seen[entry::size] = True
+    first = np.empty(count * size, np.int32)
+    steps = []
     active = np.arange(count)
     while len(active):
         fresh = ~done[active]
         pick = fresh & (np.cumsum(fresh, axis=1) <= STEP)
         row, column = np.nonzero(pick)
-        nodes = ids[active[row], column]
-        done[active[row], column] = True
-        for r, node in zip(active[row].tolist(), nodes.tolist()):
-            expanded[r].append(node)
-        found = np.full((len(active), STEP, edges.shape[1]), -1, np.int32)
-        found[row, np.cumsum(pick, axis=1)[row, column] - 1] = edges[nodes]
-        found = np.sort(found.reshape(len(active), -1), axis=1)
-        found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
-        held = ids[active]
-        found[(found[:, :, None] == held[:, None, :]).any(axis=2)] = -1
-        gone = points[found] - queries[active][:, None, :]
-        away = np.einsum("abc,abc->ab", gone, gone)
-        away[found < 0] = np.inf
-        every = np.concatenate([far[active], away], axis=1)
-        best = np.argpartition(every, beam - 1, axis=1)[:, :beam]
-        best = np.take_along_axis(best, np.argsort(np.take_along_axis(every, best, axis=1), axis=1, kind="stable"), axis=1)
-        far[active] = np.take_along_axis(every, best, axis=1)
-        ids[active] = np.where(np.isinf(far[active]), -1, np.take_along_axis(np.concatenate([held, found], axis=1), best, axis=1))
-        was = np.concatenate([done[active], found < 0], axis=1)
-        done[active] = np.take_along_axis(was, best, axis=1) | (ids[active] < 0)
+        owner = active[row]
+        nodes = ids[owner, column]
+        done[owner, column] = True
+        steps.append((owner, nodes))
+        found = edges[nodes]
+        code = (found + (owner * size)[:, None]).ravel()[found.ravel() >= 0]
+        code = code[~seen[code]]
+        # Of a node that several expanded ones name, one stays.
+        line = np.arange(len(code), dtype=np.int32)
+        first[code] = line
+        code = code[first[code] == line]
+        seen[code] = True
+        owner, found = np.divmod(code, size)
+        gone = points[found] - queries[owner]
+        away = np.einsum("ab,ab->a", gone, gone)
+        near = away < far[owner, -1]
+        found, owner, away = found[near], owner[near], away[near]
+        if len(found):
+            some, at, sizes = np.unique(owner, return_index=True, return_counts=True)
+            line, place = np.repeat(np.arange(len(some)), sizes), np.arange(len(found)) - np.repeat(at, sizes)
+            every = np.full((len(some), beam + sizes.max()), np.inf, np.float32)
+            nodes, was = np.full(every.shape, -1, np.int32), np.ones(every.shape, bool)
+            every[:, :beam], nodes[:, :beam], was[:, :beam] = far[some], ids[some], done[some]
+            every[line, beam + place], nodes[line, beam + place], was[line, beam + place] = away, found, False
+            best = np.argpartition(every, beam - 1, axis=1)[:, :beam]
+            best = np.take_along_axis(best, np.argsort(np.take_along_axis(every, best, axis=1), axis=1, kind="stable"), axis=1)
+            far[some], ids[some], done[some] = (np.take_along_axis(x, best, axis=1) for x in (every, nodes, was))
         active = active[(~done[active]).any(axis=1)]
-    return ids, expanded
+    owner, nodes = (np.concatenate(x) for x in zip(*steps))
+    order = np.argsort(owner, kind="stable")
+    return ids, np.split(nodes[order], np.cumsum(np.bincount(owner, minlength=count))[:-1])
 
 
 def robust_prune(points: np.ndarray, nodes: np.ndarray, proposed: list, degree: int, alpha: float) -> np.ndarray:
@@ -96,7 +110,7 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, proposed: list, degree:
         away[table < 0] = np.inf
         order = np.argsort(away, axis=1, kind="stable")
         table, away = np.take_along_axis(table, order, axis=1), np.take_along_axis(away, order, axis=1)
-        places = np.take_along_axis(places, order[:, :, None], axis=1)
+        places = points[table]
         lengths = np.einsum("abc,abc->ab", places, places)
         between = lengths[:, :, None] + lengths[:, None, :] - 2 * (places @ places.transpose(0, 2, 1))
         alive = np.isfinite(away)
@@ -131,14 +145,14 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
                     back.setdefault(other, []).append(node)
         full, proposals = [], []
         for other, new in back.items():
-            mine = edges[other]
-            held = int((mine >= 0).sum())
+            mine = [n for n in edges[other].tolist() if n >= 0]
+            held = len(mine)
             new = [n for n in new if n not in mine]
             if held + len(new) <= degree:
                 edges[other, held : held + len(new)] = new
             else:
                 full.append(other)
-                proposals.append([*mine[:held].tolist(), *new])
+                proposals.append([*mine, *new])
         if full:
             edges[full] = robust_prune(points, np.array(full), proposals, degree, alpha)
         low += size
